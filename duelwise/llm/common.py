@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 #: Bytes of text that one vectorised step works on (a single longer document is one step).
 CHUNK_BYTES = 1 << 19
@@ -45,7 +46,8 @@ class Scratch:
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
         # Spark frees the shuffle files of a finished step once the driver's JVM has collected their handles.
         self.spark.sparkContext._jvm.System.gc()
-        return self.spark.read.schema(self.spark.read.parquet(path).schema).parquet(path)
+        fields = sorted(df.schema.fields, key=lambda f: f.name in partition_by)
+        return self.spark.read.schema(StructType(fields)).parquet(path)
 
     def drop(self, name: str) -> None:
         jvm = self.spark.sparkContext._jvm
