@@ -171,18 +171,25 @@ def lists(docs: DataFrame, text: str, frequent: np.ndarray, rank: np.ndarray, bo
     return rows.repartition(partitions(spark), "token").sortWithinPartitions("token", "node").mapInArrow(shared, LISTS)
 
 
+CHECKED = "kind int, a long, b long, shared int, n int, token long"
+LINK, MEMBER, OWN = 0, 1, 2
+
+
 def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Of pairs (g, node) those that are links. A star's members are dealt to tasks of STAR members, each with its centre."""
+    """Rows (CHECKED) of pairs (g, node): a LINK if they are one; a MEMBER, with the shared count, if the node shares
+    at least half of its shingles with the centre g, and then one OWN row for each shingle that g doesn't have.
+
+    A star's members are dealt to tasks of STAR members, each with its centre.
+    """
     spark = docs.sparkSession
     members = pairs.groupBy("g").agg(F.count(F.lit(1)).alias("m")).select("g", F.ceil(F.col("m") / STAR).cast("int").alias("salts"))
     rows = pairs.join(members, "g").select("g", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("salt"), "node", F.lit(1).alias("member"))
     centres = members.select("g", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("g").alias("node"), F.lit(0).alias("member"))
     wanted = rows.unionByName(centres).join(classes.select("node", F.col("first").alias("_id")), "node")
     texts = docs.select(F.col(key).cast("long").alias("_doc"), F.col(text).alias("_text"))
-    out = "a long, b long"
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema, star, centre = arrow_schema(out), None, None
+        schema, star, centre = arrow_schema(CHECKED), None, None
         for batch in batches:
             g, salt, node, member = (batch.column(k).to_pylist() for k in range(4))
             found = []
@@ -193,15 +200,19 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text
                     if not member[k]:
                         star, centre = (g[k], salt[k]), s
                     elif star == (g[k], salt[k]):
-                        both = np.concatenate([centre, s])
-                        both.sort()
-                        if int((both[1:] == both[:-1]).sum()) >= need(len(centre), len(s)):
-                            found.append((g[k], node[k]))
+                        at = np.minimum(np.searchsorted(centre, s), len(centre) - 1)
+                        same = centre[at] == s
+                        shared, n = int(same.sum()), len(s)
+                        if shared >= need(len(centre), n):
+                            found.append((LINK, g[k], node[k], shared, n, None))
+                        if 2 * shared >= n:
+                            found.append((MEMBER, g[k], node[k], shared, n, None))
+                            found += [(OWN, g[k], node[k], shared, n, t) for t in s[~same].view(np.int64).tolist()]
             if found:
                 yield arrow_batch(schema, list(zip(*found, strict=True)))
 
     rows = wanted.join(texts, F.col("_id").eqNullSafe(F.col("_doc"))).select("g", "salt", "node", "member", "_text")
-    return rows.repartition(partitions(spark), "g", "salt").sortWithinPartitions("g", "salt", "member").mapInArrow(check, out).distinct()
+    return rows.repartition(partitions(spark), "g", "salt").sortWithinPartitions("g", "salt", "member").mapInArrow(check, CHECKED)
 
 
 def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", scratch: Scratch | None = None) -> DataFrame:
@@ -238,11 +249,14 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", sc
     hubs = rich.groupBy("token").agg(F.max(F.struct("share", "node"))["node"].alias("g"))
     counted = met.select("token", "node").join(hubs, "token").where("node <> g").groupBy("node", "g").agg(F.count(F.lit(1)).alias("c"))
     stars = scratch.save(counted.groupBy("node").agg(F.max(F.struct("c", "g"))["g"].alias("g")), "stars")
-    links = scratch.save(verify(stars, classes, docs, key, text), "links")
+    checked = scratch.save(verify(stars, classes, docs, key, text), "checked", "kind")
+    links = checked.where(F.col("kind") == LINK).select("a", "b").distinct()
 
     comps = scratch.save(components(links, scratch, "first"), "comps")
-    cross = scratch.save(cross_pairs(met, comps, boundary), "cross")
-    more = scratch.save(verify(cross, classes, docs, key, text), "more")
+    cross = star_pairs(checked, comps).unionByName(cross_pairs(met, comps, checked, boundary)).distinct()
+    cross = scratch.save(cross, "cross")
+    more = verify(cross, classes, docs, key, text).where(F.col("kind") == LINK).select("a", "b").distinct()
+    more = scratch.save(more, "more")
     final = components(links.unionByName(more), scratch, "final")
     named = final.join(classes.select("node", "first"), "node")
     least = named.groupBy("comp").agg(F.min("first").alias("least"))
@@ -251,24 +265,50 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", sc
     return out.select(F.col("key").alias(key), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "key").alias("component_id"))
 
 
-def cross_pairs(met: DataFrame, comps: DataFrame, boundary: int) -> DataFrame:
-    """Pairs (g, node) in different components that share enough listed tokens to be links.
+SHARED = f"ceil({NUM} * (n1 + n) / {DEN + NUM})"
+SIZES = f"least(n1, n) * {DEN} >= greatest(n1, n) * {NUM}"
+
+
+def star_pairs(checked: DataFrame, comps: DataFrame) -> DataFrame:
+    """Pairs (g, node) of members of one star in different components that can be links.
+
+    Two members share at most the smaller of what each shares with the centre, and what both have beside it. So they
+    are a pair if the first is enough, or with the shingles that they share beside the centre.
+    """
+    rows = checked.where(F.col("kind") != LINK).select("kind", F.col("a").alias("star"), F.col("b").alias("node"), "shared", "n", "token").distinct()
+    rows = rows.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    member = rows.where(F.col("kind") == MEMBER)
+    sums = member.groupBy("star", "comp").agg(F.count(F.lit(1)).alias("c"))
+    main = sums.groupBy("star").agg(F.max(F.struct("c", "comp"))["comp"].alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1").drop("comps")
+    rows = rows.join(main, "star")
+    first = lambda d, *keys: d.where("comp <> main").select(*keys, *(F.col(c).alias(f"{c}1") for c in ("node", "shared", "n", "comp")))
+    differ = f"comp1 <> comp AND (comp = main OR node1 < node) AND {SIZES}"
+    member, own = rows.where(F.col("kind") == MEMBER), rows.where(F.col("kind") == OWN)
+    enough = first(member, "star").join(member, "star").where(f"{differ} AND least(shared1, shared) >= {SHARED}").select(F.col("node1").alias("g"), "node")
+    beside = first(own, "star", "token").join(own, ["star", "token"]).where(differ)
+    beside = beside.groupBy("node1", "node").agg(F.count(F.lit(1)).alias("c"), *(F.first(c).alias(c) for c in ("shared1", "shared", "n1", "n")))
+    beside = beside.where(f"least(shared1, shared) + c >= {SHARED}").select(F.col("node1").alias("g"), "node")
+    return enough.unionByName(beside)
+
+
+def cross_pairs(met: DataFrame, comps: DataFrame, checked: DataFrame, boundary: int) -> DataFrame:
+    """Pairs (g, node) in different components that share enough listed tokens to be links, but for members of one star.
 
     In a list, only sets outside its most frequent component are paired with the rest, so a list of one component
     gives nothing. With T shared elements needed, the set whose listed tokens end first has n - listed others, so the
     pair must share at least T less that many listed tokens.
     """
-    rows = met.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    star = checked.where(F.col("kind") == MEMBER).select(F.col("b").alias("node"), F.col("a").alias("star")).distinct()
+    rows = met.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")).join(star, "node", "left")
     sums = rows.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"))
     main = sums.groupBy("token").agg(F.max(F.struct("c", "comp"))["comp"].alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1").drop("comps")
     rows = rows.join(main, "token")
-    rare = rows.where("comp <> main").select("token", *(F.col(c).alias(f"{c}1") for c in ("node", "n", "last", "comp")))
-    fits = F.expr(f"comp1 <> comp AND (comp = main OR node1 < node) AND least(n1, n) * {DEN} >= greatest(n1, n) * {NUM}")
+    rare = rows.where("comp <> main").select("token", *(F.col(c).alias(f"{c}1") for c in ("node", "n", "last", "comp", "star")))
+    fits = F.expr(f"comp1 <> comp AND (comp = main OR node1 < node) AND {SIZES} AND coalesce(star1 <> star, true)")
     pairs = rare.join(rows, "token").where(fits)
     counted = pairs.groupBy(F.col("node1").alias("g"), "node").agg(F.count(F.lit(1)).alias("c"), F.first("n1").alias("n1"), F.first("n").alias("n"), F.first("last1").alias("last1"), F.first("last").alias("last"), F.max(F.expr("last1 < 0 AND last < 0")).alias("subset"))
-    shared = f"ceil({NUM} * (n1 + n) / {DEN + NUM})"
     unlisted = f"ceil({NUM} * if(last1 <= last, n1, n) / {DEN}) - 1"
-    return counted.where(F.expr(f"subset OR greatest(n1, n) <= {boundary} OR c >= {shared} - {unlisted}")).select("g", "node")
+    return counted.where(F.expr(f"subset OR greatest(n1, n) <= {boundary} OR c >= {SHARED} - {unlisted}")).select("g", "node")
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
