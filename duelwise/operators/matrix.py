@@ -55,3 +55,14 @@ def votes_per_model(battles: DataFrame, strict: bool = False) -> DataFrame:
 def ranked(df: DataFrame, value: str, key: str = "model") -> DataFrame:
     """rank 1, 2, ... by falling value, ties by key. Meant for tables of models: one row per model."""
     return df.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(value), key)))
+
+
+def first_seen(battles: DataFrame) -> DataFrame:
+    """model, seen_id: numbered from 0 by first appearance in (tstamp, battle_id), seat A before seat B."""
+    seats = battles.select("tstamp", "battle_id", F.posexplode(F.array("model_a", "model_b")).alias("seat", "model"))
+    return ranked_by(seats.groupBy("model").agg(F.min(F.struct("tstamp", "battle_id", "seat")).alias("_at")), "_at", "seen_id")
+
+
+def ranked_by(df: DataFrame, order: str, name: str) -> DataFrame:
+    """0-based numbers of an aggregate of few rows."""
+    return df.withColumn(name, F.row_number().over(Window.orderBy(order)) - 1).drop(order)

@@ -24,3 +24,8 @@ def first_by_hash(df: DataFrame, key: str, seed: str, n: int) -> DataFrame:
 def keep_first(df: DataFrame, key: str, order: str) -> DataFrame:
     """The first row of each key in input order."""
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(order))).where("_r = 1").drop("_r")
+
+
+def shuffled(values: Column, seed: str, key: Column) -> Column:
+    """The elements of a row's array in hashed order."""
+    return F.transform(F.sort_array(F.transform(values, lambda x: F.struct(draw(F.lit(seed), key, x).alias("h"), x.alias("x")))), lambda s: s["x"])

@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import activity, clean, leaderboard, lexical, matrix, ratings, retrieval, sampling
+from ..functions import wikitext
+from ..operators import activity, agreement, clean, leaderboard, lexical, matrix, ratings, requests, retrieval, sampling
 from ..operators.ranks import positions
 from ..session import table
 from ..sources import files
 from ..sources.views import BATTLES_SQL, VOTES_SQL, battles, votes_raw
+from ..streaming import live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -467,3 +469,100 @@ def embedding_round_trip(spark, d):
 @query("SELECT doc_id, text IS NOT NULL AND trim(text) <> '' AS valid, coalesce(nullif(lang, ''), source, '') AS origin, 'Title: ' || source || chr(10) || 'Passage: ' || text AS prompt FROM documents".replace("'Title: ' || source || chr(10) || 'Passage: ' || text", "md5(source || chr(10) || text)"))
 def prompt_format(spark, d):
     return table(spark, d, "documents").select("doc_id", (F.col("text").isNotNull() & (F.trim("text") != "")).alias("valid"), F.coalesce(F.expr("nullif(lang, '')"), "source", F.lit("")).alias("origin"), F.md5(F.concat_ws("\n", "source", "text")).alias("prompt"))
+
+
+@query("""SELECT doc_id, trim(coalesce(text, '')) <> '' AND trim(coalesce(source, '')) <> '' AND trim(coalesce(lang, '')) <> ''
+  AND coalesce(trim(text) <> trim(source) AND trim(source) <> trim(lang) AND trim(text) <> trim(lang), false) AS valid FROM documents""")
+def input_validation(spark, d):
+    return table(spark, d, "documents").select("doc_id", requests.valid_group("text", "source", "lang").alias("valid"))
+
+
+@query(f"""WITH {VOTES_SQL}, r AS (SELECT *, CASE WHEN coalesce(public_a, '') = '' AND coalesce(public_b, '') = '' THEN 'battle' ELSE 'side_by_side' END AS route FROM votes)
+SELECT route, type, count(*) AS n FROM r GROUP BY ALL""")
+def vote_routes(spark, d):
+    return matrix.value_counts(votes_raw(spark, d).withColumn("route", requests.route("public_a", "public_b")), "route", "type")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 2 THEN 'p' || user_id WHEN event_id % 5 = 0 THEN '' ELSE 'h' || user_id END AS address FROM events")
+def client_addresses(spark, d):
+    header = F.expr("CASE event_id % 3 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE 'p' || user_id END")
+    host = F.expr("CASE WHEN event_id % 5 <> 0 THEN 'h' || user_id END")
+    return table(spark, d, "events").select("event_id", requests.client_address(header, host).alias("address"))
+
+
+@query("""WITH l AS (SELECT o_custkey, max_by(o_orderkey, (o_orderdate, o_orderkey)) AS k FROM orders GROUP BY 1), r AS (SELECT o_custkey, max_by(o_orderkey, (o_totalprice, o_orderkey)) AS k FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1)
+SELECT coalesce(l.o_custkey, r.o_custkey) AS o_custkey, l.k AS left_answer, r.k AS right_answer, coalesce(l.k = r.k, false) AS agree FROM l FULL JOIN r ON l.o_custkey = r.o_custkey""")
+def answer_agreement(spark, d):
+    """Whether each customer's latest order is also their dearest."""
+    o = table(spark, d, "orders")
+    best = lambda by: F.max_by("o_orderkey", F.struct(by, "o_orderkey")).alias("k")
+    return agreement.answers(o.groupBy("o_custkey").agg(best("o_orderdate")), o.where("o_orderstatus <> 'P'").groupBy("o_custkey").agg(best("o_totalprice")), "o_custkey", "k")
+
+
+@query("""WITH l AS (SELECT row_number() OVER (ORDER BY event_id) AS pos, event_id AS k FROM events), r AS (SELECT row_number() OVER (ORDER BY event_id) AS pos, event_id AS k FROM events WHERE event_id % 397 <> 396)
+SELECT count_if(l.k = r.k)::BIGINT AS n_equal, count(l.k) AS n_left, count(r.k) AS n_right FROM l FULL JOIN r ON l.pos = r.pos""")
+def positional_ids(spark, d):
+    e = table(spark, d, "events")
+    return agreement.positional(e, e.where("event_id % 397 <> 396"), "event_id")
+
+
+@query(ANON + """, s AS (SELECT model_a AS model, tstamp, battle_id, 0 AS seat FROM b UNION ALL SELECT model_b, tstamp, battle_id, 1 FROM b)
+SELECT model, (row_number() OVER (ORDER BY min((tstamp, battle_id, seat))) - 1)::INT AS seen_id FROM s GROUP BY model""")
+def first_seen_models(spark, d):
+    return matrix.first_seen(anonymous(spark, d))
+
+
+@query("SELECT p_brand AS model FROM part EXCEPT SELECT p_brand FROM part WHERE p_size > 48")
+def unsupported_models(spark, d):
+    """Names in one list that the other lacks."""
+    p = table(spark, d, "part").select(F.col("p_brand").alias("model"), "p_size")
+    return p.select("model").subtract(p.where("p_size > 48").select("model"))
+
+
+@query("""SELECT doc_id, md5(array_to_string(list_transform(list_sort([{'h': md5('mix-' || doc_id || '-' || x), 'x': x} FOR x IN ['a' || doc_id, 'b' || doc_id, 'c' || doc_id]]), lambda s: s.x), '|')) AS digest FROM documents""")
+def triplet_shuffle(spark, d):
+    id_ = F.col("doc_id").cast("string")
+    mixed = sampling.shuffled(F.array(*[F.concat(F.lit(c), id_) for c in "abc"]), "mix", F.col("doc_id"))
+    return table(spark, d, "documents").select("doc_id", F.md5(F.array_join(mixed, "|")).alias("digest"))
+
+
+@query("""WITH dr AS (SELECT range AS draw FROM range(1000)),
+c AS (SELECT draw, r_name AS corpus, row_number() OVER (PARTITION BY draw ORDER BY md5('corpus-' || draw || '-' || r_name), r_name) AS r FROM dr, region),
+q AS (SELECT draw, item_id, row_number() OVER (PARTITION BY draw ORDER BY md5('query-' || draw || '-' || item_id), item_id) AS r FROM dr, benchmark)
+SELECT draw, corpus, item_id FROM c JOIN q USING (draw) WHERE c.r = 1 AND q.r = 1""")
+def query_draws(spark, d):
+    """A corpus, then one of the set queries, for each draw."""
+    draws = spark.range(1000).select(F.col("id").alias("draw"))
+    corpora = sampling.pick_per_draw(draws, table(spark, d, "region").select(F.col("r_name").alias("corpus")), 1, "draw", "corpus", "corpus")
+    items = sampling.pick_per_draw(draws, table(spark, d, "benchmark").select("item_id"), 1, "draw", "item_id", "query")
+    return corpora.drop("place").join(items.drop("place"), "draw")
+
+
+WIKI_HEAD = "Intro '''bold''' [[Target|label]] and [[plain]]. {{cite web|x={{y}}}}<ref name=a/><ref>gone</ref>[[File:a.png|thumb|[[inner]] text]]\n== History ==\nbody [http://a.b link text]\n"
+ENDINGS = ["See also", "Sources"]
+
+
+def wiki_sql(c: str) -> str:
+    """The same patterns in SQL."""
+    quote = lambda p: p.replace("'", "''")
+    c = f"regexp_split_to_array({c}, '{quote(wikitext.ending_heading(ENDINGS))}')[1]"
+    for p in wikitext.DROPPED:
+        c = f"regexp_replace({c}, '{quote(p)}', '', 'g')"
+    for p in wikitext.UNWRAPPED:
+        c = f"regexp_replace({c}, '{quote(p)}', '\\1', 'g')"
+    return f"regexp_replace({c}, '{quote(wikitext.EMPHASIS_AND_ENDS)}', '', 'g')"
+
+
+@query("WITH w AS (SELECT page_id, '" + WIKI_HEAD.replace("'", "''") + "' || html || chr(10) || '== See also ==' || chr(10) || 'rest' AS t FROM pages) SELECT page_id, md5(" + wiki_sql("t") + ") AS digest FROM w")
+def section_clean(spark, d):
+    text = F.concat(F.lit(WIKI_HEAD), "html", F.lit("\n== See also ==\nrest"))
+    return table(spark, d, "pages").select("page_id", F.md5(wikitext.clean_sections(text, ENDINGS)).alias("digest"))
+
+
+@query("""WITH e AS (SELECT user_id, epoch_us(ts) AS t, event_id FROM events), g AS (SELECT *, t - lag(t) OVER (PARTITION BY user_id ORDER BY t, event_id) AS gap FROM e),
+s AS (SELECT *, count_if(gap IS NULL OR gap > 43200000000) OVER (PARTITION BY user_id ORDER BY t, event_id) AS n FROM g)
+SELECT user_id, min(t) AS started, string_agg(event_id::VARCHAR, '|' ORDER BY t, event_id) AS history FROM s GROUP BY user_id, n""")
+def session_histories(spark, d):
+    """What each user did, in order, until a pause of twelve hours."""
+    found = live.sessions(table(spark, d, "events").select("user_id", "ts", "event_id"), "user_id", "event_id", gap="12 hours")
+    return found.select("user_id", F.unix_micros(F.col("started").cast("timestamp")).alias("started"), F.array_join("history", "|").alias("history"))

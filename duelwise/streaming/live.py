@@ -34,3 +34,9 @@ class LiveElo:
             e = 1 / (1 + BASE ** ((b - a) / SCALE))
             rating[r["model_a"]], rating[r["model_b"]] = a + K * (score[r["winner"]] - e), b - K * (score[r["winner"]] - e)
         spark.createDataFrame(list(rating.items()), "model string, rating double").coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/{epoch}")
+
+
+def sessions(rows: DataFrame, key: str, value: str, ts: str = "ts", gap: str = "30 minutes") -> DataFrame:
+    """The values of each key's session in time order; works on streams (with a watermark) and tables alike."""
+    grouped = rows.groupBy(key, F.session_window(ts, gap).alias("w")).agg(F.sort_array(F.collect_list(F.struct(ts, value))).alias("_v"))
+    return grouped.select(key, F.col("w.start").alias("started"), F.transform("_v", lambda s: s[value]).alias("history"))

@@ -5,8 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from duelwise.functions import text as T
-from duelwise.operators import clean, matrix, ratings, retrieval
+from duelwise.functions import wikitext
+from duelwise.operators import agreement, clean, matrix, ratings, requests, retrieval
 from duelwise.sources import files
+from duelwise.streaming import live
 from duelwise.streaming.live import LiveElo
 
 
@@ -84,3 +86,34 @@ def test_live_elo_matches_batch(spark, tmp_path):
     live(b.where("battle_id >= 2"), 1)
     got = {r["model"]: r["rating"] for r in spark.read.parquet(str(tmp_path / "1")).collect()}
     assert got == pytest.approx({r["model"]: r["rating"] for r in ratings.online_elo(b).collect()})
+
+
+def test_sections_end_at_the_listed_heading(spark):
+    t = "A '''b''' [[x|y]] [[z]]{{Infobox q|{{r}}}}<ref>n</ref>[[Image:p.png|[[l]]]]\n== Life ==\nc [http://h.i j k]\n=== See also this ===\nrest"
+    d = spark.createDataFrame([(t,), ("",), (None,), ("plain",)], "t string")
+    assert [r[0] for r in d.select(wikitext.clean_sections(F.col("t"), ["See also"])).collect()] == ["A b y z\nLife\nc j k", "", None, "plain"]
+    assert d.select(wikitext.clean_sections(F.col("t"))).first()[0].endswith("See also this\nrest")
+
+
+def test_requests(spark):
+    d = spark.createDataFrame([("x", "y", ""), ("x", " x", None), (None, "y", "m"), (" ", "y", "")], "a string, b string, c string")
+    assert [r[0] for r in d.select(requests.valid_group("a", "b")).collect()] == [True, False, False, False]
+    assert [r[0] for r in d.select(requests.route("c")).collect()] == ["battle", "battle", "side_by_side", "battle"]
+    assert [r[0] for r in d.select(requests.client_address(F.col("c"), F.col("a"))).collect()] == ["x", "x", "m", " "]
+
+
+def test_agreement(spark):
+    x, y = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"), spark.createDataFrame([(1, "a"), (3, "c")], "k int, v string")
+    assert {r["k"]: r["agree"] for r in agreement.answers(x, y, "k", "v").collect()} == {1: True, 2: False, 3: False}
+    assert agreement.positional(x, y, "k").first()[:] == (1, 2, 2)
+    assert agreement.positional(x.limit(0), y, "k").first()[:] == (0, 0, 2)
+
+
+def test_live_sessions(spark, tmp_path):
+    """A stream gives the sessions that the table gives."""
+    rows = spark.createDataFrame([("u", 0, "a"), ("u", 60, "b"), ("u", 9000, "c"), ("w", 5, "d")], "user string, s long, prompt string")
+    rows.selectExpr("user", "timestamp_seconds(s) AS ts", "prompt").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("user string, ts timestamp, prompt string").parquet(str(tmp_path / "in")).withWatermark("ts", "1 hour")
+    q = live.sessions(stream, "user", "prompt").writeStream.format("memory").queryName("live_sessions").outputMode("complete").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    assert q.awaitTermination(120)
+    assert sorted((r["user"], r["history"]) for r in spark.table("live_sessions").collect()) == [("u", ["a", "b"]), ("u", ["c"]), ("w", ["d"])]
