@@ -306,7 +306,9 @@ def cross_pairs(met: DataFrame, comps: DataFrame, checked: DataFrame, boundary:
     rare = rows.where("comp <> main").select("token", *(F.col(c).alias(f"{c}1") for c in ("node", "n", "last", "comp", "star")))
     fits = F.expr(f"comp1 <> comp AND (comp = main OR node1 < node) AND {SIZES} AND coalesce(star1 <> star, true)")
     pairs = rare.join(rows, "token").where(fits)
-    counted = pairs.groupBy(F.col("node1").alias("g"), "node").agg(F.count(F.lit(1)).alias("c"), F.first("n1").alias("n1"), F.first("n").alias("n"), F.first("last1").alias("last1"), F.first("last").alias("last"), F.max(F.expr("last1 < 0 AND last < 0")).alias("subset"))
+    # Lists of one pair can have different main components; all count for the pair, whichever side is main there.
+    sides = [F.expr(f"if(node1 < node, {x}, {y})").alias(z) for c in ("node", "n", "last") for x, y, z in ((f"{c}1", c, f"{c}1"), (c, f"{c}1", c))]
+    counted = pairs.select(*sides).groupBy(F.col("node1").alias("g"), "node").agg(F.count(F.lit(1)).alias("c"), F.first("n1").alias("n1"), F.first("n").alias("n"), F.first("last1").alias("last1"), F.first("last").alias("last"), F.max(F.expr("last1 < 0 AND last < 0")).alias("subset"))
     unlisted = f"ceil({NUM} * if(last1 <= last, n1, n) / {DEN}) - 1"
     return counted.where(F.expr(f"subset OR greatest(n1, n) <= {boundary} OR c >= {SHARED} - {unlisted}")).select("g", "node")
 

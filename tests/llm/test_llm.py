@@ -75,6 +75,16 @@ def test_jaccard(docs, empty):
     assert jaccard.jaccard_classes(empty).count() == 0
 
 
+def test_jaccard_counts_a_pair_over_all_lists(spark):
+    """Two sets of 100 shingles that share 89 list 21 each, and 10 of them are shared; each one's group leads 5 of the lists."""
+    groups = {1: (1, 11, 12), 2: (2, 21, 22)}
+    rows = [(t, n, 100, 1000) for t in range(10) for n in (1, 2, *groups[1 + t % 2][1:])]
+    met = spark.createDataFrame(rows, "token long, node long, n int, last long")
+    comps = spark.createDataFrame([(n, c) for c, nodes in groups.items() for n in nodes], "node long, comp long")
+    found = jaccard.cross_pairs(met, comps, spark.createDataFrame([], jaccard.CHECKED), 0).collect()
+    assert [tuple(r) for r in found] == [(1, 2)]
+
+
 def test_jaccard_boundary_follows_cost():
     assert jaccard.choose_boundary({}, 5.0) == 0
     assert jaccard.choose_boundary({4: 1000, 5: 1000, 8: 1000}, 50.0) > 4
