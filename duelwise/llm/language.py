@@ -52,12 +52,12 @@ class Model:
     weights: np.ndarray  # landmarks by languages
     bias: np.ndarray
 
-    def scores(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
-        """One-versus-rest values, about 1 for the own language and -1 for others."""
+    def scores(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One-versus-rest values, about 1 for the own language and -1 for others; the kernel's value at the nearest landmark."""
         held = presence(buf, off)
         norm = np.sqrt(np.maximum(np.count_nonzero(held, axis=1), 1)).astype(np.float32)
         kernel = held[:, self.vocabulary].astype(np.float32) @ self.landmarks / norm[:, None]
-        return kernel @ self.weights + self.bias
+        return kernel @ self.weights + self.bias, kernel.max(axis=1)
 
 
 def fit(train: DataFrame, text: str = "text", label: str = "lang") -> Model | None:
@@ -102,32 +102,33 @@ def _blocks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
 
 
 def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """docs with lang_pred and score (0 to 1: how far the best machine claims the text).
+    """docs with lang_pred, score (0 to 1: how far the best machine claims the text) and kin (0 to 1: how near the
+    nearest landmark is, whatever its language and however many there are).
 
-    Null text, or text without a letter, is ``und`` with score 0, and so is every row without a model. Repeated rows
+    Null text, or text without a letter, is ``und`` with score and kin 0, and so is every row without a model. Repeated rows
     get the same answer; ties go to the first language in order; a column that bears a name of the result is replaced.
     """
     spark = docs.sparkSession
     arrow_rows(spark)
-    docs = docs.drop("lang_pred", "score")
+    docs = docs.drop("lang_pred", "score", "kin")
     at, held = docs.columns.index(text), spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         for batch in batches:
             texts = batch.column(at)
-            names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+            names, scores, kins = [UNKNOWN] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
             for i, _, buf, off in _blocks(texts) if m else ():
-                f = m.scores(buf, off)
+                f, near = m.scores(buf, off)
                 best = f.argmax(axis=1)
                 letters = np.concatenate([[0], np.cumsum((buf | 32) - np.uint8(97) < 26)])
                 ascii_letters = letters[off[1:]] > letters[off[:-1]]
                 for k, b in enumerate(best.tolist()):
                     if ascii_letters[k] or any(map(str.isalpha, texts[i + k].as_py() or "")):
-                        names[i + k], scores[i + k] = m.languages[b], float(np.clip((f[k, b] + 1) / 2, 0, 1))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
+                        names[i + k], scores[i + k], kins[i + k] = m.languages[b], float(np.clip((f[k, b] + 1) / 2, 0, 1)), float(np.clip(near[k], 0, 1))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(kins, pa.float64())], names=[*batch.schema.names, "lang_pred", "score", "kin"])
 
-    schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("kin", DoubleType())])
     return docs.mapInArrow(run, schema)
 
 

@@ -135,6 +135,22 @@ def test_language_held_out_accuracy(spark):
     assert out.select(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0] > 0.98
 
 
+def test_language_stage_rejects_junk(spark):
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randint(2, 9)))
+    base64 = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"
+    junk = [" ".join(word(x) for _ in range(n)) for n in (20, 150) for x in ("abcdefghijklmnopqrstuvwxyz", "αβγδεζηθικλμνξοπρστυφχψω", "абвгдежзийклмнопрстуфхцчшщ")]
+    junk += ["".join(rng.choice(base64) for _ in range(1000)), "a " + "".join(rng.choice("0123456789 ") for _ in range(500))]
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(*corpus_pipeline.COLUMNS)
+    clean = d.where(language.held_out() & F.col("text").rlike(r"\p{L}"))
+    odd = spark.createDataFrame([(10**9 + i, t, None, "junk", len(t)) for i, t in enumerate(junk)], d.schema)
+    kept = corpus_pipeline.language_id(spark, d.unionByName(odd), "").where(language.held_out() | (F.col("source") == "junk")).groupBy((F.col("source") == "junk").alias("junk")).count().collect()
+    kept = {r["junk"]: r["count"] for r in kept}
+    assert True not in kept and kept[False] >= 0.998 * clean.count()
+
+
 def test_lines(spark, docs, empty):
     line = "the quick brown foxes jumped over the lazy dogs in summertime 12 times"
     copy = line.replace(" ", "  ").replace("12", "34").replace("brown", "Brown,")
