@@ -129,7 +129,7 @@ def battle_count_unordered(spark, d):
     return matrix.unordered_counts(anonymous(spark, d))
 
 
-ROUNDS = 20
+ROUNDS = 100
 DRAWS = ANON + f""", p AS (SELECT row_number() OVER (ORDER BY battle_id) - 1 AS place, * FROM b), t AS (SELECT count(*) AS n FROM b),
 dr AS (SELECT r.range AS round, ('0x' || substr(md5(r.range || '-' || i.range), 1, 8))::BIGINT % t.n AS place FROM t, range({ROUNDS}) r, range((SELECT n FROM t)) i)
 SELECT round, model_a, model_b, winner, count(*) AS n FROM dr JOIN p USING (place) GROUP BY ALL"""

@@ -41,3 +41,7 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_bootstrap_has_the_reference_rounds(spark):
+    assert QUERIES["bootstrap_draw_counts"](spark, SF).select("round").distinct().count() == 100
