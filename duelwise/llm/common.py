@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import atexit
-import shutil
+import contextlib
+import re
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
@@ -27,32 +28,63 @@ def arrow_rows(spark: SparkSession, rows: int = 500) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
     """Written tables in the folder named by spark.checkpoint.dir (the warehouse's, where it is unset).
 
-    ``save`` materialises a frame and cuts its lineage: a lost executor only costs the tasks that were running.
+    ``save`` materialises a frame and cuts its lineage: a lost executor only costs the tasks that were running. The
+    shuffle files of a step go when its table is written. The folder goes when the driver ends, on any file system.
     """
 
     def __init__(self, spark: SparkSession, name: str):
-        base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            base = f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
+            if not spark.sparkContext.master.startswith("local") and re.match(r"(file:)?/", base):
+                raise ValueError("on a cluster spark.checkpoint.dir, or the warehouse, has to be a folder that all executors share")
         self.spark, self.root = spark, f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-        local = self.root.removeprefix("file://").removeprefix("file:")
-        if local.startswith("/"):
-            atexit.register(shutil.rmtree, local, ignore_errors=True)
+        _ROOTS.setdefault(spark.sparkContext.applicationId, []).append(self.root)
+        _clean_at_end(spark)
 
-    def save(self, df: DataFrame, name: str, *partition_by: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, *partition_by: str, codec: str = "zstd") -> DataFrame:
         path = f"{self.root}/{name}"
-        writer = df.write.mode("overwrite").option("compression", "zstd")
-        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-        # Spark frees the shuffle files of a finished step once the driver's JVM has collected their handles.
-        self.spark.sparkContext._jvm.System.gc()
+        writer = df.write.mode("overwrite").option("compression", codec)
+        before = self.spark.conf.get(CLEANUP, None)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+        finally:
+            self.spark.conf.unset(CLEANUP) if before is None else self.spark.conf.set(CLEANUP, before)
         fields = sorted(df.schema.fields, key=lambda f: f.name in partition_by)
         return self.spark.read.schema(StructType(fields)).parquet(path)
 
     def drop(self, name: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(self.spark, f"{self.root}/{name}")
+
+
+_ROOTS: dict[str, list[str]] = {}
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _clean_at_end(spark: SparkSession) -> None:
+    """Once per application: delete its scratch folders before the context stops, or as the driver's Python ends."""
+    app = spark.sparkContext.applicationId
+    if len(_ROOTS[app]) > 1:
+        return
+
+    def clean() -> None:
+        with contextlib.suppress(Exception):  # the JVM may be gone
+            for root in _ROOTS.pop(app, []):
+                _delete(spark, root)
+
+    atexit.register(clean)
 
 
 def partitions(spark: SparkSession) -> int:
