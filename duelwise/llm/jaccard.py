@@ -27,7 +27,7 @@ FREQUENT = 1 << 15
 #: Largest boundary that is weighed for light sets.
 LIGHT_MOST = 12
 #: Members of one star that one task verifies.
-STAR = 2000
+STAR = 400
 
 
 def need(a: int, b: int) -> int:
@@ -58,11 +58,11 @@ def node_of(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
 
 
-PROFILE = "kind int, a long, b long, n int"
+PROFILE = "kind int, a long, b long, n int, fp long"
 
 
 def profile(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """kind 0: (key, hash of the set, its size) per row. kind 1: (shingle, count) of shingles that come up often."""
+    """kind 0: (key, hash of the set, its size, hash of the text) per row. kind 1: (shingle, count) of shingles that come up often."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema, held, size = arrow_schema(PROFILE), [], 0
@@ -71,10 +71,10 @@ def profile(docs: DataFrame, key: str, text: str) -> DataFrame:
             token, count = np.unique(np.concatenate(held), return_counts=True)
             token, count = token[count > 2].view(np.int64), count[count > 2]
             m = len(token)
-            return arrow_batch(schema, [np.ones(m, np.int32), token, count, np.zeros(m, np.int32)])
+            return arrow_batch(schema, [np.ones(m, np.int32), token, count, np.zeros(m, np.int32), np.zeros(m, np.int64)])
 
         for batch in batches:
-            keys = batch.column(0).to_pylist()
+            keys, fps = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             for i, j, buf, off in text_chunks(batch.column(1)):
                 nodes, ns = [], []
                 for s in shingle_sets(buf, off, WIDTH):
@@ -82,14 +82,14 @@ def profile(docs: DataFrame, key: str, text: str) -> DataFrame:
                     ns.append(len(s))
                     held.append(s)
                     size += len(s)
-                yield arrow_batch(schema, [np.zeros(j - i, np.int32), keys[i:j], nodes, ns])
+                yield arrow_batch(schema, [np.zeros(j - i, np.int32), keys[i:j], nodes, ns, fps[i:j]])
                 if size > 1 << 20:
                     yield often()
                     held, size = [], 0
         if held:
             yield often()
 
-    return docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(run, PROFILE)
+    return docs.select(F.col(key).cast("long"), F.col(text), F.xxhash64(text)).mapInArrow(run, PROFILE)
 
 
 LISTS = "token long, node long, n int, last long"
@@ -171,13 +171,13 @@ def lists(docs: DataFrame, text: str, frequent: np.ndarray, rank: np.ndarray, bo
     return rows.repartition(partitions(spark), "token").sortWithinPartitions("token", "node").mapInArrow(shared, LISTS)
 
 
-CHECKED = "kind int, a long, b long, shared int, n int, token long"
-LINK, MEMBER, OWN = 0, 1, 2
+CHECKED = "kind int, a long, b long, shared int, n int, own array<long>"
+LINK, MEMBER = 0, 1
 
 
 def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Rows (CHECKED) of pairs (g, node): a LINK if they are one; a MEMBER, with the shared count, if the node shares
-    at least half of its shingles with the centre g, and then one OWN row for each shingle that g doesn't have.
+    """Rows (CHECKED) of pairs (g, node): a LINK if they are one; a MEMBER, with the shared count and the shingles that
+    g doesn't have, if the node shares at least half of its shingles with the centre g.
 
     A star's members are dealt to tasks of STAR members, each with its centre.
     """
@@ -206,8 +206,7 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text
                         if shared >= need(len(centre), n):
                             found.append((LINK, g[k], node[k], shared, n, None))
                         if 2 * shared >= n:
-                            found.append((MEMBER, g[k], node[k], shared, n, None))
-                            found += [(OWN, g[k], node[k], shared, n, t) for t in s[~same].view(np.int64).tolist()]
+                            found.append((MEMBER, g[k], node[k], shared, n, s[~same].view(np.int64)))
             if found:
                 yield arrow_batch(schema, list(zip(*found, strict=True)))
 
@@ -216,7 +215,14 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text
 
 
 def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", scratch: Scratch | None = None) -> DataFrame:
-    """key, n_shingles, component_id (smallest key reachable by links, the row's own included) for every row.
+    """key, n_shingles, component_id (smallest key reachable by links, the row's own included) for every row."""
+    rows = jaccard_rows(docs, key, text, scratch)
+    return rows.select(F.col("key").alias(key), F.col("n").cast("long").alias("n_shingles"), "component_id")
+
+
+def jaccard_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", scratch: Scratch | None = None) -> DataFrame:
+    """key, fp (hash of the text), n (set size), component_id and grp for every row; rows of one group, null keys too, bear
+    the same grp, and rows with an empty set a null one.
 
     1. One row per different set; copies hang on their set from here on.
     2. Inverted lists (and subset lists of small sets), kept where two sets meet.
@@ -232,7 +238,7 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", sc
     arrow_rows(spark)
     scratch = scratch or Scratch(spark, "jaccard")
     prof = scratch.save(profile(docs, key, text), "profile", "kind")
-    rows = prof.where("kind = 0").select(F.col("a").alias("key"), F.col("b").alias("node"), "n")
+    rows = prof.where("kind = 0").select(F.col("a").alias("key"), F.col("b").alias("node"), "n", "fp")
     classes = scratch.save(rows.where("n > 0").groupBy("node").agg(F.min("key").alias("first"), F.first("n").alias("n")), "classes")
 
     often = prof.where("kind = 1").groupBy("a").agg(F.sum("b").alias("c")).orderBy(F.desc("c")).limit(FREQUENT).toPandas()
@@ -260,9 +266,9 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", sc
     final = components(links.unionByName(more), scratch, "final")
     named = final.join(classes.select("node", "first"), "node")
     least = named.groupBy("comp").agg(F.min("first").alias("least"))
-    named = classes.select("node", "first").join(final, "node", "left").join(least, "comp", "left").select(F.col("node").alias("_node"), F.coalesce("least", "first").alias("component"))
+    named = classes.select("node", "first").join(final, "node", "left").join(least, "comp", "left").select(F.col("node").alias("_node"), F.coalesce("least", "first").alias("component"), F.coalesce("comp", "node").alias("grp"))
     out = rows.join(named, F.col("node") == F.col("_node"), "left")
-    return out.select(F.col("key").alias(key), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "key").alias("component_id"))
+    return out.select("key", "fp", "n", F.coalesce("component", "key").alias("component_id"), "grp")
 
 
 SHARED = f"ceil({NUM} * (n1 + n) / {DEN + NUM})"
@@ -275,16 +281,15 @@ def star_pairs(checked: DataFrame, comps: DataFrame) -> DataFrame:
     Two members share at most the smaller of what each shares with the centre, and what both have beside it. So they
     are a pair if the first is enough, or with the shingles that they share beside the centre.
     """
-    rows = checked.where(F.col("kind") != LINK).select("kind", F.col("a").alias("star"), F.col("b").alias("node"), "shared", "n", "token").distinct()
+    rows = checked.where(F.col("kind") == MEMBER).select(F.col("a").alias("star"), F.col("b").alias("node"), "shared", "n", "own").dropDuplicates(["star", "node"])
     rows = rows.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    member = rows.where(F.col("kind") == MEMBER)
-    sums = member.groupBy("star", "comp").agg(F.count(F.lit(1)).alias("c"))
+    sums = rows.groupBy("star", "comp").agg(F.count(F.lit(1)).alias("c"))
     main = sums.groupBy("star").agg(F.max(F.struct("c", "comp"))["comp"].alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1").drop("comps")
     rows = rows.join(main, "star")
     first = lambda d, *keys: d.where("comp <> main").select(*keys, *(F.col(c).alias(f"{c}1") for c in ("node", "shared", "n", "comp")))
     differ = f"comp1 <> comp AND (comp = main OR node1 < node) AND {SIZES}"
-    member, own = rows.where(F.col("kind") == MEMBER), rows.where(F.col("kind") == OWN)
-    enough = first(member, "star").join(member, "star").where(f"{differ} AND least(shared1, shared) >= {SHARED}").select(F.col("node1").alias("g"), "node")
+    enough = first(rows, "star").join(rows, "star").where(f"{differ} AND least(shared1, shared) >= {SHARED}").select(F.col("node1").alias("g"), "node")
+    own = rows.select("star", "main", "node", "shared", "n", "comp", F.explode("own").alias("token"))
     beside = first(own, "star", "token").join(own, ["star", "token"]).where(differ)
     beside = beside.groupBy("node1", "node").agg(F.count(F.lit(1)).alias("c"), *(F.first(c).alias(c) for c in ("shared1", "shared", "n1", "n")))
     beside = beside.where(f"least(shared1, shared) + c >= {SHARED}").select(F.col("node1").alias("g"), "node")
