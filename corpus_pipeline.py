@@ -35,9 +35,25 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest id of each group of near copies."""
-    found = jaccard.jaccard_classes(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").select(*COLUMNS)
+    """Keeps one document of each group of near copies, the one of smallest id (null last), of several rows of that id one.
+
+    Documents without words are linked with nothing and stay. An empty table gives an empty one; texts of any length
+    are compared whole.
+    """
+    scratch = Scratch(spark, "near")
+    rows = scratch.save(jaccard.jaccard_rows(docs), "rows")
+    best = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "fp")).alias("best")
+    chosen = rows.where("grp IS NOT NULL").groupBy("grp").agg(best).select("best.key", "best.fp").distinct()
+    kept = scratch.save(rows.where("grp IS NULL").select("key", "fp").distinct().unionByName(chosen), "kept").select(F.col("key").alias("_key"), F.col("fp").alias("_fp"))
+    same = lambda key, fp: F.col("_key").eqNullSafe(F.col(key)) & F.col("_fp").eqNullSafe(fp)
+    out = docs.join(kept, same("doc_id", F.xxhash64("text")), "left_semi").select(*COLUMNS)
+    repeated = rows.where("grp IS NOT NULL").groupBy("key", "fp").agg(F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+    repeated = repeated.join(kept, same("key", F.col("fp")), "left_semi").withColumnsRenamed({"key": "_key", "fp": "_fp"})
+    if repeated.isEmpty():
+        return out
+    several = same("doc_id", F.xxhash64("text"))
+    once = out.join(repeated, several, "left_semi").dropDuplicates(["doc_id", "text"])
+    return out.join(repeated, several, "left_anti").unionByName(once)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
