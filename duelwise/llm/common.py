@@ -23,9 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def arrow_rows(spark: SparkSession, rows: int = 500) -> None:
-    """Bound the rows of an Arrow batch, since single texts can be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the bytes of an Arrow batch (8 MB, unless the session has its own bound), since single rows can be long."""
+    if spark.conf.get(BATCH_BYTES, None) is None:
+        spark.conf.set(BATCH_BYTES, str(8 << 20))
 
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_batch, arrow_rows, arrow_schema, partitions, shingle_sets, table, text_chunks
+from .common import Scratch, arrow_batch, arrow_schema, bound_batches, partitions, shingle_sets, table, text_chunks
 from .graph import components
 
 WIDTH, NUM, DEN = 5, 80, 100
@@ -235,7 +235,7 @@ def jaccard_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", scrat
     out of the minimum; alone they have a null component. Repeated rows each get a row. An empty table gives none.
     """
     spark = docs.sparkSession
-    arrow_rows(spark)
+    bound_batches(spark)
     scratch = scratch or Scratch(spark, "jaccard")
     prof = scratch.save(profile(docs, key, text), "profile", "kind")
     rows = prof.where("kind = 0").select(F.col("a").alias("key"), F.col("b").alias("node"), "n", "fp")

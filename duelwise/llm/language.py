@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import _LOWER, arrow_rows, table, text_chunks
+from .common import _LOWER, bound_batches, table, text_chunks
 
 #: Training bounds: texts per language, languages (the most frequent ones), landmarks, and the ridge.
 TEXTS, LANGUAGES, LANDMARKS, RIDGE = 500, 200, 256, 1e-2
@@ -109,7 +109,7 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
     get the same answer; ties go to the first language in order; a column that bears a name of the result is replaced.
     """
     spark = docs.sparkSession
-    arrow_rows(spark)
+    bound_batches(spark)
     docs = docs.drop("lang_pred", "score", "kin")
     at, held = docs.columns.index(text), spark.sparkContext.broadcast(model)
 

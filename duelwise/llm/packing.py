@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_batch, arrow_rows, arrow_schema, table
+from .common import arrow_batch, arrow_schema, bound_batches, table
 from .encode import encoder
 
 LENGTH = 2048
@@ -92,7 +92,7 @@ def pack(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "tex
     packed as often as they occur; an empty table gives no pieces.
     """
     spark = docs.sparkSession
-    arrow_rows(spark)
+    bound_batches(spark)
     groups = max(1, -(-docs.count() // group_docs))
     rest = "g long, doc_id long, doc_tokens long, full binary, ids binary"
 

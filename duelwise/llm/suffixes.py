@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _BYTE, Scratch, arrow_batch, arrow_rows, arrow_schema, mix, partitions, table, text_chunks
+from .common import _BYTE, Scratch, arrow_batch, arrow_schema, bound_batches, mix, partitions, table, text_chunks
 
 LENGTH, K = 200, 32
 #: Longest run in windows, and most runs of one leading token that are sorted in one task.
@@ -288,7 +288,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", scr
     table gives no rows. Other columns play no part.
     """
     spark = docs.sparkSession
-    arrow_rows(spark)
+    bound_batches(spark)
     spans = repeated_spans(docs, key, text, scratch or Scratch(spark, "repeats"))
     spans = spans.groupBy("doc_id", "fp").agg(F.collect_list(F.struct("lo", "windows")).alias("spans")).withColumnsRenamed({"doc_id": "_d", "fp": "_f"})
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("fp"), F.col(text).alias("text"))

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_batch, arrow_rows, arrow_schema, partitions, table
+from .common import Scratch, arrow_batch, arrow_schema, bound_batches, partitions, table
 from .encode import encoder
 
 END = 1
@@ -122,7 +122,7 @@ def write_shards(docs: DataFrame, scratch: Scratch, vocabulary: str, key: str =
     shard. Null text is empty and has only the end id; rows of one key are ordered by text.
     """
     spark = docs.sparkSession
-    arrow_rows(spark)
+    bound_batches(spark)
     n = max(partitions(spark), 1)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,7 +155,7 @@ def write_shards(docs: DataFrame, scratch: Scratch, vocabulary: str, key: str =
 def read_shards(shards: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the shards alone."""
     spark = shards.sparkSession
-    arrow_rows(spark, 4)
+    bound_batches(spark)
     out = "part int, shard int, doc_id long, local long, n_tokens long, ids_crc32 long"
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,7 +1,9 @@
 """Nearest neighbours by collision counting, and exact inner-product search over norm buckets.
 
-Vectors are packed into blocks of rows; each block is its own index. Blocks of queries (a bounded number of rows) are
-sent to every block of vectors, and the best of all blocks are merged. No task holds more than one block of each.
+Vectors are packed into blocks of rows; each block is its own index. Queries are first searched in one block, which
+bounds what their other neighbours have to reach. Then blocks of queries (a bounded number of rows) are sent to the
+blocks of vectors that can reach a bound of theirs, and the best of all blocks are merged. No task holds more than one
+block of each.
 """
 
 from __future__ import annotations
@@ -16,12 +18,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_batch, arrow_rows, arrow_schema, table
+from .common import Scratch, arrow_batch, arrow_schema, bound_batches, table
 
 BLOCK, QUERIES, TOP = 4096, 512, 10
 #: Projections, share of them that must collide, window at radius 1 (QALSH's for a factor of 2), growth of the radius.
 PROJECTIONS, COLLIDE, WINDOW, GROWTH = 64, 0.74, 2.719, 1.15
-PACKED = "block long, dim int, ids binary, data binary"
+PACKED = "block long, dim int, ids binary, data binary, grade double"
 
 
 def sound(df: DataFrame, key: str, vector: str, nonzero: bool) -> DataFrame:
@@ -34,8 +36,8 @@ def sound(df: DataFrame, key: str, vector: str, nonzero: bool) -> DataFrame:
     return df.where(ok).select(F.col(key).cast("long").alias("id"), v.alias("vec"))
 
 
-def packed(rows: DataFrame, size: int) -> DataFrame:
-    """Rows (id, vec) in the order of each partition as blocks of one dimension and at most ``size`` rows."""
+def packed(rows: DataFrame, size: int, grade: Callable = lambda x: 0.0) -> DataFrame:
+    """Rows (id, vec) in the order of each partition as blocks of one dimension and at most ``size`` rows, each with the grade of its vectors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema, part, count, held = arrow_schema(PACKED), TaskContext.get().partitionId(), 0, {}
@@ -44,7 +46,8 @@ def packed(rows: DataFrame, size: int) -> DataFrame:
             nonlocal count
             count += 1
             ids, data = zip(*held.pop(dim), strict=True)
-            return arrow_batch(schema, [[(part << 32) | count], [dim], [np.array(ids, np.int64).tobytes()], [np.array(data).tobytes()]])
+            x = np.array(data)
+            return arrow_batch(schema, [[(part << 32) | count], [dim], [np.array(ids, np.int64).tobytes()], [x.tobytes()], [float(grade(x))]])
 
         for batch in batches:
             ids, col = batch.column(0).to_pylist(), batch.column(1)
@@ -63,13 +66,22 @@ def packed(rows: DataFrame, size: int) -> DataFrame:
 FOUND = "query_id long, vec_id long, score double"
 
 
+def asked(rows: DataFrame, is_query) -> DataFrame:
+    """One query of each id: of different vectors of one id the smallest."""
+    return rows.where(is_query(F.col("id"))).groupBy("id").agg(F.min("vec").alias("vec"))
+
+
 def search(blocks: DataFrame, queries: DataFrame, local: Callable, found: str = FOUND) -> DataFrame:
-    """local(block id, ids, vectors, query ids, query vectors) -> columns of ``found``, over all pairs of blocks."""
-    spark = blocks.sparkSession
-    arrow_rows(spark, 2)
-    ids = [r["block"] for r in blocks.select("block").distinct().collect()]  # one for every BLOCK vectors
-    to = F.explode(F.from_json(F.lit(str(ids)), "array<bigint>"))
-    sent = queries.select(to.alias("block"), "dim", F.col("ids").alias("qids"), F.col("data").alias("qdata"))
+    """local(block id, ids, vectors, query ids, query vectors) -> columns of ``found``, over all pairs of blocks that
+    can meet: those whose grade reaches the queries' grade."""
+    bound_batches(blocks.sparkSession)
+    # Ids are (partition, place in it): two numbers name all that there can be.
+    parts, most = blocks.agg(F.max(F.shiftright("block", 32)), F.max(F.col("block").bitwiseAND(F.lit((1 << 32) - 1)))).first()
+    to = queries.select(F.col("block").alias("q"), "dim", F.col("grade").alias("need"), F.explode(F.sequence(F.lit(0), F.lit(parts or 0))).alias("part"))
+    to = to.select("q", "dim", "need", "part", F.explode(F.sequence(F.lit(1), F.lit(most or 1))).alias("place"))
+    to = to.select("q", "dim", "need", (F.shiftleft(F.col("part").cast("long"), 32) + F.col("place")).alias("block"))
+    pairs = to.join(blocks.select("block", "dim", "grade"), ["block", "dim"]).where("grade >= need").select("block", "q")
+    sent = pairs.join(queries.select(F.col("block").alias("q"), F.col("ids").alias("qids"), F.col("data").alias("qdata")), "q").drop("q")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = arrow_schema(found)
@@ -81,7 +93,21 @@ def search(blocks: DataFrame, queries: DataFrame, local: Callable, found: str =
                 columns = local(r["block"], np.frombuffer(r["ids"], np.int64), x, qids, q)
                 yield arrow_batch(schema, columns)
 
-    return blocks.join(sent, ["block", "dim"]).select("block", "dim", "ids", "data", "qids", "qdata").mapInArrow(run, found)
+    return blocks.drop("grade").join(sent, "block").select("block", "dim", "ids", "data", "qids", "qdata").mapInArrow(run, found)
+
+
+def bounded(queries: DataFrame, first: DataFrame, worst, top: int) -> DataFrame:
+    """queries(id, vec) with one more component: what the last of ``top`` scores found first is (``worst`` of them), or infinite."""
+    bound = first.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), worst("score").cast("double").alias("bound")).where(F.col("n") >= top)
+    joined = queries.join(bound, queries["id"] == bound["query_id"], "left")
+    return joined.select("id", F.concat("vec", F.array(F.coalesce("bound", F.lit(float("inf") if worst is F.max else float("-inf"))))).alias("vec"))
+
+
+def query_blocks(queries: DataFrame, scratch: Scratch, name: str, extra: int = 0, grade: Callable = lambda x: 0.0, order=None) -> DataFrame:
+    """Packed queries, those of a block near each other in ``order``; ``extra`` components at the end don't count as dimensions."""
+    tasks = 1 + queries.count() // (4 * QUERIES)
+    dealt = queries.repartition(tasks, "id") if order is None else queries.withColumn("_o", order).repartitionByRange(tasks, "_o", "id").sortWithinPartitions("_o", "id").drop("_o")
+    return scratch.save(packed(dealt, QUERIES, grade).withColumn("dim", F.col("dim") - extra), name)
 
 
 def best(found: DataFrame, order: list, top: int = TOP) -> DataFrame:
@@ -106,28 +132,22 @@ class CollisionIndex:
         self.least = max(1, int(np.ceil(COLLIDE * projections)))
         self.start = max(float(np.std(values)) / 8, 1e-9)
 
-    def query(self, q: np.ndarray, own: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places and distances of verified vectors, at least the ``top`` nearest as far as found."""
+    def query(self, q: np.ndarray, own: np.ndarray, top: int, bound: float = np.inf) -> tuple[np.ndarray, np.ndarray]:
+        """Places and distances of verified vectors, at least the ``top`` nearest within ``bound`` as far as found."""
         n, m = len(self.x), len(self.order)
-        at, radius = q @ self.a, self.start
+        at, radius = (q @ self.a)[:, None], self.start if bound == np.inf else max(bound / GROWTH**2, 1e-9)
         count, done = np.zeros(n, np.int32), own.copy()
-        lo = np.array([np.searchsorted(self.values[j], at[j]) for j in range(m)])
-        hi, places, dists = lo.copy(), [], []
-        near = np.full(top, np.inf)
+        lo = hi = np.full(m, -1)
+        places, dists, near = [], [], np.full(top, bound)
         while True:
             half = WINDOW * radius / 2
-            fresh = []
-            for j in range(m):
-                v = self.values[j]
-                a, b = v.searchsorted(at[j] - half), v.searchsorted(at[j] + half, "right")
-                if a < lo[j]:
-                    fresh.append(self.order[j, a : lo[j]])
-                    lo[j] = a
-                if b > hi[j]:
-                    fresh.append(self.order[j, hi[j] : b])
-                    hi[j] = b
-            if fresh:
-                count += np.bincount(np.concatenate(fresh), minlength=n).astype(np.int32)
+            a, b = np.count_nonzero(self.values < at - half, axis=1), np.count_nonzero(self.values <= at + half, axis=1)
+            if lo[0] < 0:
+                fresh = [self.order[j, s:e] for j, s, e in zip(range(m), a.tolist(), b.tolist(), strict=True)]
+            else:
+                fresh = [x for j, s, u, v, e in zip(range(m), a.tolist(), lo.tolist(), hi.tolist(), b.tolist(), strict=True) for x in (self.order[j, s:u], self.order[j, v:e])]
+            lo, hi = a, b
+            count += np.bincount(np.concatenate(fresh), minlength=n)
             new = np.flatnonzero((count >= self.least) & ~done)
             if len(new):
                 done[new] = True
@@ -150,24 +170,30 @@ def nearest(vectors: DataFrame, is_query, key: str = "vec_id", vector: str = "em
 
     Approximate: recall is measured by tests. Rows without key, and vectors null, empty, zero or with null or
     non-finite components take no part; a query meets vectors of its own dimension and no row of its own id. Repeated
-    rows are candidates each. Other columns play no part; an empty table gives no rows.
+    rows are candidates each, but one query (of different vectors of a query's id the smallest asks). Other columns play
+    no part; an empty table gives no rows.
     """
     spark = vectors.sparkSession
-    arrow_rows(spark, 2000)
+    bound_batches(spark)
     scratch = Scratch(spark, "nearest")
     rows = sound(vectors, key, vector, True)
     blocks = scratch.save(packed(rows, BLOCK), "blocks")
-    queries = scratch.save(packed(rows.where(is_query(F.col("id"))).repartition(1 + rows.where(is_query(F.col("id"))).count() // (4 * QUERIES)), QUERIES), "queries")
+    who = scratch.save(asked(rows, is_query), "asked")
 
     def local(block: int, ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray) -> list:
         known, out = index(CollisionIndex, x.tobytes(), x.shape[1]), ([], [], [])
-        for i, v in zip(qids.tolist(), q, strict=True):
-            at, d = known.query(v, ids == i, top)
+        bounds = q[:, -1] if q.shape[1] > x.shape[1] else np.full(len(q), np.inf)
+        for i, v, bound in zip(qids.tolist(), q[:, : x.shape[1]], bounds.tolist(), strict=True):
+            at, d = known.query(v, ids == i, top, bound)
             pick = _first(ids[at], d, top)
+            pick = pick[d[pick] <= bound]
             for column, values in zip(out, (np.full(len(pick), i), ids[at][pick], d[pick]), strict=True):
                 column.append(values)
         return [np.concatenate(c) for c in out]
 
+    head = blocks.join(F.broadcast(blocks.groupBy("dim").agg(F.min("block").alias("block"))), ["dim", "block"])
+    first = scratch.save(search(head, query_blocks(who, scratch, "queries"), local), "first")
+    queries = query_blocks(bounded(who, first, F.max, top), scratch, "bounded", 1)
     found = scratch.save(search(blocks, queries, local), "found")
     return best(found, [F.col("score"), F.col("vec_id")], top)
 
@@ -185,6 +211,12 @@ def _products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.array([min(max(s, -(1 << 63)), (1 << 63) - 1) for s in ints], np.int64)
 
 
+def _least_length(q: np.ndarray) -> float:
+    """The length that some vector needs to reach the bound (last component) of one of these queries."""
+    length, bound = np.sqrt((q[:, :-1] ** 2).sum(axis=1)), q[:, -1]
+    return float(np.where((bound > 0) & (length > 0), bound / np.maximum(length, 1e-300) * (1 - 1e-9), -np.inf).min())
+
+
 class NormBucket:
     """Vectors by falling length, and for each coordinate the sorted values of the unit vectors."""
 
@@ -224,15 +256,15 @@ def top_products(vectors: DataFrame, is_query, key: str = "vec_id", vector: str
     Null and odd values are handled as in ``nearest``, but zero vectors take part.
     """
     spark = vectors.sparkSession
-    arrow_rows(spark, 2000)
+    bound_batches(spark)
     scratch = Scratch(spark, "products")
     rows = sound(vectors, key, vector, False).select("id", F.transform("vec", lambda x: _floor(x * F.lit(scale))).alias("vec"))
     rows = rows.withColumn("norm", F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x))
     n = max(1, -(-rows.count() // BLOCK))
-    sorted_rows = rows.repartitionByRange(min(n, 1000), F.desc("norm"), F.asc("id")).sortWithinPartitions(F.desc("norm"), F.asc("id")).select("id", "vec")
-    blocks = scratch.save(packed(sorted_rows, BLOCK), "blocks")
-    asked = rows.where(is_query(F.col("id"))).select("id", "vec")
-    queries = scratch.save(packed(asked.repartition(1 + asked.count() // (4 * QUERIES)), QUERIES), "queries")
+    sorted_rows = rows.repartitionByRange(n, F.desc("norm"), F.asc("id")).sortWithinPartitions(F.desc("norm"), F.asc("id")).select("id", "vec")
+    blocks = scratch.save(packed(sorted_rows, BLOCK, lambda x: np.sqrt((x * x).sum(axis=1)).max()), "blocks")
+    who = scratch.save(asked(rows, is_query), "asked")
+    queries = query_blocks(who, scratch, "queries", grade=lambda x: -np.inf)
 
     def within(ids, x, qids, q, least) -> list:
         known, out = index(NormBucket, x.tobytes(), x.shape[1]), ([], [], [])
@@ -251,9 +283,9 @@ def top_products(vectors: DataFrame, is_query, key: str = "vec_id", vector: str
 
     head = blocks.join(F.broadcast(blocks.groupBy("dim").agg(F.min("block").alias("block"))), ["dim", "block"])
     first = scratch.save(search(head, queries, lambda b, ids, x, qids, q: within(ids, x, qids, q, [-np.inf] * len(q)), SCORED), "first")
-    least = first.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least")).where(F.col("n") >= top)
-    asked = asked.join(least, asked["id"] == least["query_id"], "left").select("id", F.concat("vec", F.array(F.coalesce(F.col("least").cast("double"), F.lit(float("-inf"))))).alias("vec"))
-    queries = scratch.save(packed(asked.repartition(1 + asked.count() // (4 * QUERIES)), QUERIES).withColumn("dim", F.col("dim") - 1), "bounded")
+    squares = F.aggregate(F.slice("vec", 1, F.size("vec") - 1), F.lit(0.0), lambda a, x: a + x * x)
+    reach = F.when((squares > 0) & (F.element_at("vec", -1) > 0), F.element_at("vec", -1) / F.sqrt(squares)).otherwise(float("-inf"))
+    queries = query_blocks(bounded(who, first, F.min, top), scratch, "bounded", 1, _least_length, reach)
 
     def pruned(block, ids, x, qids, q) -> list:
         return within(ids, x, qids, q[:, :-1], q[:, -1])

@@ -345,9 +345,32 @@ def test_nearest(spark):
         assert sorted(found) == list(range(1, 11)) and [s for _, s in sorted(found.values(), key=lambda v: v[1])] == [found[k][1] for k in range(1, 11)]
         hits += len({i for _, i in want} & {i for i, _ in found.values()})
     assert got[0][1] == (903, 0.0) and hits >= 54
+    twice = vectors.nearest(d.unionByName(d.where("vec_id = 100")), vectors.hundredth).where("query_id = 100").collect()
+    assert sorted(r["rank"] for r in twice) == list(range(1, 11)) and len({r["vec_id"] for r in twice}) == 10
     assert vectors.nearest(spark.createDataFrame([], VECTORS), vectors.hundredth).count() == 0
 
 
+def test_nearest_over_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK", 100)
+    monkeypatch.setattr(vectors, "QUERIES", 4)
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.standard_normal((1500, 24)) * 0.3 + rng.standard_normal(24) for _ in range(2)])
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in vectors.nearest(d, vectors.hundredth).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = 0
+    for q in range(0, 3000, 100):
+        far = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        far[q] = np.inf
+        hits += len(got[q] & set(np.argsort(far)[:10].tolist()))
+    assert hits >= 0.9 * 300
+    ours = [(r["query_id"], r["rank"], r["score"]) for r in vectors.top_products(d, vectors.hundredth).collect()]
+    w = np.floor(1024 * x)
+    want = [(q, k + 1, s) for q in range(0, 3000, 100) for k, s in enumerate(sorted((int(v) for i, v in enumerate(w @ w[q]) if i != q), reverse=True)[:10])]
+    assert sorted(ours) == want
+
+
 def test_top_products(spark):
     d, x = odd_vectors(spark)
     x = {i: np.floor(1024 * v) for i, v in x.items()} | {800: np.zeros(16)}
@@ -357,6 +380,8 @@ def test_top_products(spark):
     for q in (0, 100, 500, 800):
         want = sorted((-int(x[i] @ x[q]), i) for i in x if i != q)[:10]
         assert [got[q][k] for k in range(1, 11)] == [(i, -s) for s, i in want]
+    twice = vectors.top_products(d.unionByName(d.where("vec_id = 100")), vectors.hundredth).where("query_id = 100").collect()
+    assert sorted(r["rank"] for r in twice) == list(range(1, 11)) and len({r["vec_id"] for r in twice}) == 10
     assert vectors.top_products(spark.createDataFrame([], VECTORS), vectors.hundredth).count() == 0
 
 
