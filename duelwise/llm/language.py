@@ -16,10 +16,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import _LOWER, bound_batches, table, text_chunks
+from .common import _LOWER, Scratch, bound_batches, table, text_chunks
 
-#: Training bounds: texts per language, languages (the most frequent ones), landmarks, and the ridge.
-TEXTS, LANGUAGES, LANDMARKS, RIDGE = 500, 200, 256, 1e-2
+#: Training bounds: texts per language, texts in all (each language has its share), landmarks; and the ridge.
+TEXTS, SAMPLE, LANDMARKS, RIDGE = 500, 100_000, 256, 1e-2
 SPECTRUM, DIM, ROWS = (1, 2, 3), 1 << 16, 128
 UNKNOWN = "und"
 
@@ -60,40 +60,79 @@ class Model:
         return kernel @ self.weights + self.bias, kernel.max(axis=1)
 
 
-def fit(train: DataFrame, text: str = "text", label: str = "lang") -> Model | None:
-    """Learn from at most TEXTS rows of each of the LANGUAGES most frequent labels, chosen by a hash of the row.
+def sample(train: DataFrame, text: str = "text", label: str = "lang") -> DataFrame:
+    """(t, y, place): about as many rows of each label as its share of the bounds is, chosen by a hash of the row."""
+    rows = train.where(F.col(text).isNotNull() & F.col(label).isNotNull()).select(F.col(text).alias("t"), F.col(label).cast("string").alias("y"))
+    counts = rows.groupBy("y").agg(F.count(F.lit(1)).alias("n"))
+    each = max(1, min(TEXTS, SAMPLE // max(1, counts.count())))
+    share = counts.select(F.col("y").alias("_y"), (F.lit(each) / F.col("n")).alias("share"))
+    place = F.pmod(F.xxhash64("t", "y"), F.lit(1 << 40)).cast("double") / float(1 << 40)
+    # The least place of a label is always in, so that no label is without a text.
+    picked = rows.withColumn("place", place).join(share, F.col("y") == F.col("_y"))
+    least = rows.groupBy("y").agg(F.min(place).alias("least")).withColumnRenamed("y", "_z")
+    return picked.join(least, F.col("y") == F.col("_z")).where("place < share OR place = least").select("t", "y", "place").distinct()
+
 
-    Rows with null text or label play no part. None, if no row is left.
+def fit(train: DataFrame, text: str = "text", label: str = "lang", scratch: Scratch | None = None) -> Model | None:
+    """Learn from a sample (TEXTS, SAMPLE) of all labels; equal rows count once. None, if no row has text and label.
+
+    The landmarks are the texts of smallest hash. Tasks add up the products of their texts' features; only the sums,
+    which depend on the number of landmarks and labels, come to the driver.
     """
-    rows = train.where(F.col(text).isNotNull() & F.col(label).isNotNull()).select(F.col(text).alias("t"), F.col(label).cast("string").alias("y"))
-    counts = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "y").limit(LANGUAGES).collect()}
-    if not counts:
+    spark = train.sparkSession
+    bound_batches(spark)
+    rows = (scratch or Scratch(spark, "language")).save(sample(train, text, label), "sample")
+    first = rows.orderBy("place", "t", "y").limit(LANDMARKS).mapInArrow(_bits, "place double, data binary").toPandas()
+    if not len(first):
         return None
-    share = F.create_map(*[F.lit(x) for y, n in counts.items() for x in (y, min(1.0, 1.2 * TEXTS / n))])
-    place = F.pmod(F.xxhash64("t", "y"), F.lit(1 << 40)).cast("double") / float(1 << 40)
-    picked = rows.withColumn("place", place).where(F.col("place") < F.try_element_at(share, "y"))
-    found = picked.limit(LANGUAGES * TEXTS * 2).toPandas().sort_values(["y", "place", "t"], ignore_index=True).groupby("y").head(TEXTS)
-    languages = sorted(found["y"].unique())
-    held, norms = [], []
-    for _, _, buf, off in _blocks(pa.array(found["t"].tolist())):
-        x = presence(buf, off)
-        norms.append(np.count_nonzero(x, axis=1))
-        held.append(np.packbits(x, axis=1))
-    bits, norm = np.concatenate(held), np.sqrt(np.maximum(np.concatenate(norms), 1)).astype(np.float32)
-    pick = np.argsort(found["place"].to_numpy(), kind="stable")[: min(LANDMARKS, len(found))]
-    marks = np.unpackbits(bits[pick], axis=1)
+    first = first.sort_values(["place", "data"], ignore_index=True)
+    marks = np.unpackbits(np.frombuffer(b"".join(first["data"]), np.uint8).reshape(len(first), -1), axis=1)
     vocabulary = np.flatnonzero(marks.any(axis=0))
-    landmarks = (marks[:, vocabulary].astype(np.float32) / norm[pick][:, None]).T
-    kernel = np.concatenate([np.unpackbits(bits[a : a + ROWS], axis=1)[:, vocabulary].astype(np.float32) @ landmarks for a in range(0, len(bits), ROWS)]) / norm[:, None]
-    values, vectors = np.linalg.eigh(kernel[pick].astype(float))
+    norm = np.sqrt(np.maximum(marks.sum(axis=1), 1)).astype(np.float32)
+    landmarks = (marks[:, vocabulary].astype(np.float32) / norm[:, None]).T
+    values, vectors = np.linalg.eigh((landmarks.T @ landmarks).astype(float))
     keep = values > 1e-6 * values.max()
     whiten = vectors[:, keep] / np.sqrt(values[keep])
-    features = np.column_stack([kernel @ whiten, np.ones(len(kernel))])
-    goal = np.where(found["y"].to_numpy()[:, None] == np.array(languages, object)[None, :], 1.0, -1.0)
-    beta = np.linalg.solve(features.T @ features + RIDGE * len(features) / 100 * np.eye(features.shape[1]), features.T @ goal)
+    held = spark.sparkContext.broadcast((vocabulary, landmarks, whiten))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        voc, land, white = held.value
+        gram, sums, count = np.zeros((white.shape[1] + 1,) * 2), {}, 0
+        for batch in batches:
+            labels = batch.column(1).to_pylist()
+            for i, j, buf, off in _blocks(batch.column(0)):
+                x = presence(buf, off)
+                size = np.sqrt(np.maximum(np.count_nonzero(x, axis=1), 1))
+                f = np.column_stack([(x[:, voc].astype(np.float32) @ land / size[:, None]) @ white, np.ones(j - i)])
+                gram += f.T @ f
+                count += j - i
+                for y, row in zip(labels[i:j], f, strict=True):
+                    sums[y] = sums.get(y, 0) + row
+        names = [None, *sums]
+        data = [gram.tobytes(), *(v.tobytes() for v in sums.values())]
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([count] * len(names), pa.int64()), pa.array(data, pa.binary())], names=["label", "n", "data"])
+
+    gram, total, sums = 0, 0, {}
+    for r in rows.select("t", "y").mapInArrow(add, "label string, n long, data binary").collect():
+        part = np.frombuffer(r["data"])
+        if r["label"] is None:
+            gram, total = gram + part.reshape(whiten.shape[1] + 1, -1), total + r["n"]
+        else:
+            sums[r["label"]] = sums.get(r["label"], 0) + part
+    languages = sorted(sums)
+    all_sums = sum(sums.values())
+    goal = np.column_stack([2 * sums[y] - all_sums for y in languages])
+    beta = np.linalg.solve(gram + RIDGE * total / 100 * np.eye(len(gram)), goal)
     return Model(languages, vocabulary, landmarks, (whiten @ beta[:-1]).astype(np.float32), beta[-1].astype(np.float32))
 
 
+def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i, j, buf, off in _blocks(batch.column(0)):
+            rows = [x.tobytes() for x in np.packbits(presence(buf, off), axis=1)]
+            yield pa.RecordBatch.from_arrays([batch.column(2).slice(i, j - i), pa.array(rows, pa.binary())], names=["place", "data"])
+
+
 def _blocks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     for i, j, buf, off in text_chunks(texts):
         for a in range(0, j - i, ROWS):
@@ -105,7 +144,7 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
     """docs with lang_pred, score (0 to 1: how far the best machine claims the text) and kin (0 to 1: how near the
     nearest landmark is, whatever its language and however many there are).
 
-    Null text, or text without a letter, is ``und`` with score and kin 0, and so is every row without a model. Repeated rows
+    Texts count whole, however long; empty ones have no letter. An empty table gives an empty one. Null text, or text without a letter, is ``und`` with score and kin 0, and so is every row without a model. Repeated rows
     get the same answer; ties go to the first language in order; a column that bears a name of the result is replaced.
     """
     spark = docs.sparkSession

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import Scratch, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -38,39 +38,43 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int =
     return ranked.select("source", "source_size", "weight", target.alias("target"))
 
 
-def mix_shares(docs: DataFrame, key: str = "doc_id", group: str = "source", text: str = "text", seed: str = "mix", weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
+#: Tables of up to so many sources are sent to every task; larger ones are joined by shuffle. Results are the same.
+BROADCAST_SOURCES = 50_000
+
+
+def mix_shares(docs: DataFrame, key: str = "doc_id", group: str = "source", text: str = "text", seed: str = "mix", weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS, keep_text: bool = True, scratch: Scratch | None = None) -> DataFrame:
     """docs with size, source_size, target and taken (words that the mix takes of the document, repeats counted).
 
     Each document gets a hash-random key; a source is a range of keys, cut into so many ranges that each holds about
     the square root of all rows. Sums of the ranges give each range its offset; a window inside the range does the
     rest, so no task sees a source whole. Whole epochs take each document once; the last one stops exactly at the
-    rounded target, inside a document if need be.
+    rounded target, inside a document if need be. Words are counted in one pass, whose table is written.
 
     Null text has size 0 and takes 0; a null source is a source; rows that agree in key, size and id are ordered
     arbitrarily, which no result shows. An empty table gives an empty one. Other columns pass through unchanged
-    (a column that bears a name of the result is replaced).
+    (a column that bears a name of the result is replaced; the text goes if ``keep_text`` is false).
     """
+    scratch = scratch or Scratch(docs.sparkSession, "mix")
     d = docs.drop("size", "source_size", "target", "taken")
     digest = F.md5(F.concat_ws("-", F.lit(seed), F.coalesce(F.col(key).cast("string"), F.lit(""))))
     words = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
-    sized = d.withColumn("size", words).withColumn("_k", F.conv(F.substring(digest, 1, 12), 16, 10).cast("long"))
-    sizes = docs.select(F.col(group).alias("source"), words.alias("size")).groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
-    goal = _goals(sizes, weights, epochs)
-    goal = goal.select(F.col("source").alias("_s"), "source_size", "target", "ranges")
-    sized = sized.join(F.broadcast(goal), F.col(group).eqNullSafe(F.col("_s")))
-    sized = sized.withColumn("_r", F.floor(F.col("_k") * F.col("ranges") / F.lit(float(1 << 48))))
-    part = sized.groupBy("_s", "_r").agg(F.sum("size").alias("_sum"))
-    before = Window.partitionBy("_s").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
-    part = part.select(F.col("_s").alias("_s2"), F.col("_r").alias("_r2"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy("_s", "_r").orderBy("_k", F.col(key), "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = sized.withColumn("_in", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    placed = placed.join(part, F.col("_s").eqNullSafe(F.col("_s2")) & (F.col("_r") == F.col("_r2")))
+    kept = [c for c in d.columns if keep_text or c != text]
+    d = scratch.save(d.select(*[F.col(c) for c in kept], words.alias("size"), F.conv(F.substring(digest, 1, 12), 16, 10).cast("long").alias("_mix_k")), "sized")
+    sizes = d.groupBy(F.col(group).alias("source")).agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
+    goal = scratch.save(_goals(sizes, weights, epochs).select(F.col("source").alias("_mix_s"), "source_size", "target", F.col("ranges").alias("_mix_n")), "goals")
+    goal = F.broadcast(goal) if goal.count() <= BROADCAST_SOURCES else goal
+    d = d.join(goal, F.col(group).eqNullSafe(F.col("_mix_s"))).withColumn("_mix_r", F.floor(F.col("_mix_k") * F.col("_mix_n") / F.lit(float(1 << 48))))
+    part = d.groupBy("_mix_s", "_mix_r").agg(F.sum("size").alias("_mix_sum"))
+    before = Window.partitionBy("_mix_s").orderBy("_mix_r").rowsBetween(Window.unboundedPreceding, -1)
+    part = part.select(F.col("_mix_s").alias("_mix_s2"), F.col("_mix_r").alias("_mix_r2"), F.coalesce(F.sum("_mix_sum").over(before), F.lit(0)).alias("_mix_base"))
+    inside = Window.partitionBy("_mix_s", "_mix_r").orderBy("_mix_k", F.col(key), "size").rowsBetween(Window.unboundedPreceding, -1)
+    placed = d.withColumn("_mix_in", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    placed = placed.join(part, F.col("_mix_s").eqNullSafe(F.col("_mix_s2")) & (F.col("_mix_r") == F.col("_mix_r2")))
     budget = F.round("target").cast("long")
     rounds = F.when(F.col("source_size") > 0, F.floor(budget / F.greatest(F.col("source_size"), F.lit(1)))).otherwise(0).cast("long")
     rest = budget - rounds * F.col("source_size")
-    part_taken = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("_base") - F.col("_in")))
-    out = placed.withColumn("taken", (rounds * F.col("size") + part_taken).cast("long"))
-    return out.drop("_k", "_r", "_s", "_s2", "_r2", "_base", "_in", "ranges")
+    part_taken = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("_mix_base") - F.col("_mix_in")))
+    return placed.withColumn("taken", (rounds * F.col("size") + part_taken).cast("long")).select(*kept, "size", "source_size", "target", "taken")
 
 
 def _goals(sizes: DataFrame, weights: tuple[int, ...], epochs: int) -> DataFrame:
@@ -82,7 +86,7 @@ def _goals(sizes: DataFrame, weights: tuple[int, ...], epochs: int) -> DataFrame
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mix_shares(docs).select("doc_id", "size", "source_size", "target", "taken")
+    return mix_shares(docs, keep_text=False).select("doc_id", "size", "source_size", "target", "taken")
 
 
 SQL = r"""

@@ -7,7 +7,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -83,54 +82,53 @@ def plan(sizes: list[int], length: int = LENGTH) -> list[list[tuple[int, int, in
     return out
 
 
+REST = "g long, doc_id long, doc_tokens long, width int, full binary, ids binary"
+
+
 def pack(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", length: int = LENGTH, end: int = END, group_docs: int = GROUP_DOCS) -> DataFrame:
     """One row per piece (``PIECES``).
 
-    A document is encoded once; its full stretches of ``length`` ids are sequences of their own and travel as figures,
-    only the rest below ``length`` travels as ids. Rows are dealt to groups by a hash of key and ids, about
-    ``group_docs`` each, and a group is packed by itself. Null or empty text is the end id alone; repeated rows are
-    packed as often as they occur; an empty table gives no pieces.
+    A document is encoded once, whole, however long; its full stretches of ``length`` ids are sequences of their own and
+    travel as figures, only the rest below ``length`` travels as ids. Rows are dealt to groups by a hash of key and ids
+    and by their place in the task, about ``group_docs`` each, so that equal rows spread; a group is packed by itself.
+    Null or empty text is the end id alone; null keys stay null; repeated rows are packed as often as they occur; other
+    columns play no part; an empty table gives no pieces.
     """
     spark = docs.sparkSession
     bound_batches(spark)
     groups = max(1, -(-docs.count() // group_docs))
-    rest = "g long, doc_id long, doc_tokens long, full binary, ids binary"
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocabulary, True)
+        enc, place = encoder(vocabulary, True), 0
+        width = np.dtype(enc.kind).itemsize
         for batch in batches:
             rows = []
             for doc, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = np.append(enc.ids(t or ""), enc.kind(end))
-                n = len(ids) // length
+                n, place = len(ids) // length, place + 1
                 full = np.array([zlib.crc32(ids[k * length : (k + 1) * length].astype("<u4")) for k in range(n)], np.uint32)
-                g = zlib.crc32(ids.tobytes(), zlib.crc32(str(doc).encode())) % groups
-                rows.append((g, doc, len(ids), full.tobytes(), ids[n * length :].tobytes()))
+                g = (zlib.crc32(ids.tobytes(), zlib.crc32(str(doc).encode())) + place) % groups
+                rows.append((g, doc, len(ids), width, full.tobytes(), ids[n * length :].tobytes()))
             if rows:
-                yield arrow_batch(arrow_schema(rest), list(zip(*rows, strict=True)))
-
-    def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        kind = np.uint16
-        pdf = pdf.sort_values(["doc_id", "doc_tokens", "ids"], ignore_index=True)
-        g, out = int(pdf["g"].iloc[0]) << 32, []
-        ids = [np.frombuffer(x, kind) for x in pdf["ids"]]
-        nulls, keys, tokens = pdf["doc_id"].isna().tolist(), pdf["doc_id"].tolist(), pdf["doc_tokens"].tolist()
+                yield arrow_batch(arrow_schema(REST), list(zip(*rows, strict=True)))
+
+    def group(t: pa.Table) -> pa.Table:
+        rows = sorted(t.to_pylist(), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["doc_tokens"], r["ids"]))
+        base, out = rows[0]["g"] << 32, []
+        ids = [np.frombuffer(r["ids"], f"<u{r['width']}") for r in rows]
         plans = plan([len(x) for x in ids], length)
         seq = max((p[2] + 1 for ps in plans for p in ps), default=0)
-        for i, ps in enumerate(plans):
-            doc = None if nulls[i] else int(keys[i])
-            full = np.frombuffer(pdf["full"].iloc[i], np.uint32).tolist()
+        for r, x, ps in zip(rows, ids, plans, strict=True):
+            full = np.frombuffer(r["full"], np.uint32).tolist()
             for k, crc in enumerate(full):
-                out.append((doc, k * length, length, crc, tokens[i], g | seq, 0))
+                out.append((r["doc_id"], k * length, length, crc, r["doc_tokens"], base | seq, 0))
                 seq += 1
-            base = len(full) * length
             for start, n, s, offset in ps:
-                out.append((doc, base + start, n, zlib.crc32(ids[i][start : start + n].astype("<u4")), tokens[i], g | s, offset))
-        frame = pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
-        return frame.astype({"doc_id": "Int64"})
+                out.append((r["doc_id"], len(full) * length + start, n, zlib.crc32(x[start : start + n].astype("<u4")), r["doc_tokens"], base | s, offset))
+        return pa.Table.from_batches([arrow_batch(arrow_schema(PIECES), list(zip(*out, strict=True)))])
 
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(encode, rest)
-    return rows.groupBy("g").applyInPandas(group, PIECES)
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(encode, REST)
+    return rows.groupBy("g").applyInArrow(group, PIECES)
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import Scratch, table
 
 ALLOW, BLOCK = "allow", "block"
 #: (verdict, host, start of the path)
@@ -19,7 +19,10 @@ RULES = ((ALLOW, "org", "/"), (BLOCK, "example.org", "/es/"), (BLOCK, "example.o
 #: Labelled URLs to learn from, about; chosen by a hash of the URL.
 TRAIN_ROWS = 20_000
 TREES, DEPTH, SMOOTH = 12, 4, 10.0
-FEATURES = ("host_length", "path_length", "query_length", "labels", "depth", "digit_ratio", "entropy", "params", "top_rate", "folder_rate", "ending_rate")
+#: The rates of suffixes are kept by so many hash buckets each, counted over all labelled URLs.
+BUCKETS = 4096
+KEYS = ("top", "folder", "ending")
+PLAIN = ("host_length", "path_length", "query_length", "labels", "depth", "digit_ratio", "entropy", "params")
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -42,66 +45,62 @@ def matched(host: Column, path: Column, rules: tuple = RULES) -> Column:
     return out if out is not None else F.lit(None).cast("struct<rule:string,verdict:string>")
 
 
-def lexical(rows: DataFrame, url: str) -> DataFrame:
-    """Adds the plain features and the three suffix keys to rows(url, host, path)."""
-    u = F.coalesce(F.col(url), F.lit(""))
+def lexical(url: Column, host: Column, path: Column) -> dict[str, Column]:
+    """The plain features by name, and for each suffix table the bucket of the URL's key."""
+    u = F.coalesce(url, F.lit(""))
     chars = F.split(u, "")
     count = lambda c: (F.length(u) - F.length(F.replace(u, c, F.lit("")))).cast("double")
     spread = F.aggregate(F.filter(F.array_distinct(chars), lambda c: c != ""), F.lit(0.0), lambda a, c: a + count(c) * F.log2(count(c)))
     query = F.regexp_extract(u, r"\?([^#]*)", 1)
-    return rows.withColumns({
-        "host_length": F.length("host").cast("double"),
-        "path_length": F.length("path").cast("double"),
+    keys = {"top": F.substring_index(host, ".", -1), "folder": F.regexp_extract(path, "^/([^/]*)/", 1), "ending": F.regexp_extract(path, r"(\.[A-Za-z0-9]+|/)$", 1)}
+    return {
+        "host_length": F.length(host).cast("double"),
+        "path_length": F.length(path).cast("double"),
         "query_length": F.length(query).cast("double"),
-        "labels": F.regexp_count("host", F.lit(r"\.")).cast("double"),
-        "depth": F.regexp_count("path", F.lit("/")).cast("double"),
+        "labels": F.regexp_count(host, F.lit(r"\.")).cast("double"),
+        "depth": F.regexp_count(path, F.lit("/")).cast("double"),
         "digit_ratio": F.regexp_count(u, F.lit("[0-9]")) / F.greatest(F.length(u), F.lit(1)),
         "entropy": F.when(F.length(u) > 0, F.log2(F.length(u).cast("double")) - spread / F.length(u)).otherwise(0.0),
         "params": F.when(query == "", 0.0).otherwise(F.regexp_count(query, F.lit("&")) + F.lit(1.0)),
-        "top_key": F.substring_index("host", ".", -1),
-        "folder_key": F.regexp_extract("path", "^/([^/]*)/", 1),
-        "ending_key": F.regexp_extract("path", r"(\.[A-Za-z0-9]+|/)$", 1),
-    })
+    } | {k: F.pmod(F.xxhash64(v), F.lit(BUCKETS)).cast("int") for k, v in keys.items()}
 
 
-def judge(pages: DataFrame, url: str = "url", rules: tuple = RULES) -> DataFrame:
+def judge(pages: DataFrame, url: str = "url", rules: tuple = RULES, scratch: Scratch | None = None) -> DataFrame:
     """pages with host, path, rule, verdict and p_block (what the trees say; null under a rule).
 
     Null URLs, and those without ://, have empty host and path, fit no rule and are judged by the trees like others.
     Without labelled URLs of both verdicts the trees can't learn: then all other URLs get the one verdict that the
-    labels have, or allow. Repeated rows get the same answer; columns that bear a name of the result are replaced.
+    labels have, or allow. Repeated rows get the same answer, and one URL counts once in the sample; long URLs are read
+    whole; columns that bear a name of the result are replaced, all others pass. An empty table gives an empty one.
     """
     spark = pages.sparkSession
+    scratch = scratch or Scratch(spark, "urls")
     pages = pages.drop("host", "path", "rule", "verdict", "p_block")
     host, path = parts(F.col(url))
     rows = pages.withColumn("host", host).withColumn("path", path).withColumn("_rule", matched(F.col("host"), F.col("path"), rules))
-    known = rows.where(F.col("_rule").isNotNull()).select(url, "host", "path", (F.col("_rule.verdict") == BLOCK).cast("double").alias("label"))
-    seen = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    named = {f"_url_{k}": v for k, v in lexical(F.col(url), F.col("host"), F.col("path")).items()}
+    known = rows.where(F.col("_rule").isNotNull()).select(F.col(url).alias("_u"), "host", "path", (F.col("_rule.verdict") == BLOCK).cast("double").alias("_label"))
+    keyed = known.select("_u", "_label", F.explode(F.array(*[F.struct(F.lit(k).alias("t"), lexical(F.col("_u"), F.col("host"), F.col("path"))[k].alias("b")) for k in KEYS])).alias("k"))
+    counts = keyed.groupBy("k.t", "k.b").agg(F.sum("_label").alias("block"), F.count(F.lit(1)).alias("n"), F.approx_count_distinct("_u").alias("urls")).collect()
+    total, blocked = sum(r["n"] for r in counts) / len(KEYS), sum(r["block"] for r in counts) / len(KEYS)
     out = rows.withColumns({"rule": F.col("_rule.rule"), "verdict": F.col("_rule.verdict")}).drop("_rule")
-    if len(seen) < 2:
-        return out.withColumns({"verdict": F.coalesce("verdict", F.lit(BLOCK if 1.0 in seen else ALLOW)), "p_block": F.lit(None).cast("double")})
-    share = TRAIN_ROWS / sum(seen.values())
-    picked = known.where(F.pmod(F.xxhash64(url), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)) + 1))
-    train = lexical(picked, url)
-    prior = seen[1.0] / sum(seen.values())
-    tables = {}
-    for name in ("top", "folder", "ending"):
-        rate = (F.sum("label") + SMOOTH * prior) / (F.count(F.lit(1)) + SMOOTH)
-        # Bounded: at most one row for each row of the sample.
-        tables[name] = {r["k"]: r["rate"] for r in train.groupBy(F.col(f"{name}_key").alias("k")).agg(F.count(F.lit(1)).alias("n"), rate.alias("rate")).orderBy(F.desc("n"), "k").limit(500).collect()}
-
-    def rated(df: DataFrame) -> DataFrame:
-        rates = {}
-        for name, values in tables.items():
-            lookup = F.create_map(*[F.lit(x) for kv in values.items() for x in kv])
-            rates[f"{name}_rate"] = F.coalesce(F.try_element_at(lookup, f"{name}_key"), F.lit(prior))
-        return df.withColumns(rates)
-
-    assemble = VectorAssembler(inputCols=list(FEATURES), outputCol="_x")
-    fitted = assemble.transform(rated(train)).select("_x", "label").coalesce(4)
-    trees = GBTClassifier(featuresCol="_x", labelCol="label", maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=7).fit(fitted)
-    trees.setFeaturesCol("_x").setPredictionCol("").setRawPredictionCol("").setProbabilityCol("_p")
-    scored = trees.transform(assemble.transform(rated(lexical(out, url)))).withColumn("p_block", F.when(F.col("rule").isNull(), vector_to_array("_p")[1]))
+    if not 0 < blocked < total:
+        return out.withColumns({"verdict": F.coalesce("verdict", F.lit(BLOCK if blocked else ALLOW)), "p_block": F.lit(None).cast("double")})
+    prior = blocked / total
+    rates = {k: [prior] * BUCKETS for k in KEYS}
+    for r in counts:
+        rates[r["t"]][r["b"]] = (r["block"] + SMOOTH * prior) / (r["n"] + SMOOTH)
+    share = TRAIN_ROWS * len(KEYS) / sum(r["urls"] for r in counts)
+    rated = {f"_url_{k}": F.element_at(F.from_json(F.lit(str(rates[k])), "array<double>"), named[f"_url_{k}"] + 1) for k in KEYS}
+    features = named | rated
+    picked = known.where(F.pmod(F.xxhash64("_u"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)) + 1)).dropDuplicates(["_u"])
+    own = lexical(F.col("_u"), F.col("host"), F.col("path"))
+    train = picked.select("_label", *[own[k].alias(f"_url_{k}") for k in PLAIN], *[F.element_at(F.from_json(F.lit(str(rates[k])), "array<double>"), own[k] + 1).alias(f"_url_{k}") for k in KEYS])
+    assemble = VectorAssembler(inputCols=[f"_url_{k}" for k in PLAIN + KEYS], outputCol="_url_x")
+    fitted = assemble.transform(scratch.save(train, "train")).select("_url_x", "_label").coalesce(4)
+    trees = GBTClassifier(featuresCol="_url_x", labelCol="_label", maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=7).fit(fitted)
+    trees.setFeaturesCol("_url_x").setPredictionCol("").setRawPredictionCol("").setProbabilityCol("_url_p")
+    scored = trees.transform(assemble.transform(out.withColumns(features))).withColumn("p_block", F.when(F.col("rule").isNull(), vector_to_array("_url_p")[1]))
     scored = scored.withColumn("verdict", F.coalesce("verdict", F.when(F.col("p_block") > 0.5, BLOCK).otherwise(ALLOW)))
     return scored.select(*pages.columns, "host", "path", "rule", "verdict", "p_block")
 

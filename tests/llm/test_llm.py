@@ -129,6 +129,95 @@ def test_language(docs, empty):
     assert {r["lang_pred"] for r in language.identify(docs, None).collect()} == {"und"}
 
 
+def test_language_scores_by_brute_force(spark, monkeypatch):
+    """Kernel, landmarks and ridge written out over sets of n-grams."""
+    monkeypatch.setattr(language, "LANDMARKS", 20)
+    rows = [(i, " ".join(R.choice(ws) for _ in range(R.randint(5, 40))), y) for i in range(60) for y, ws in (("a", WORDS[:80]), ("b", WORDS[80:160]), ("c", WORDS[160:240]))]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    train = d.where("doc_id < 40")
+    got = {(r["text"], r["lang"]): (r["lang_pred"], r["score"], r["kin"]) for r in language.identify(d, language.fit(train)).collect()}
+
+    def grams(t):
+        b, out = t.lower().encode(), set()
+        for i in range(len(b)):
+            h = 0
+            for k in range(1, 4):
+                if i + k <= len(b):
+                    h = (h * 0x01000193 + b[i + k - 1] + k) & 0xFFFFFFFF
+                    x = h ^ h >> 15
+                    out.add((x * 0x2C1B3C6D & 0xFFFFFFFF) >> 16)
+        return out
+
+    kernel = lambda s, t: len(s & t) / np.sqrt(len(s) * len(t))
+    seen = [(r["t"], r["y"]) for r in language.sample(train).orderBy("place", "t", "y").collect()]
+    sets = [grams(t) for t, _ in seen]
+    marks = sets[:20]
+    square = np.array([[kernel(s, t) for t in marks] for s in marks])
+    values, vectors = np.linalg.eigh(square)
+    keep = values > 1e-6 * values.max()
+    white = vectors[:, keep] / np.sqrt(values[keep])
+    features = lambda s: np.append(np.array([kernel(s, t) for t in marks]) @ white, 1.0)
+    f = np.array([features(s) for s in sets])
+    goal = np.array([[1.0 if y == z else -1.0 for z in "abc"] for _, y in seen])
+    beta = np.linalg.solve(f.T @ f + language.RIDGE * len(f) / 100 * np.eye(f.shape[1]), f.T @ goal)
+    for (t, _), (pred, score, kin) in got.items():
+        v = features(grams(t)) @ beta
+        assert pred == "abc"[int(np.argmax(v))] and abs(score - min(1, max(0, (v.max() + 1) / 2))) < 1e-3
+        assert abs(kin - max(kernel(grams(t), m) for m in marks)) < 1e-4
+
+
+def test_language_learns_every_label(spark, monkeypatch):
+    monkeypatch.setattr(language, "SAMPLE", 30)
+    rows = [(k * 50 + i, " ".join(R.choice(WORDS[k * 12 : k * 12 + 12]) for _ in range(12)), f"l{k}") for k in range(30) for i in range(3)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == sorted({y for _, _, y in rows})
+
+
+def test_clashing_columns_pass(spark):
+    """Tables whose other columns bear names that operators use inside keep them."""
+    names = ["n_lines", "ranges", "depth", "labels", "entropy", "params", "top_rate", "l1", "id", "comp", "token", "g", "norm", "fp", "node", "n", "grp", "spans", "ids", "place", "t", "y"]
+    texts = [prose(30), prose(20), None, ""]
+    rows = [(i, texts[i % 4], "en", f"s{i % 2}", f"http://q{i}.com/fr/x", *[f"{c}{i}" for c in names]) for i in range(8)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, url string, " + ", ".join(f"{c} string" for c in names))
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    for out, dropped in ((lines.dedup_lines(d), {"n_lines"}), (mixing.mix_shares(d), set()), (urls.judge(d), set()), (language.identify(d, language.fit(d)), set())):
+        kept = {r["doc_id"]: r for r in out.collect()}
+        assert len(kept) == 8 and all(kept[i][c] == f"{c}{i}" for i in kept for c in names if c not in dropped)
+    assert jaccard.jaccard_classes(d).count() == 8 and suffixes.remove_repeats(d).count() == 8
+    assert packing.pack(d, path).select("doc_id").distinct().count() == 8
+    assert tokens.read_shards(tokens.write_shards(d, Scratch(spark, "t"), public_tokenizers.path("word_bpe_49k.json"))).count() == 8
+
+
+def test_packing_keeps_large_ids_beside_null_ones(spark):
+    big = (1 << 53) + 1
+    d = spark.createDataFrame([(big, "a b"), (None, "c d"), (None, None)], "doc_id long, text string")
+    got = packing.pack(d, public_tokenizers.path("byte_bpe_50k.json")).collect()
+    assert sorted((r["doc_id"] or 0 for r in got)) == [0, 0, big]
+
+
+def test_small_batches_and_a_long_text(spark):
+    """Whatever the batches are, and with a text over 1 MB, results are those of one batch."""
+    words = [prose(8) for _ in range(3000)]
+    long = " ".join(words * 8)
+    assert len(long) > 1 << 20
+    rows = [(i, prose(40) if i % 3 else words[i] * 30) for i in range(40)] + [(90, long), (91, long + " tail"), (92, words[0] * 30)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    todo = {
+        "jaccard": lambda: jaccard.jaccard_classes(d), "repeats": lambda: suffixes.remove_repeats(d, with_bytes=False),
+        "tokens": lambda: tokens.read_shards(tokens.write_shards(d, Scratch(spark, "t"), path)), "lines": lambda: lines.dedup_lines(d).select("doc_id", "n_removed"),
+        "mix": lambda: mixing.mix_shares(d.withColumn("source", F.lit("s")), keep_text=False), "language": lambda: language.identify(d, language.fit(d.withColumn("lang", F.lit("x")))).select("doc_id", "lang_pred"),
+        "packing": lambda: packing.pack(d, public_tokenizers.path("byte_bpe_50k.json")).groupBy("doc_id").agg(F.sum("length"), F.min("doc_tokens")),
+    }
+    want = {k: sorted(map(str, f().collect())) for k, f in todo.items()}
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(key, "3")
+    try:
+        assert {k: sorted(map(str, f().collect())) for k, f in todo.items()} == want
+    finally:
+        spark.conf.unset(key)
+
+
 def test_language_held_out_accuracy(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumn("held_out", language.held_out())
     out = language.identify(d, language.fit(d.where("not held_out"))).where("held_out and lang is not null")
