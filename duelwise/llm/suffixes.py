@@ -1,11 +1,13 @@
-"""Removal of repeated byte strings over a corpus, by sorting suffixes that start with the same leading k-mer.
-
-Sorting all suffixes of a corpus would move each byte hundreds of times, so the suffix order is built sparsely: every
-window of LENGTH bytes belongs to the smallest K-byte hash inside it, and consecutive windows of one hash are a run.
-Equal windows belong to equal hashes. Runs are dealt by that leading token to buckets and sorted there; a run that is
-alone in its token has no repeat, a run whose whole content comes again is a repeat, and only runs that share their
-token but not their content are fetched. Their suffixes (all windows) are sorted by a multikey quicksort whose
-characters are eight-byte words, and ties are repeats.
+"""Removal of repeated byte strings over a corpus, by sorting suffixes in sampled ranges of their leading token.
+
+Sorting all suffixes of a corpus would move each byte hundreds of times, so the suffix order is built sparsely: the
+leading token of a window of LENGTH bytes is the smallest K-byte hash inside it, and consecutive windows of one token
+are a run. Equal windows have equal tokens. Splitters sampled from the corpus cut the order of (token, content) into
+ranges; a bucket holds one range of runs in order. A run that is alone in its token has no repeat, a run whose whole
+content comes again is a repeat, and a token that a splitter falls into is judged over all the buckets it lies in. Only
+runs that share their token but not their content are fetched, again by sampled ranges. Their suffixes (all windows) are
+sorted by a multikey quicksort whose characters are eight-byte words of the text itself, and ties are repeats. A token of
+very many runs is split by the depth at which its windows hold it, which equal windows share.
 """
 
 from __future__ import annotations
@@ -23,8 +25,10 @@ from pyspark.sql import functions as F
 from .common import _BYTE, Scratch, arrow_batch, arrow_schema, bound_batches, mix, partitions, table, text_chunks
 
 LENGTH, K = 200, 32
-#: Longest run in windows, and most runs of one leading token that are sorted in one task.
-RUN, BUCKET = 1024, 4096
+#: Longest run in windows; runs of one leading token from which it is split by depth; windows that one sort takes up.
+RUN, BUCKET, SORTED = 1024, 4096, 1 << 18
+#: Documents of the sample of splitters, about, and runs of it for each bucket.
+SAMPLE_DOCS, PER_BUCKET = 2000, 64
 _BASE = 0xD6E8FEB86659FD93
 
 
@@ -72,94 +76,169 @@ def runs(buf: np.ndarray, off: np.ndarray, length: int = LENGTH, k: int = K) ->
         starts = np.sort(np.concatenate([starts[~long], *parts]))
         ends = np.sort(np.concatenate([ends, *(p[1:] for p in parts)]))
     row = np.searchsorted(off, starts, "right") - 1
-    content = mix((total[ends - 1 + length] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
-    twice = ends - starts > width
-    reach = np.arange(2 * width - 1)
-    for a in range(0, len(starts), 2048):
-        at = starts[a : a + 2048, None] + reach
-        seen = kmers[np.minimum(at, len(kmers) - 1)] == least[starts[a : a + 2048], None]
-        twice[a : a + 2048] |= (seen & (at < ends[a : a + 2048, None] + width - 1)).sum(axis=1) > 1
-    return row, starts - off[row], ends - starts, least[starts].view(np.int64), content.view(np.int64), twice
+    raw = memoryview(np.ascontiguousarray(buf))
+    digest = xxhash.xxh3_128_digest
+    content = b"".join([digest(raw[i:j]) for i, j in zip(starts.tolist(), (ends - 1 + length).tolist(), strict=True)])
+    # Places of k-mers that are some window's smallest. Two equal ones next to each other, and so near that no window
+    # lies between them, are what a run needs to hold its token twice.
+    held = np.concatenate([np.zeros(width - 1, np.uint64), np.where(valid, least, np.uint64(0)), np.zeros(len(kmers) - len(least), np.uint64)])
+    span = 1
+    while span * 2 <= width:
+        held = np.maximum(held[:-span], held[span:])
+        span *= 2
+    if span < width:
+        held = np.maximum(held[: len(held) - (width - span)], held[width - span :])
+    places = np.flatnonzero(held == kmers)
+    twins = np.zeros(len(places) + 1, np.int64)
+    if len(places) > 1:
+        twins[2:] = np.cumsum((kmers[places[1:]] == kmers[places[:-1]]) & (np.diff(places) <= width))
+    lo, hi = np.searchsorted(places, starts), np.searchsorted(places, ends + width - 1)
+    twice = (hi - lo > 1) & (twins[hi] > twins[np.minimum(lo + 1, len(places))])
+    return row, starts - off[row], ends - starts, least[starts].view(np.int64), np.frombuffer(content, "<i8").reshape(-1, 2), twice
 
 
-RUNS = "part long, lead long, content long, twice int, doc_id long, fp long, lo long, windows int"
-MARKS = "kind int, lead long, doc_id long, fp long, lo long, windows int"
-#: Kinds of marks: the run is a repeat; the run has to be compared; both (it stands for all runs of its content).
-REPEAT, COMPARE, BOTH = 0, 1, 2
+RUNS = "part int, lead long, c1 long, c2 long, twice int, doc_id long, fp long, lo long, windows int"
+MARKS = "kind int, lead long, c1 long, c2 long, twice int, doc_id long, fp long, lo long, windows int"
+#: Kinds of marks: the run is a repeat; the run has to be compared; both (it stands for all runs of its content); its
+#: token lies in several buckets.
+REPEAT, COMPARE, BOTH, EDGE = 0, 1, 2, 3
 
 
-def _emit_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs that come more than once in a chunk are known repeats; all but one of them go anywhere, by themselves."""
-    schema = arrow_schema(RUNS)
-    for batch in batches:
-        ids, fps = batch.column(0), batch.column(1)
-        for i, _, buf, off in text_chunks(batch.column(2)):
-            row, lo, windows, lead, content, own = runs(buf, off)
-            if not len(row):
-                continue
-            order = np.lexsort((content, lead))
-            a, b = lead[order], content[order]
-            same = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
-            again = np.concatenate([[False], same])
-            twin = again | np.concatenate([same, [False]])
-            twice = np.where(again, 2, np.where(twin, 1, np.where(own[order], 3, 0))).astype(np.int32)
-            at = pa.array(row[order] + i)
-            spread = mix((row[order] * 1000003 + lo[order]).astype(np.uint64)).view(np.int64)
-            yield arrow_batch(schema, [np.where(again, spread, a), a, b, twice, ids.take(at), fps.take(at), lo[order], windows[order].astype(np.int32)])
+class Ranges:
+    """Splitters (token, first half of the content) in order; the token alone, where contents play no part."""
+
+    def __init__(self, pairs: list[tuple[int, int]], buckets: int):
+        pairs = sorted(pairs)
+        cut = sorted({pairs[len(pairs) * k // buckets] for k in range(1, buckets)}) if pairs else []
+        self.lead, self.c1 = np.array([x for x, _ in cut], np.int64), np.array([x for _, x in cut], np.int64)
+        self.split = set(self.lead.tolist())
 
+    def bucket(self, lead: np.ndarray, c1: np.ndarray) -> np.ndarray:
+        part, end = np.searchsorted(self.lead, lead), np.searchsorted(self.lead, lead, "right")
+        for k in np.flatnonzero(part < end).tolist():
+            part[k] += np.searchsorted(self.c1[part[k] : end[k]], c1[k], "right")
+        return part.astype(np.int32)
 
-def _match_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by lead and content: judges each leading token when all its runs are there."""
-    schema = arrow_schema(MARKS)
+
+def _emit_runs(ranges: Ranges, buckets: int):
+    """Runs that come more than once in a chunk are known repeats; all but one of them go anywhere, by themselves."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = arrow_schema(RUNS)
+        for batch in batches:
+            ids, fps = batch.column(0), batch.column(1)
+            for i, _, buf, off in text_chunks(batch.column(2)):
+                row, lo, windows, lead, content, own = runs(buf, off)
+                if not len(row):
+                    continue
+                order = np.lexsort((content[:, 1], content[:, 0], lead))
+                a, b, c = lead[order], content[order, 0], content[order, 1]
+                same = (a[1:] == a[:-1]) & (b[1:] == b[:-1]) & (c[1:] == c[:-1])
+                again = np.concatenate([[False], same])
+                twin = again | np.concatenate([same, [False]])
+                twice = np.where(again, 2, np.where(twin, 1, 0)).astype(np.int32) + np.where(own[order] & ~again, 4, 0).astype(np.int32)
+                at = pa.array(row[order] + i)
+                spread = mix((row[order] * 1000003 + lo[order]).astype(np.uint64)) % np.uint64(buckets)
+                part = np.where(again, spread.astype(np.int32), ranges.bucket(a, b))
+                yield arrow_batch(schema, [part, a, b, c, twice, ids.take(at), fps.take(at), lo[order], windows[order].astype(np.int32)])
+
+    return run
+
+
+def _match_runs(ranges: Ranges):
+    """Rows of a bucket in order: judges each leading token that lies in this bucket alone when all its runs are there."""
 
     def judged(t: pa.Table) -> pa.RecordBatch:
-        lead, content, twice = (t.column(k).to_numpy() for k in ("lead", "content", "twice"))
+        lead, c1, c2, twice = (t.column(k).to_numpy() for k in ("lead", "c1", "c2", "twice"))
         n = len(lead)
         new_lead = np.ones(n, bool)
         new_lead[1:] = lead[1:] != lead[:-1]
         new_content = new_lead.copy()
-        new_content[1:] |= content[1:] != content[:-1]
+        new_content[1:] |= (c1[1:] != c1[:-1]) | (c2[1:] != c2[:-1])
         g, h = np.cumsum(new_content) - 1, np.cumsum(new_lead) - 1
-        repeat = (np.bincount(g)[g] > 1) | (twice == 1)
-        several = (np.bincount(h, new_content)[h] > 1) | (twice == 3)
+        repeat = (np.bincount(g)[g] > 1) | (twice & 3 == 1)
+        several = (np.bincount(h, new_content)[h] > 1) | (twice & 4 > 0)
         kind = np.where(repeat, np.where(several & new_content, BOTH, REPEAT), np.where(several, COMPARE, -1)).astype(np.int32)
+        return marked(t, kind)
+
+    def marked(t: pa.Table | pa.RecordBatch, kind: np.ndarray) -> pa.RecordBatch:
         keep = pa.array(kind >= 0)
-        columns = [pa.array(kind), *(t.column(k).combine_chunks() for k in ("lead", "doc_id", "fp", "lo", "windows"))]
-        return pa.RecordBatch.from_arrays([c.filter(keep) for c in columns], schema=schema)
+        columns = [t.column(k) for k in ("lead", "c1", "c2", "twice", "doc_id", "fp", "lo", "windows")]
+        columns = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns]
+        return pa.RecordBatch.from_arrays([pa.array(kind).filter(keep), *(c.filter(keep) for c in columns)], schema=arrow_schema(MARKS))
 
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        done = batch.column(3).to_numpy() == 2
-        if done.any():
-            x = batch.filter(pa.array(done))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), REPEAT, np.int32)), *(x.column(k) for k in (1, 4, 5, 6, 7))], schema=schema)
-            batch = batch.filter(pa.array(~done))
-        if not len(batch):
-            continue
-        held.append(batch)
-        t = pa.Table.from_batches(held)
-        lead = t.column("lead").to_numpy()
-        cut = int(np.searchsorted(lead, lead[-1]))  # the last token may go on
-        if cut:
-            yield judged(t.slice(0, cut))
-            held = t.slice(cut).to_batches()
-    if held:
-        yield judged(pa.Table.from_batches(held))
-
-
-CUTS = "lead long, doc_id long, fp long, lo long, windows int, bytes binary"
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        split = np.array(sorted(ranges.split), np.int64)
+        for batch in batches:
+            known = batch.column("twice").to_numpy() == 2
+            edge = ~known & np.isin(batch.column("lead").to_numpy(), split)
+            if (known | edge).any():
+                yield marked(batch, np.where(known, REPEAT, np.where(edge, EDGE, -1)).astype(np.int32))
+                batch = batch.filter(pa.array(~(known | edge)))
+            if not len(batch):
+                continue
+            held.append(batch)
+            t = pa.Table.from_batches(held)
+            lead = t.column("lead").to_numpy()
+            cut = int(np.searchsorted(lead, lead[-1]))  # the last token may go on
+            if cut:
+                yield judged(t.slice(0, cut))
+                held = t.slice(cut).to_batches()
+        if held:
+            yield judged(pa.Table.from_batches(held))
+
+    return run
+
+
+def _across(edges: DataFrame) -> DataFrame:
+    """Marks of runs whose token lies in several buckets, from counts over all of them."""
+    where = F.struct("doc_id", "fp", "lo")
+    contents = edges.groupBy("lead", "c1", "c2").agg(F.count(F.lit(1)).alias("n"), F.min(where).alias("one"))
+    leads = contents.groupBy("lead").agg(F.count(F.lit(1)).alias("contents"))
+    rows = edges.join(contents, ["lead", "c1", "c2"]).join(leads, "lead")
+    repeat = F.expr("n > 1 OR twice & 3 = 1")
+    several = F.expr("contents > 1 OR twice & 4 > 0")
+    kind = F.when(repeat, F.when(several & where.eqNullSafe(F.col("one")), BOTH).otherwise(REPEAT)).when(several, COMPARE)
+    return rows.withColumn("kind", kind).where("kind IS NOT NULL").select("kind", "lead", "doc_id", "fp", "lo", "windows")
+
+
+CUTS = "part int, lead long, depth int, doc_id long, fp long, lo long, windows int, bytes binary"
 SPANS = "doc_id long, fp long, lo long, windows int"
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = arrow_schema(CUTS)
-    for batch in batches:
-        for doc, fp, text, wanted in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-            raw, out = text.encode(), []
-            for w in wanted:
-                out.append((w["lead"], doc, fp, w["lo"], w["windows"], raw[w["lo"] : w["lo"] + w["windows"] - 1 + LENGTH]))
-            if out:
-                yield arrow_batch(schema, list(zip(*out, strict=True)))
+def _depths(raw: bytes, windows: int, lead: int) -> np.ndarray:
+    """For each window of a run, how far into it its leading token comes first."""
+    buf = np.frombuffer(raw, np.uint8)
+    power, inverse = _powers(1 << max(20, len(buf).bit_length()))
+    total = np.zeros(len(buf) + 1, np.uint64)
+    np.cumsum(_BYTE[buf] * power[: len(buf)], out=total[1:])
+    at = np.flatnonzero(mix((total[K:] - total[:-K]) * inverse[: len(buf) - K + 1]).view(np.int64) == lead)
+    start = np.arange(windows)
+    return at[np.searchsorted(at, start)] - start
+
+
+def _cut(ranges: Ranges, buckets: int):
+    """The bytes of runs that are compared, in one piece; of hot tokens, in one piece for each depth of the token."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = arrow_schema(CUTS)
+        for batch in batches:
+            for doc, fp, text, wanted in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                raw, out = text.encode(), []
+                parts = ranges.bucket(np.array([w["lead"] for w in wanted], np.int64), np.zeros(len(wanted), np.int64)).tolist()
+                for w, part in zip(wanted, parts, strict=True):
+                    lead, lo, n = w["lead"], w["lo"], w["windows"]
+                    own = raw[lo : lo + n - 1 + LENGTH]
+                    if not w["hot"]:
+                        out.append((part, lead, -1, doc, fp, lo, n, own))
+                        continue
+                    for k, d in enumerate(_depths(own, n, lead).tolist()):
+                        out.append((int(mix(np.array([lead + d], np.int64).view(np.uint64))[0]) % buckets, lead, d, doc, fp, lo + k, 1, own[k : k + LENGTH]))
+                for k in range(0, len(out), 5000):
+                    yield arrow_batch(schema, list(zip(*out[k : k + 5000], strict=True)))
+
+    return run
 
 
 def multikey_ties(words: np.ndarray, at: np.ndarray, group: np.ndarray, length: int = LENGTH) -> np.ndarray:
@@ -193,13 +272,13 @@ def multikey_ties(words: np.ndarray, at: np.ndarray, group: np.ndarray, length:
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by lead: windows with an equal in another place of the bucket."""
+    """Rows in order of token and depth: windows with an equal in another place of the bucket."""
     schema = arrow_schema(SPANS)
 
     def sort(t: pa.Table) -> pa.RecordBatch | None:
         t = t.combine_chunks()
-        lead, windows, lo = (t.column(k).to_numpy() for k in ("lead", "windows", "lo"))
-        same = lead[1:] == lead[:-1]
+        lead, depth, windows, lo = (t.column(k).to_numpy() for k in ("lead", "depth", "windows", "lo"))
+        same = (lead[1:] == lead[:-1]) & (depth[1:] == depth[:-1])
         raw = t.column("bytes").combine_chunks()
         _, offsets, data = raw.buffers()
         off = np.frombuffer(offsets, np.int32)[raw.offset : raw.offset + len(raw) + 1].astype(np.int64)
@@ -221,59 +300,51 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return arrow_batch(schema, [ids, fps, lo[r[a]] + place[a], (b - a + 1).astype(np.int32)])
 
     held: list[pa.RecordBatch] = []
-    rows = 0
-    for batch in batches:
-        held.append(batch)
-        rows += len(batch)
-        if rows < BUCKET:
-            continue
-        t = pa.Table.from_batches(held)
-        lead = t.column("lead").to_numpy()
-        cut = int(np.searchsorted(lead, lead[-1]))
-        if cut and (x := sort(t.slice(0, cut))) is not None:
-            yield x
-        held = t.slice(cut).to_batches()
-        rows = sum(map(len, held))
+    windows = 0
+    for whole in batches:
+        for k in range(0, len(whole), 1024):
+            batch = whole.slice(k, 1024)
+            held.append(batch)
+            windows += int(batch.column("windows").to_numpy().sum())
+            if windows < SORTED:
+                continue
+            t = pa.Table.from_batches(held)
+            lead, depth = t.column("lead").to_numpy(), t.column("depth").to_numpy()
+            cut = int(np.argmax((lead == lead[-1]) & (depth == depth[-1])))  # the last group may go on
+            if cut:
+                if (x := sort(t.slice(0, cut))) is not None:
+                    yield x
+                held = [pa.RecordBatch.from_arrays([c.combine_chunks() for c in t.slice(cut).columns], schema=t.schema)]
+                windows = int(held[0].column("windows").to_numpy().sum())
     if held and (x := sort(pa.Table.from_batches(held))) is not None:
         yield x
 
 
-WINDOWS = "a long, b long, doc_id long, fp long, lo long, windows int"
-
-
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = arrow_schema(WINDOWS)
-    for batch in batches:
-        for row in batch.to_pylist():
-            raw, out = row["bytes"], []
-            for p in range(row["windows"]):
-                h = xxhash.xxh3_128_intdigest(raw[p : p + LENGTH])
-                out.append(((h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63), row["doc_id"], row["fp"], row["lo"] + p, 1))
-            yield arrow_batch(schema, list(zip(*out, strict=True)))
+def _sampled(rows: DataFrame, buckets: int) -> list[tuple[int, int]]:
+    """(token, content) of runs chosen by their hash, a bounded number for each bucket."""
+    order = F.xxhash64("lead", "c1", "doc_id", "lo")
+    return [(r[0], r[1]) for r in rows.select("lead", "c1", order.alias("o")).orderBy("o").limit(PER_BUCKET * buckets).collect()]
 
 
 def repeated_spans(docs: DataFrame, key: str, text: str, scratch: Scratch) -> DataFrame:
     """(doc_id, fp, lo, windows): runs of windows of LENGTH bytes that start anywhere else too."""
-    spark = docs.sparkSession
-    n = partitions(spark)
+    n = partitions(docs.sparkSession)
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("fp"), F.col(text).alias("text")).where(F.octet_length("text") >= LENGTH)
-    dealt = source.mapInArrow(_emit_runs, RUNS).repartition(n, "part").sortWithinPartitions("lead", "content")
-    marks = scratch.save(dealt.mapInArrow(_match_runs, MARKS), "marks", "kind")
+    some = source.where(F.pmod(F.xxhash64("fp", "doc_id"), F.lit(max(1, docs.count() // SAMPLE_DOCS))) == 0)
+    ranges = Ranges(_sampled(some.mapInArrow(_emit_runs(Ranges([], 1), 1), RUNS), n), n)
+    dealt = source.mapInArrow(_emit_runs(ranges, n), RUNS).repartitionById(n, "part").sortWithinPartitions("lead", "c1", "c2")
+    first = scratch.save(dealt.mapInArrow(_match_runs(ranges), MARKS), "marks", "kind")
+    columns = ["kind", "lead", "doc_id", "fp", "lo", "windows"]
+    marks = scratch.save(first.where(F.col("kind") != EDGE).select(*columns).unionByName(_across(first.where(F.col("kind") == EDGE)).select(*columns)), "judged", "kind")
     wanted = marks.where(F.col("kind") != REPEAT)
-    per_doc = wanted.groupBy("doc_id", "fp").agg(F.collect_list(F.struct("lead", "lo", "windows")).alias("wanted"))
+    deep = Ranges(_sampled(wanted.withColumn("c1", F.lit(0).cast("long")), n), n)
+    hot = wanted.groupBy("lead").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > BUCKET).select("lead", F.lit(True).alias("hot"))
+    per_doc = wanted.join(hot, "lead", "left").groupBy("doc_id", "fp").agg(F.collect_list(F.struct("lead", "lo", "windows", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("wanted"))
     both = per_doc.withColumnsRenamed({"doc_id": "_d", "fp": "_f"})
+    # Rows of one key and text are the same place: their runs are equal anyway, and one of them stands for all.
     joined = source.join(both, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("fp") == F.col("_f"))).select("doc_id", "fp", "text", "wanted")
-    cuts = joined.mapInArrow(_cut, CUTS)
-    hot = wanted.groupBy("lead").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > BUCKET).select("lead")
-    if hot.isEmpty():
-        found = cuts.repartition(n, "lead").sortWithinPartitions("lead").mapInArrow(_compare, SPANS)
-    else:
-        cuts = scratch.save(cuts, "cuts")
-        found = cuts.join(hot, "lead", "left_anti").repartition(n, "lead").sortWithinPartitions("lead").mapInArrow(_compare, SPANS)
-        windows = scratch.save(cuts.join(hot, "lead", "left_semi").mapInArrow(_windows, WINDOWS), "windows")
-        often = windows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-        found = found.unionByName(windows.join(often, ["a", "b"]).drop("a", "b"))
-    found = scratch.save(found, "found")
+    cuts = joined.mapInArrow(_cut(deep, n), CUTS).repartitionById(n, "part").sortWithinPartitions("lead", "depth")
+    found = scratch.save(cuts.mapInArrow(_compare, SPANS), "found")
     return marks.where(F.col("kind") != COMPARE).select("doc_id", "fp", "lo", "windows").unionByName(found)
 
 

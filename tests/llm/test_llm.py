@@ -103,9 +103,11 @@ def brute_repeats(texts, length=200):
     return gone
 
 
-@pytest.mark.parametrize("bucket", [suffixes.BUCKET, 1])
-def test_repeats(docs, empty, bucket, monkeypatch):
+@pytest.mark.parametrize(("bucket", "windows", "batch"), [(suffixes.BUCKET, suffixes.SORTED, 10_000), (1, 1, 3), (4, 300, 7)])
+def test_repeats(spark, docs, empty, bucket, windows, batch, monkeypatch):
     monkeypatch.setattr(suffixes, "BUCKET", bucket)
+    monkeypatch.setattr(suffixes, "SORTED", windows)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
     rows = docs.collect()
     texts = [(r["text"] or "").encode() for r in rows]
     want = []
@@ -116,6 +118,7 @@ def test_repeats(docs, empty, bucket, monkeypatch):
     got = suffixes.remove_repeats(docs).collect()
     assert sorted((str(r["doc_id"]), *list(r)[1:5]) for r in got) == sorted(want)
     assert suffixes.remove_repeats(empty).count() == 0
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 def test_language(docs, empty):
@@ -313,7 +316,7 @@ def test_lines_within_groups_are_alike(spark):
 
 
 def test_lines_counters_that_overflow(spark, monkeypatch):
-    """More copies than a counter holds: the line is hashed from one copy, and still meets its like."""
+    """Copies vote once, and counters too narrow for a line don't keep it from its copies."""
     w = [f"word{k}" for k in range(20)]
     copy, near = " ".join(w), " ".join([*w[:-1], "other"])
     d = spark.createDataFrame([(i, copy) for i in range(40)] + [(99, near), (100, "x" * 3000 + "\n" + " ".join(w * 400))], "doc_id long, text string")
