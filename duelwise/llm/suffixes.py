@@ -242,12 +242,11 @@ def _cut(ranges: Ranges, buckets: int):
 
 
 def multikey_ties(words: np.ndarray, at: np.ndarray, group: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """Which of the strings words[at:] of ``length`` bytes have an equal in their group (multikey quicksort by words)."""
-    tied = np.zeros(len(at), bool)
-    active, steps = np.arange(len(at)), [*range(0, length - 7, 8), *([length - 8] if length % 8 else [])]
-    for level in steps:
-        if not len(active):
-            break
+    """Which of the strings words[at:] of ``length`` bytes have an equal in their group: a multikey quicksort by words
+    that goes on, in each group of strings equal so far, at the first word in which any of them differs from the first."""
+    tied, active, level, group = np.zeros(len(at), bool), np.arange(len(at)), np.zeros(len(at), np.int64), group.copy()
+    steps, never = [*range(0, length - 7, 8), *([length - 8] if length % 8 else [])], 1 << 30
+    while len(active):
         key = words[at[active] + level]
         order = np.lexsort((key, group[active]))
         active, key = active[order], key[order]
@@ -258,16 +257,17 @@ def multikey_ties(words: np.ndarray, at: np.ndarray, group: np.ndarray, length:
         active, head = active[~alone], new[:-1][~alone]
         if not len(active):
             break
+        heads = np.flatnonzero(head)
         g = np.cumsum(head) - 1
-        first = active[np.flatnonzero(head)][g]
-        equal = np.ones(len(active), bool)
-        for step in steps:
-            equal &= words[at[active] + step] == words[at[first] + step]
-        whole = np.bincount(g, ~equal) == 0  # the rest of the string is the same for all: no need to sort on
-        tied[active[whole[g]]] = True
-        group = group.copy()
+        here, first = at[active], at[active[heads]][g]
+        differ = np.full(len(active), never)
+        for step in reversed(steps):
+            differ[words[here + step] != words[first + step]] = step
+        level = np.minimum.reduceat(differ, heads)[g]
+        whole = level == never
+        tied[active[whole]] = True
         group[active] = g
-        active = active[~whole[g]]
+        active, level = active[~whole], level[~whole]
     return tied
 
 
