@@ -17,10 +17,18 @@ def strip_label(c: Column) -> Column:
     return F.when(h3, inner).when(heading, F.substr(c, F.lit(14))).otherwise(c)
 
 
+#: White space as in Unicode, for a character class of both Java's and RE2's expressions.
+WHITE = r"\t-\r\x1c-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+
+
+def strip(c: Column) -> Column:
+    return F.regexp_replace(c, f"^[{WHITE}]+|[{WHITE}]+$", "")
+
+
 def collapse_whitespace(c: Column) -> Column:
     """Blank lines keep one empty line, every other run of white space becomes a space, ends are trimmed."""
-    marked = F.regexp_replace(c, r"\n[ \t\r\n\f\x0B]*\n", "\u0001")
-    return F.trim(F.regexp_replace(F.regexp_replace(marked, r"[ \t\r\n\f\x0B]+", " "), "\u0001", "\n\n"))
+    marked = F.regexp_replace(c, f"\n[{WHITE}]*\n", "\u0001")
+    return strip(F.regexp_replace(F.regexp_replace(marked, f"[{WHITE}]+", " "), "\u0001", "\n\n"))
 
 
 def strip_tags(c: Column) -> Column:
@@ -50,30 +58,32 @@ def drop_table_lines(c: Column) -> Column:
 
 
 def word_count(c: Column) -> Column:
-    return F.size(F.regexp_extract_all(c, F.lit(r"[^ \t\r\n\f\x0B]+"), F.lit(0)))
+    return F.regexp_count(c, F.lit(f"[^{WHITE}]+"))
 
 
 def backward_chunks(c: Column, limit: int, endings: list[str] = (), lossless: bool = False, slack: int = 10, short: int = 5) -> Column:
     """Array of chunks, made from the last paragraph to the first.
 
     A paragraph joins the front of the buffer while the words stay within the limit (a paragraph under ``short`` words
-    may exceed it up to ``slack``). On overflow the buffer is a chunk and, as in the source data's convention, the
+    may exceed it up to ``slack``). Blank paragraphs and those that are one of the endings, ends stripped, are left out,
+    and so are categories. Chunks are stripped. On overflow the buffer is a chunk and, as in the source data's convention, the
     paragraph that overflowed is lost; ``lossless`` starts the next buffer with it and drops empty chunks.
     """
     empty = F.array().cast("array<string>")
     start = F.struct(empty.alias("out"), empty.alias("buf"), F.lit(0).alias("n"))
-    skip = lambda p: (F.trim(p) == "") | p.isin(*endings) | F.startswith(p, F.lit("Category:")) if endings else (F.trim(p) == "") | F.startswith(p, F.lit("Category:"))
+    skip = lambda p: strip(p).isin("", *endings) | F.startswith(p, F.lit("Category:"))
+    joined_text = lambda buf: strip(F.array_join(buf, "\n"))
 
     def step(acc: Column, p: Column) -> Column:
         w = word_count(p)
         fits = (acc["n"] + w <= limit) | ((w < short) & (acc["n"] < limit + slack))
         joined = F.struct(acc["out"].alias("out"), F.concat(F.array(p), acc["buf"]).alias("buf"), (acc["n"] + w).alias("n"))
-        chunk = F.concat(F.array(F.array_join(acc["buf"], "\n")), acc["out"])
+        chunk = F.concat(F.array(joined_text(acc["buf"])), acc["out"])
         flushed = F.struct(chunk.alias("out"), (F.array(p) if lossless else empty).alias("buf"), (w if lossless else F.lit(0)).alias("n"))
         return F.when(skip(p), acc).when(fits, joined).otherwise(flushed)
 
     def finish(acc: Column) -> Column:
-        out = F.when(F.size(acc["buf"]) > 0, F.concat(F.array(F.array_join(acc["buf"], "\n")), acc["out"])).otherwise(acc["out"])
+        out = F.when(F.size(acc["buf"]) > 0, F.concat(F.array(joined_text(acc["buf"])), acc["out"])).otherwise(acc["out"])
         return F.filter(out, lambda x: x != "") if lossless else out
 
     return F.aggregate(F.reverse(F.split(c, "\n")), start, step, finish)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip_label
+from .ranks import positions
 
 WINNERS = {"leftvote": "model_a", "rightvote": "model_b", "tievote": "tie", "bothbadvote": "tie (bothbad)", "bothbad_vote": "tie (bothbad)"}
 
@@ -23,36 +24,47 @@ def canonical(name: Column, aliases: dict[str, str], tstamp: Column | None = Non
 def with_status(votes: DataFrame, task: str | None = None, aliases: dict[str, str] | None = None, exclude: tuple[str, ...] = (), banned: DataFrame | None = None, dated: dict | None = None) -> DataFrame:
     """votes(type, task_type, ip, tstamp, hidden_a/b, public_a/b) -> also anony, model_a, model_b, status.
 
-    Checks are made in a fixed order: task, share, one name empty, public and hidden names differ, excluded model,
-    banned address; the first that fails names the status. A banned list is joined, broadcast only if Spark finds it small.
+    Public names lose their markup. Where the first hidden name is blank (or null), the public pair stands for the hidden
+    one. A vote without a first public name, or with "Model A", is anonymous and has the hidden pair; any other has the
+    public pair, and has to agree with the hidden one. Checks are made in a fixed order: task, share, one public name
+    empty, names differ, excluded model, banned address; the first that fails names the status. A banned list is joined,
+    broadcast only if Spark finds it small.
     """
-    name = lambda c: canonical(strip_label(F.col(c)), aliases or {}, F.col("tstamp"), dated)
-    d = votes.withColumns({"pa": strip_label(F.col("public_a")), "pb": strip_label(F.col("public_b"))})
-    d = d.withColumn("anony", F.col("pa").isin("", "Model A") | (F.trim("hidden_a") != "") & (F.col("pa") == "") & (F.col("pb") == ""))
-    d = d.withColumns({"model_a": F.when(F.col("anony") | (F.trim("hidden_a") != ""), name("hidden_a")).otherwise(name("public_a")), "model_b": F.when(F.col("anony") | (F.trim("hidden_a") != ""), name("hidden_b")).otherwise(name("public_b"))})
+    public = [strip_label(F.coalesce(f"public_{x}", F.lit(""))) for x in "ab"]
+    d = votes.withColumns({"_pa": public[0], "_pb": public[1], "_known": F.trim(F.coalesce("hidden_a", F.lit(""))) != ""})
+    d = d.withColumns({f"_h{x}": F.when(F.col("_known"), F.coalesce(f"hidden_{x}", F.lit(""))).otherwise(F.col(f"_p{x}")) for x in "ab"})
+    d = d.withColumn("anony", F.col("_pa").isin("", "Model A"))
+    d = d.withColumns({f"model_{x}": canonical(F.when(F.col("anony"), F.col(f"_h{x}")).otherwise(F.col(f"_p{x}")), aliases or {}, F.col("tstamp"), dated) for x in "ab"})
     if banned is not None:
         d = d.join(banned.select(F.col("ip").alias("_ip")).distinct().withColumn("_banned", F.lit(True)), F.col("ip") == F.col("_ip"), "left").drop("_ip")
     else:
         d = d.withColumn("_banned", F.lit(None).cast("boolean"))
-    one_empty = (F.col("pa") == "") != (F.col("pb") == "")
-    differs = ~F.col("anony") & ((F.col("pa") != strip_label(F.col("hidden_a"))) | (F.col("pb") != strip_label(F.col("hidden_b"))))
+    one_empty = (F.col("_pa") == "") != (F.col("_pb") == "")
+    differs = ~F.col("anony") & ((F.col("_pa") != F.col("_ha")) | (F.col("_pb") != F.col("_hb")))
     status = F.when(F.lower("task_type") != F.lit(task.lower()), "other_task") if task else F.when(F.lit(False), "other_task")
     status = status.when(F.col("type") == "share", "share").when(one_empty, "invalid").when(differs, "mismatch")
     if exclude:
         status = status.when(F.col("model_a").isin(*exclude) | F.col("model_b").isin(*exclude), "excluded")
-    return d.withColumn("status", status.when(F.coalesce("_banned", F.lit(False)), "banned").otherwise("ok")).drop("pa", "pb", "_banned")
+    return d.withColumn("status", status.when(F.coalesce("_banned", F.lit(False)), "banned").otherwise("ok")).drop("_pa", "_pb", "_ha", "_hb", "_known", "_banned")
 
 
-def clean_battles(statuses: DataFrame, key: str = "event_id") -> DataFrame:
-    """The battle table; an unknown vote type ends the query."""
+def clean_battles(statuses: DataFrame, key: str = "event_id", prefix: str = "user_", sanitised: bool = False) -> DataFrame:
+    """The battle table; an unknown vote type ends the query. A judge is the prefix and the address, or the prefix twice
+    and the address's number by first appearance (``sanitised``)."""
     winner = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in WINNERS.items() for x in kv]), "type"), F.raise_error(F.concat(F.lit("unknown vote "), "type")))
-    return statuses.where("status = 'ok'").select(F.col(key).alias("question_id"), "model_a", "model_b", winner.alias("winner"), F.concat(F.lit("arena_user_"), F.col("ip").cast("string")).alias("judge"), "anony", "tstamp")
+    d, judge = statuses.where("status = 'ok'"), F.concat(F.lit(prefix), F.col("ip").cast("string"))
+    if sanitised:
+        d = d.join(address_counts(statuses, key).select("ip", "ip_id"), "ip")
+        judge = F.concat(F.lit(prefix + prefix), F.col("ip_id").cast("string"))
+    return d.select(F.col(key).alias("question_id"), "model_a", "model_b", winner.alias("winner"), judge.alias("judge"), "anony", "tstamp")
 
 
-def address_counts(statuses: DataFrame, key: str = "event_id") -> DataFrame:
-    """ip, n and a dense id by first appearance, over votes that pass all checks before the ban check."""
-    n = statuses.where("status IN ('ok', 'banned')").groupBy("ip").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("tstamp", key)).alias("first"))
-    return n.select("ip", "n", (F.row_number().over(Window.orderBy("first")) - 1).alias("ip_id"))
+def address_counts(statuses: DataFrame, key: str = "event_id", with_banned: bool = True) -> DataFrame:
+    """ip, n and a dense id by first appearance, over votes that pass all checks before the ban check; banned addresses
+    have a number but are left out of lists (``with_banned`` false)."""
+    n = statuses.where("status IN ('ok', 'banned')").groupBy("ip").agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("first"), F.max(F.col("status") == "banned").alias("_out"))
+    d = positions(n, "first", "ip_id")
+    return (d if with_banned else d.where(~F.col("_out"))).select("ip", "n", "ip_id")
 
 
 def remove_model_votes(votes: DataFrame, columns: list[str], model: str) -> DataFrame:

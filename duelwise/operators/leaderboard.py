@@ -14,6 +14,13 @@ def leaderboard(ratings: DataFrame, full: DataFrame, meta: DataFrame, key: str =
     return d.select(*ratings.columns, F.coalesce("rating_full", F.lit(0.0)).alias("rating_full"), *(F.coalesce(F.col(c).cast("string"), F.lit("N/A")).alias(c) for c in columns))
 
 
+def statistics(rated: DataFrame, samples: DataFrame, counts: DataFrame, most: int = 25, key: str = "model") -> DataFrame:
+    """The ``most`` best rated models with their battles and the spread of their sampled ratings (key, rating_q025,
+    rating_q975, variance); models without samples or battles have nulls or 0."""
+    d = rated.select(key, "rating").join(samples.select(key, "variance", "rating_q025", "rating_q975"), key, "left").join(counts.select(key, "num_battles"), key, "left")
+    return d.withColumn("num_battles", F.coalesce("num_battles", F.lit(0).cast("long"))).orderBy(F.desc("rating"), key).limit(most)
+
+
 def interval_strings(df: DataFrame) -> DataFrame:
     """'+u/-l' with halves rounded to even, and error bars."""
     up, down = F.bround(F.col("rating_q975") - F.col("rating"), 0), F.bround(F.col("rating") - F.col("rating_q025"), 0)

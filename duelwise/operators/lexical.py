@@ -2,14 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 K1, B = 1.5, 0.75
 
 
-def tokens(c: Column) -> Column:
-    return F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]{2,}"), F.lit(0))
+#: A word is two or more letters, digits or underscores of any script.
+WORD = r"[\p{L}\p{N}_]{2,}"
+#: Query terms up to this number are sent to every task.
+BROADCAST_TERMS = 100_000
+
+
+def tokens(c: Column, stop: tuple[str, ...] = (), stem: Callable[[Column], Column] | None = None) -> Column:
+    """Lower-cased words, less stop words, each stemmed by an injected expression."""
+    out = F.regexp_extract_all(F.lower(c), F.lit(WORD), F.lit(0))
+    out = F.filter(out, lambda w: ~w.isin(*stop)) if stop else out
+    return F.transform(out, stem) if stem else out
 
 
 def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -26,21 +37,23 @@ def document_frequencies(posts: DataFrame, docs: DataFrame) -> DataFrame:
     return d.select("term", "df", F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int, key: str = "doc_id", text: str = "text", qkey: str = "item_id", k1: float = K1, b: float = B) -> DataFrame:
-    """qkey, rank, key, score: the k best documents that share a term with the query.
+def bm25(docs: DataFrame, queries: DataFrame, k: int, key: str = "doc_id", text: str = "text", qkey: str = "item_id", k1: float = K1, b: float = B, title: str | None = None, stop: tuple[str, ...] = (), stem: Callable[[Column], Column] | None = None) -> DataFrame:
+    """qkey, rank, key, score: the k best documents that share a term with the query; a title counts as text before it.
 
-    Only postings of query terms are scored: the distinct terms of all queries filter tokens before they are counted.
+    Only postings of query terms are counted and move: the distinct terms of all queries filter words where they are
+    read, as long as they are few enough to be sent there.
     """
-    asked = queries.select(F.col(qkey), F.explode(tokens(F.col(text))).alias("term"))
+    asked = queries.select(F.col(qkey), F.explode(tokens(F.col(text), stop, stem)).alias("term"))
     terms = asked.select("term").distinct()
-    d = docs.select(F.col(key), tokens(F.col(text)).alias("t")).select(key, F.size("t").alias("dl"), "t")
+    terms = F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms
+    whole = F.concat_ws(" ", title, text) if title else F.col(text)
+    d = docs.select(F.col(key), tokens(whole, stop, stem).alias("t")).select(key, F.size("t").alias("dl"), "t")
     shape = d.agg(F.count(F.lit(1)).alias("docs"), F.avg("dl").alias("avgdl"))
     posts = d.select(key, "dl", F.explode("t").alias("term")).join(terms, "term", "left_semi").groupBy("term", key, "dl").agg(F.count(F.lit(1)).alias("tf"))
     df = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     part = F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     scored = posts.join(df, "term").join(F.broadcast(shape)).select("term", key, (idf * part).alias("s"))
-    # Sum in a fixed order, so that equal sets of terms give equal scores.
     total = asked.join(scored, "term").groupBy(qkey, key).agg(F.round(F.sum("s"), 6).alias("score"))
     rank = F.row_number().over(Window.partitionBy(qkey).orderBy(F.desc("score"), key))
     return total.withColumn("rank", rank).where(F.col("rank") <= k).select(qkey, "rank", key, "score")

@@ -6,17 +6,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def positions(df: DataFrame, key: str, name: str, ranges: int = 64) -> DataFrame:
-    """df with 0-based positions in order of a unique key.
+#: Rows of a range, about; a range is numbered by one task.
+RANGE_ROWS, MOST_RANGES = 200_000, 5_000
 
-    Keys are cut at sampled quantiles into ranges; counts of ranges give offsets, a window numbers each range.
+
+def positions(df: DataFrame, key: str, name: str) -> DataFrame:
+    """df with 0-based positions in order of a unique key, a null one first.
+
+    Keys are cut at sampled quantiles into ranges, as many as the rows ask for; counts of ranges give offsets, a window
+    numbers each range.
     """
-    cuts = df.approxQuantile(key, [k / ranges for k in range(1, ranges)], 0.001)
+    ranges = min(MOST_RANGES, 1 + df.count() // RANGE_ROWS)
+    cuts = sorted(set(df.approxQuantile(key, [k / ranges for k in range(1, ranges)], 0.2 / ranges))) if ranges > 1 else []
     at = F.lit(0)
-    for c in sorted(set(cuts)):
-        at = at + (F.col(key) > F.lit(c)).cast("int")
+    if cuts:
+        at = F.coalesce(F.size(F.filter(F.from_json(F.lit(str(cuts)), "array<double>"), lambda c: c < F.col(key))), F.lit(0))
     ranged = df.withColumn("_range", at)
     counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
     before = counts.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("_range").orderBy(key)) - 1
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(F.col(key).asc_nulls_first())) - 1
     return ranged.join(F.broadcast(before), "_range").withColumn(name, F.col("_before") + inside).drop("_range", "_before")

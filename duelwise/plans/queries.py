@@ -155,6 +155,16 @@ def rating_quantiles(spark, d):
     return q.select("model", *(F.round(c, 6).alias(c) for c in ("rating_q025", "rating_median", "rating_q975")), F.round("variance", 4).alias("variance"), ratings.round_half_up(F.col("rating_median")).alias("median_rounded"))
 
 
+@query(ELO_SQL + """, q AS (SELECT 'm' || (user_id % 8) AS model, quantile_cont(value, 0.025) AS q025, quantile_cont(value, 0.975) AS q975, var_samp(value) AS variance FROM events GROUP BY 1)
+SELECT model, rating, round(variance, 4) AS variance, round(q025, 6) AS rating_q025, round(q975, 6) AS rating_q975, num_battles FROM elo JOIN q USING (model) ORDER BY rating DESC, model LIMIT 25""")
+def leaderboard_stats(spark, d):
+    """Ratings with battles and the spread of sampled ratings (here the events' values), the 25 best."""
+    e = table(spark, d, "events").select(F.expr("concat('m', user_id % 8)").alias("model"), F.col("value").alias("rating"))
+    rated = online_elo(spark, d)
+    out = leaderboard.statistics(rated, ratings.bootstrap_quantiles(e), rated.select("model", "num_battles"))
+    return out.select("model", "rating", F.round("variance", 4).alias("variance"), *(F.round(c, 6).alias(c) for c in ("rating_q025", "rating_q975")), "num_battles")
+
+
 META = """meta AS (SELECT 'm' || s_suppkey AS model, s_name AS link, n_name AS organization FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey < 7)"""
 
 
@@ -191,10 +201,12 @@ def leaderboard_totals(spark, d):
 
 
 STATUS = f"""WITH {VOTES_SQL},
-s AS (SELECT *, CASE WHEN public_a LIKE '### Model A: %' THEN substr(public_a, 14) ELSE public_a END AS pa, CASE WHEN hidden_a LIKE 'old-m%' THEN substr(hidden_a, 5) ELSE hidden_a END AS model_a, hidden_b AS model_b FROM votes),
-j AS (SELECT *, (pa = '' OR pa = 'Model A') AS anony FROM s),
-st AS (SELECT *, CASE WHEN lower(task_type) <> 'sts' THEN 'other_task' WHEN type = 'share' THEN 'share' WHEN (pa = '') <> (public_b = '') THEN 'invalid'
-  WHEN NOT anony AND (pa <> hidden_a OR public_b <> hidden_b) THEN 'mismatch' WHEN model_a = 'm7' OR model_b = 'm7' THEN 'excluded' WHEN ip % 29 = 0 THEN 'banned' ELSE 'ok' END AS status FROM j)"""
+p AS (SELECT *, CASE WHEN public_a LIKE '### Model A: %' THEN substr(public_a, 14) ELSE public_a END AS pa, public_b AS pb FROM votes),
+h AS (SELECT *, CASE WHEN trim(hidden_a) <> '' THEN hidden_a ELSE pa END AS ha, CASE WHEN trim(hidden_a) <> '' THEN hidden_b ELSE pb END AS hb, pa IN ('', 'Model A') AS anony FROM p),
+m AS (SELECT *, CASE WHEN anony THEN ha ELSE pa END AS ma, CASE WHEN anony THEN hb ELSE pb END AS mb FROM h),
+j AS (SELECT *, CASE WHEN ma LIKE 'old-m%' THEN substr(ma, 5) ELSE ma END AS model_a, CASE WHEN mb LIKE 'old-m%' THEN substr(mb, 5) ELSE mb END AS model_b FROM m),
+st AS (SELECT *, CASE WHEN lower(task_type) <> 'sts' THEN 'other_task' WHEN type = 'share' THEN 'share' WHEN (pa = '') <> (pb = '') THEN 'invalid'
+  WHEN NOT anony AND (pa <> ha OR pb <> hb) THEN 'mismatch' WHEN model_a = 'm7' OR model_b = 'm7' THEN 'excluded' WHEN ip % 29 = 0 THEN 'banned' ELSE 'ok' END AS status FROM j)"""
 
 
 def statuses(spark, d):
@@ -209,15 +221,24 @@ def clean_status_counts(spark, d):
 
 
 @query(STATUS + """ SELECT event_id AS question_id, model_a, model_b, CASE type WHEN 'leftvote' THEN 'model_a' WHEN 'rightvote' THEN 'model_b' WHEN 'tievote' THEN 'tie' ELSE 'tie (bothbad)' END AS winner,
-  'arena_user_' || ip AS judge, anony, tstamp FROM st WHERE status = 'ok'""")
+  'user_' || ip AS judge, anony, tstamp FROM st WHERE status = 'ok'""")
 def clean_battles(spark, d):
     return clean.clean_battles(statuses(spark, d))
 
 
-@query(STATUS + """, n AS (SELECT ip, count(*) AS n, min({'t': tstamp, 'e': event_id}) AS first FROM st WHERE status IN ('ok', 'banned') GROUP BY ip)
-SELECT ip, n, row_number() OVER (ORDER BY first) - 1 AS ip_id FROM n ORDER BY n DESC, ip LIMIT 30""")
+IP_SQL = STATUS + """, n AS (SELECT ip, count(*) AS n, min(event_id) AS first FROM st WHERE status IN ('ok', 'banned') GROUP BY ip),
+i AS (SELECT ip, n, row_number() OVER (ORDER BY first) - 1 AS ip_id FROM n)"""
+
+
+@query(IP_SQL + " SELECT ip, n, ip_id FROM i WHERE ip % 29 <> 0 ORDER BY n DESC, ip LIMIT 30")
 def ip_top30(spark, d):
-    return clean.address_counts(statuses(spark, d)).orderBy(F.desc("n"), "ip").limit(30).select("ip", "n", F.col("ip_id").cast("long").alias("ip_id"))
+    """The most frequent addresses less the banned ones, which keep their numbers."""
+    return clean.address_counts(statuses(spark, d), with_banned=False).orderBy(F.desc("n"), "ip").limit(30).select("ip", "n", F.col("ip_id").cast("long").alias("ip_id"))
+
+
+@query(IP_SQL + " SELECT event_id AS question_id, 'user_user_' || ip_id AS judge FROM st JOIN i USING (ip) WHERE status = 'ok'")
+def sanitised_judges(spark, d):
+    return clean.clean_battles(statuses(spark, d), sanitised=True).select("question_id", "judge")
 
 
 @query("""SELECT event_id, CASE WHEN event_type IN ('click', 'view') THEN event_type || CASE WHEN epoch_us(ts) / 1000000.0::DOUBLE > 1705276800 THEN '-0613' ELSE '-0314' END
@@ -295,13 +316,13 @@ def cosine_triangle(spark, d):
     return t.select("vec_id", *(F.round(c, 6).alias(c) for c in ("cos_ab", "cos_ac", "cos_bc")), *(F.round(c, 4).alias(c) for c in ("side_ab", "cx", "cy")))
 
 
-BM25_SQL = """WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]{2,}') AS t FROM documents),
+BM25_SQL = """WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}') AS t FROM documents),
 dl AS (SELECT doc_id, len(t) AS dl FROM t), shape AS (SELECT count(*) AS docs, avg(dl) AS avgdl FROM dl),
 p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM t) GROUP BY ALL),
 df AS (SELECT term, count(*) AS df, ln(1 + (any_value(docs) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM p, shape GROUP BY term)"""
 
 
-@query(BM25_SQL + """, q AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]{2,}')) AS term FROM benchmark),
+@query(BM25_SQL + """, q AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}')) AS term FROM benchmark),
 s AS (SELECT item_id, doc_id, round(sum(idf * tf / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))), 6) AS score FROM q JOIN p USING (term) JOIN df USING (term) JOIN dl USING (doc_id), shape GROUP BY ALL),
 r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM s)
 SELECT * FROM r WHERE rank <= 5""")
@@ -315,17 +336,21 @@ def bm25_idf(spark, d):
     return lexical.document_frequencies(lexical.postings(docs), docs).withColumn("idf", F.round("idf", 6))
 
 
-CHUNK_SQL = r"""WITH RECURSIVE p AS (SELECT doc_id, list_reverse(string_split(text, chr(10))) AS ps FROM documents WHERE text IS NOT NULL),
+def stripped(c: str) -> str:
+    return f"regexp_replace({c}, '^[{T.WHITE}]+|[{T.WHITE}]+$', '', 'g')"
+
+
+CHUNK_SQL = rf"""WITH RECURSIVE p AS (SELECT doc_id, list_reverse(string_split(text, chr(10))) AS ps FROM documents WHERE text IS NOT NULL),
 c AS (
   SELECT doc_id, ps, 1 AS i, []::VARCHAR[] AS out, []::VARCHAR[] AS buf, 0::BIGINT AS n FROM p
   UNION ALL
   SELECT doc_id, ps, i + 1,
-    CASE WHEN skip OR fits THEN out ELSE list_prepend(array_to_string(buf, chr(10)), out) END,
+    CASE WHEN skip OR fits THEN out ELSE list_prepend({stripped("array_to_string(buf, chr(10))")}, out) END,
     CASE WHEN skip THEN buf WHEN fits THEN list_prepend(x, buf) ELSE [] END,
     CASE WHEN skip THEN n WHEN fits THEN n + w ELSE 0 END
-  FROM (SELECT *, trim(x) = '' OR x LIKE 'Category:%' AS skip, (n + w <= 60) OR (w < 5 AND n < 70) AS fits
-        FROM (SELECT *, ps[i] AS x, len(regexp_extract_all(ps[i], '[^ \t\r\n\f\x0B]+')) AS w FROM c WHERE i <= len(ps)))),
-f AS (SELECT doc_id, CASE WHEN len(buf) > 0 THEN list_prepend(array_to_string(buf, chr(10)), out) ELSE out END AS chunks FROM c WHERE i = len(ps) + 1)"""
+  FROM (SELECT *, {stripped("x")} = '' OR x LIKE 'Category:%' AS skip, (n + w <= 60) OR (w < 5 AND n < 70) AS fits
+        FROM (SELECT *, ps[i] AS x, len(regexp_extract_all(ps[i], '[^{T.WHITE}]+')) AS w FROM c WHERE i <= len(ps)))),
+f AS (SELECT doc_id, CASE WHEN len(buf) > 0 THEN list_prepend({stripped("array_to_string(buf, chr(10))")}, out) ELSE out END AS chunks FROM c WHERE i = len(ps) + 1)"""
 
 
 @query(CHUNK_SQL + " SELECT doc_id, len(chunks)::INT AS n_chunks, md5(array_to_string(chunks, '|')) AS digest FROM f")
@@ -340,7 +365,7 @@ def chunk_ids(spark, d):
     return c.select(F.concat_ws("-", F.col("doc_id").cast("string"), F.col("i").cast("string")).alias("id"), F.md5("chunk").alias("digest"))
 
 
-@query(r"""SELECT doc_id, md5(trim(replace(regexp_replace(regexp_replace(text, '\n[ \t\r\n\f\x0B]*\n', chr(1), 'g'), '[ \t\r\n\f\x0B]+', ' ', 'g'), chr(1), chr(10) || chr(10)))) AS digest FROM documents""")
+@query(rf"""SELECT doc_id, md5({stripped(f"replace(regexp_replace(regexp_replace(text, '{chr(92)}n[{T.WHITE}]*{chr(92)}n', chr(1), 'g'), '[{T.WHITE}]+', ' ', 'g'), chr(1), chr(10) || chr(10))")}) AS digest FROM documents""")
 def normalise_whitespace(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(T.collapse_whitespace(F.col("text"))).alias("digest"))
 
@@ -400,13 +425,13 @@ def random_documents(spark, d):
     return sampling.first_by_hash(table(spark, d, "documents"), "doc_id", "draw", 10)
 
 
-@query("""WITH c AS (SELECT DISTINCT p_brand AS category FROM part), dr AS (SELECT range AS draw, 2 + ('0x' || substr(md5('n-' || range), 1, 8))::BIGINT % 4 AS n FROM range(1000)),
+@query("""WITH c AS (SELECT DISTINCT p_brand AS category FROM part), dr AS (SELECT range AS draw, 2 + ('0x' || substr(md5('n-' || range), 1, 8))::BIGINT % 4 AS n FROM range(10000)),
 h AS (SELECT draw, n, category, row_number() OVER (PARTITION BY draw ORDER BY md5('cat-' || draw || '-' || category), category) AS r FROM dr, c)
 SELECT draw, n AS n_categories, category FROM h WHERE r <= n""")
 def category_draw(spark, d):
     """Two to five categories per draw, without replacement."""
     n = F.conv(F.substring(sampling.draw(F.lit("n"), F.col("draw")), 1, 8), 16, 10).cast("long") % 4 + 2
-    draws = spark.range(1000).select(F.col("id").alias("draw"))
+    draws = spark.range(10_000).select(F.col("id").alias("draw"))
     picked = sampling.pick_per_draw(draws, table(spark, d, "part").select(F.col("p_brand").alias("category")), 5, "draw", "category", "cat")
     return picked.withColumn("n_categories", n).where(F.col("place") < F.col("n_categories")).select("draw", "n_categories", "category")
 
@@ -441,10 +466,10 @@ def row_positions(spark, d):
     return positions(table(spark, d, "events").select("event_id"), "event_id", "pos").select(F.col("pos").cast("long").alias("pos"), "event_id")
 
 
-@query("SELECT coalesce(x.k, y.k) AS k, x.n AS n_custs, y.n AS n_supps, x.n + y.n AS both FROM (SELECT c_nationkey AS k, count(*) AS n FROM customer WHERE c_custkey % 3 = 0 GROUP BY 1) x FULL JOIN (SELECT s_nationkey AS k, count(*) AS n FROM supplier GROUP BY 1) y ON x.k = y.k")
+@query("SELECT coalesce(x.k, y.k) AS k, x.n AS n_custs, y.n AS n_supps, x.n + y.n AS both FROM (SELECT c_nationkey AS k, count(*) AS n FROM customer GROUP BY 1) x FULL JOIN (SELECT s_nationkey AS k, count(*) AS n FROM supplier GROUP BY 1) y ON x.k = y.k")
 def aligned_sum(spark, d):
     """Label-aligned addition: missing on either side stays missing."""
-    c = table(spark, d, "customer").where("c_custkey % 3 = 0").groupBy(F.col("c_nationkey").alias("k")).agg(F.count(F.lit(1)).alias("n_custs"))
+    c = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.count(F.lit(1)).alias("n_custs"))
     s = table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("k")).agg(F.count(F.lit(1)).alias("n_supps"))
     return c.join(s, "k", "full_outer").withColumn("both", F.col("n_custs") + F.col("n_supps"))
 
@@ -466,9 +491,10 @@ def embedding_round_trip(spark, d):
     return e.select("id", F.size("embedding").alias("dims"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double")), 5).alias("total"))
 
 
-@query("SELECT doc_id, text IS NOT NULL AND trim(text) <> '' AS valid, coalesce(nullif(lang, ''), source, '') AS origin, 'Title: ' || source || chr(10) || 'Passage: ' || text AS prompt FROM documents".replace("'Title: ' || source || chr(10) || 'Passage: ' || text", "md5(source || chr(10) || text)"))
+@query("SELECT doc_id, text IS NOT NULL AND trim(text) <> '' AS valid, coalesce(nullif(lang, ''), source, '') AS origin, md5('Title: ' || source || chr(10) || 'Passage: ' || text) AS prompt FROM documents")
 def prompt_format(spark, d):
-    return table(spark, d, "documents").select("doc_id", (F.col("text").isNotNull() & (F.trim("text") != "")).alias("valid"), F.coalesce(F.expr("nullif(lang, '')"), "source", F.lit("")).alias("origin"), F.md5(F.concat_ws("\n", "source", "text")).alias("prompt"))
+    prompt = F.concat(F.lit("Title: "), F.col("source"), F.lit("\nPassage: "), F.col("text"))
+    return table(spark, d, "documents").select("doc_id", (F.col("text").isNotNull() & (F.trim("text") != "")).alias("valid"), F.coalesce(F.expr("nullif(lang, '')"), "source", F.lit("")).alias("origin"), F.md5(prompt).alias("prompt"))
 
 
 @query("""SELECT doc_id, trim(coalesce(text, '')) <> '' AND trim(coalesce(source, '')) <> '' AND trim(coalesce(lang, '')) <> ''

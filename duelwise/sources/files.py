@@ -83,10 +83,12 @@ def read_corpus(df: DataFrame, columns: dict[str, str], limit: int | None = None
 
 def read_paired_dump(spark: SparkSession, path: str, keep: str = "_doc") -> DataFrame:
     """Lines in pairs: an action header, then the document; documents under another type are skipped."""
-    lines = spark.read.option("wholetext", False).text(path).withColumn("_at", F.monotonically_increasing_id())
-    # Headers name their document's file and precede it; within a file's partition the previous line is the header.
-    before = F.lag("value").over(Window.partitionBy(F.shiftright("_at", 33)).orderBy("_at"))
-    rows = lines.withColumn("header", before)
+    lines = spark.read.text(path).select("value", F.input_file_name().alias("_file"), F.expr("input_file_block_start()").alias("_start"), F.monotonically_increasing_id().alias("_at"))
+    # The line before is the header. A file may be read in several blocks: the last line of each goes before the next.
+    before = F.lag("value").over(Window.partitionBy("_file", "_start").orderBy("_at"))
+    last = lines.groupBy("_file", "_start").agg(F.max_by("value", "_at").alias("_last"))
+    last = last.select("_file", "_start", F.lag("_last").over(Window.partitionBy("_file").orderBy("_start")).alias("_before"))
+    rows = lines.withColumn("header", before).join(last, ["_file", "_start"]).withColumn("header", F.coalesce("header", "_before"))
     kind = F.get_json_object("header", "$.index._type")
     return rows.where(kind == keep).select(F.from_json("value", "title string, page_id string, source_text string").alias("d")).select("d.*")
 

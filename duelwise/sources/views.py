@@ -36,7 +36,7 @@ def votes_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         "unix_micros(cast(ts AS timestamp)) / 1000000D AS tstamp", "user_id AS ip",
         "CASE WHEN event_id % 19 = 0 THEN 'old-m' ELSE 'm' END || user_id % 8 AS hidden_a", "'m' || ((user_id % 8 + 1 + event_id % 7) % 8) AS hidden_b",
     ).selectExpr(
-        "*", "CASE WHEN event_id % 5 <> 0 THEN '' WHEN event_id % 11 = 0 THEN '' WHEN event_id % 13 = 0 THEN 'other' WHEN event_id % 17 = 0 THEN '### Model A: ' || hidden_a ELSE hidden_a END AS public_a",
+        "* EXCEPT (hidden_a)", "CASE WHEN event_id % 35 = 0 THEN ' ' ELSE hidden_a END AS hidden_a", "CASE WHEN event_id % 5 <> 0 THEN '' WHEN event_id % 11 = 0 THEN '' WHEN event_id % 13 = 0 THEN 'other' WHEN event_id % 17 = 0 THEN '### Model A: ' || hidden_a ELSE hidden_a END AS public_a",
         "CASE WHEN event_id % 5 <> 0 THEN '' ELSE hidden_b END AS public_b",
     )
 
@@ -48,6 +48,6 @@ VOTES_SQL = """raw AS (
     CASE WHEN event_id % 19 = 0 THEN 'old-m' ELSE 'm' END || (user_id % 8) AS hidden_a, 'm' || ((user_id % 8 + 1 + event_id % 7) % 8) AS hidden_b
   FROM events),
 votes AS (
-  SELECT *, CASE WHEN event_id % 5 <> 0 THEN '' WHEN event_id % 11 = 0 THEN '' WHEN event_id % 13 = 0 THEN 'other' WHEN event_id % 17 = 0 THEN '### Model A: ' || hidden_a ELSE hidden_a END AS public_a,
+  SELECT * REPLACE (CASE WHEN event_id % 35 = 0 THEN ' ' ELSE hidden_a END AS hidden_a), CASE WHEN event_id % 5 <> 0 THEN '' WHEN event_id % 11 = 0 THEN '' WHEN event_id % 13 = 0 THEN 'other' WHEN event_id % 17 = 0 THEN '### Model A: ' || hidden_a ELSE hidden_a END AS public_a,
     CASE WHEN event_id % 5 <> 0 THEN '' ELSE hidden_b END AS public_b
   FROM raw)"""

@@ -117,3 +117,33 @@ def test_live_sessions(spark, tmp_path):
     q = live.sessions(stream, "user", "prompt").writeStream.format("memory").queryName("live_sessions").outputMode("complete").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     assert q.awaitTermination(120)
     assert sorted((r["user"], r["history"]) for r in spark.table("live_sessions").collect()) == [("u", ["a", "b"]), ("u", ["c"]), ("w", ["d"])]
+
+
+def test_named_votes_without_hidden_names(spark):
+    rows = [(1, "", "", "x", "y"), (2, " ", None, "Model A", "Model B"), (3, "h", "i", "x", "y"), (4, "x", "y", "### Model A: x", "y"), (5, "h", "i", "", ""), (6, "h", "i", "x", "")]
+    v = spark.createDataFrame([(k, "leftvote", "STS", "a", float(k), *r) for k, *r in rows], "event_id long, type string, task_type string, ip string, tstamp double, hidden_a string, hidden_b string, public_a string, public_b string")
+    got = {r["event_id"]: (r["status"], r["anony"], r["model_a"], r["model_b"]) for r in clean.with_status(v, "sts").collect()}
+    assert got[1] == ("ok", False, "x", "y") and got[2] == ("ok", True, "Model A", "Model B") and got[3][0] == "mismatch"
+    assert got[4] == ("ok", False, "x", "y") and got[5] == ("ok", True, "h", "i") and got[6][0] == "invalid"
+
+
+def test_paired_dump_across_splits(spark, tmp_path):
+    import json
+
+    lines = []
+    for k in range(200):
+        lines += [json.dumps({"index": {"_type": "_doc" if k % 10 else "page"}}), json.dumps({"title": f"t{k}", "page_id": str(k), "source_text": "x" * (k % 37)})]
+    (tmp_path / "dump.json").write_text("\n".join(lines) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        assert sorted(int(r["page_id"]) for r in files.read_paired_dump(spark, str(tmp_path)).collect()) == [k for k in range(200) if k % 10]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_white_space_of_any_kind(spark):
+    d = spark.createDataFrame([("\n \n lead\u00a0 x\n\u2003\n end \u3000",)], "t string")
+    assert d.select(T.collapse_whitespace(F.col("t"))).first()[0] == "lead x\n\n end"
+    d = spark.createDataFrame([("one two\n\u00a0 \n References \nthree",)], "t string")
+    assert d.select(T.backward_chunks(F.col("t"), 60, ["References"])).first()[0] == ["one two\nthree"]
