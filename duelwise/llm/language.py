@@ -20,6 +20,8 @@ from .common import _LOWER, Scratch, bound_batches, table, text_chunks
 
 #: Training bounds: texts per language, texts in all (each language has its share), landmarks; and the ridge.
 TEXTS, SAMPLE, LANDMARKS, RIDGE = 500, 100_000, 256, 1e-2
+#: Tables of up to so many labels are sent to every task.
+BROADCAST_LABELS = 50_000
 SPECTRUM, DIM, ROWS = (1, 2, 3), 1 << 16, 128
 UNKNOWN = "und"
 
@@ -63,14 +65,14 @@ class Model:
 def sample(train: DataFrame, text: str = "text", label: str = "lang") -> DataFrame:
     """(t, y, place): about as many rows of each label as its share of the bounds is, chosen by a hash of the row."""
     rows = train.where(F.col(text).isNotNull() & F.col(label).isNotNull()).select(F.col(text).alias("t"), F.col(label).cast("string").alias("y"))
-    counts = rows.groupBy("y").agg(F.count(F.lit(1)).alias("n"))
-    each = max(1, min(TEXTS, SAMPLE // max(1, counts.count())))
-    share = counts.select(F.col("y").alias("_y"), (F.lit(each) / F.col("n")).alias("share"))
     place = F.pmod(F.xxhash64("t", "y"), F.lit(1 << 40)).cast("double") / float(1 << 40)
+    counts = rows.groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("least"))
+    labels = max(1, counts.count())
+    share = counts.select(F.col("y").alias("_y"), (F.lit(max(1, min(TEXTS, SAMPLE // labels))) / F.col("n")).alias("share"), "least")
+    share = F.broadcast(share) if labels <= BROADCAST_LABELS else share
     # The least place of a label is always in, so that no label is without a text.
-    picked = rows.withColumn("place", place).join(share, F.col("y") == F.col("_y"))
-    least = rows.groupBy("y").agg(F.min(place).alias("least")).withColumnRenamed("y", "_z")
-    return picked.join(least, F.col("y") == F.col("_z")).where("place < share OR place = least").select("t", "y", "place").distinct()
+    picked = rows.withColumn("place", place).join(share, F.col("y") == F.col("_y")).where("place < share OR place = least")
+    return picked.select("t", "y", "place").distinct()
 
 
 def fit(train: DataFrame, text: str = "text", label: str = "lang", scratch: Scratch | None = None) -> Model | None:

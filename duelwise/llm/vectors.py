@@ -135,13 +135,14 @@ class CollisionIndex:
     def query(self, q: np.ndarray, own: np.ndarray, top: int, bound: float = np.inf) -> tuple[np.ndarray, np.ndarray]:
         """Places and distances of verified vectors, at least the ``top`` nearest within ``bound`` as far as found."""
         n, m = len(self.x), len(self.order)
-        at, radius = (q @ self.a)[:, None], self.start if bound == np.inf else max(bound / GROWTH**2, 1e-9)
+        at, radius = q @ self.a, self.start if bound == np.inf else max(bound / GROWTH**2, 1e-9)
         count, done = np.zeros(n, np.int32), own.copy()
         lo = hi = np.full(m, -1)
         places, dists, near = [], [], np.full(top, bound)
         while True:
             half = WINDOW * radius / 2
-            a, b = np.count_nonzero(self.values < at - half, axis=1), np.count_nonzero(self.values <= at + half, axis=1)
+            a = np.array([v.searchsorted(c) for v, c in zip(self.values, at - half, strict=True)])
+            b = np.array([v.searchsorted(c, "right") for v, c in zip(self.values, at + half, strict=True)])
             if lo[0] < 0:
                 fresh = [self.order[j, s:e] for j, s, e in zip(range(m), a.tolist(), b.tolist(), strict=True)]
             else:
