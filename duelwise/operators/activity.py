@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ZONE = "America/Los_Angeles"
@@ -13,6 +13,31 @@ def daily_counts(events: DataFrame, ts: str = "ts") -> DataFrame:
     return events.groupBy(day.alias("day")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def is_anonymous_vote() -> Column:
+    return F.col("type").isin("leftvote", "rightvote", "tievote", "bothbad_vote") & (F.element_at("models", 1) == "")
+
+
+def anonymous_votes(activity: DataFrame) -> DataFrame:
+    """Votes of the activity log (type, models) whose first model was hidden."""
+    return activity.where(is_anonymous_vote())
+
+
+def daily_kinds(activity: DataFrame, ts: str = "ts") -> DataFrame:
+    """day, chats, anonymous votes: both series from one pass; a day with neither is left out."""
+    d = activity.groupBy(F.to_date(F.from_utc_timestamp(ts, ZONE)).alias("day")).agg(F.count_if(F.col("type") == "chat").alias("n_chats"), F.count_if(is_anonymous_vote()).alias("n_votes"))
+    return d.where("n_chats > 0 OR n_votes > 0")
+
+
+def resumed(rows: DataFrame, done: int, position: str = "pos") -> DataFrame:
+    """Rows after the last position that is done."""
+    return rows.where(F.col(position) > done)
+
+
+def progress(rows: DataFrame, *by: str, size: str = "text") -> DataFrame:
+    """Rows and characters so far, in all or by key."""
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum(F.length(size)), F.lit(0)).cast("long").alias("n_chars"))
+
+
 def trailing(events: DataFrame, seconds: float, t: str = "tstamp") -> DataFrame:
     """Rows later than so many seconds before the last row's time."""
     last = events.agg(F.max(t).alias("_last"))

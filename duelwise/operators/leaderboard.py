@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.display import CONSOLE
+
 
 def leaderboard(ratings: DataFrame, full: DataFrame, meta: DataFrame, key: str = "model") -> DataFrame:
     """One row per rated model; unknown metadata is N/A, a model without full rating has 0."""
@@ -21,6 +23,27 @@ def statistics(rated: DataFrame, samples: DataFrame, counts: DataFrame, most: in
     return d.withColumn("num_battles", F.coalesce("num_battles", F.lit(0).cast("long"))).orderBy(F.desc("rating"), key).limit(most)
 
 
+def with_averages(board: DataFrame, averages: DataFrame, key: str = "model", by_position: bool = False, order: str = "rating") -> DataFrame:
+    """Adds benchmark averages by key; ``by_position`` gives the best row the first one of ``averages`` (in order of its
+    column ``place``, from 0) and so on, whatever their keys. Models are few rows."""
+    if not by_position:
+        return board.join(averages, key, "left")
+    place = F.row_number().over(Window.orderBy(F.desc(order), key)) - 1
+    return board.withColumn("place", place).join(averages.drop(key), "place", "left").drop("place")
+
+
+def mean_or_zero(rows: DataFrame, keys: DataFrame, value: str, key: str) -> DataFrame:
+    """key, average: one row per listed key, 0 for one without values."""
+    found = rows.groupBy(key).agg(F.avg(value).alias("average"))
+    return keys.join(found, key, "left").select(key, F.coalesce("average", F.lit(0.0)).alias("average"))
+
+
+def console_lines(df: DataFrame, value: str = "rating", key: str = "model") -> DataFrame:
+    """rank and one line of text per model, the best first; halves are rounded to even."""
+    rank = F.row_number().over(Window.orderBy(F.desc(value), key))
+    return df.select(rank.alias("rank"), F.format_string(CONSOLE, rank, F.col(key), F.bround(value, 0).cast("long")).alias("line"))
+
+
 def interval_strings(df: DataFrame) -> DataFrame:
     """'+u/-l' with halves rounded to even, and error bars."""
     up, down = F.bround(F.col("rating_q975") - F.col("rating"), 0), F.bround(F.col("rating") - F.col("rating_q025"), 0)

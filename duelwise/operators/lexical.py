@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 K1, B = 1.5, 0.75
@@ -30,6 +30,12 @@ def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     return d.groupBy("term", key, "dl").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def counted(docs: DataFrame, key: str, text: str, title: str | None, stop: tuple[str, ...], stem: Callable[[Column], Column] | None) -> DataFrame:
+    """key, dl, t: the words of each document and their number."""
+    whole = F.concat_ws(" ", title, text) if title else F.col(text)
+    return docs.select(F.col(key), tokens(whole, stop, stem).alias("t")).select(key, F.size("t").alias("dl"), "t")
+
+
 def document_frequencies(posts: DataFrame, docs: DataFrame) -> DataFrame:
     """term, df, idf."""
     n = docs.agg(F.count(F.lit(1)).alias("docs"))
@@ -46,10 +52,13 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, key: str = "doc_id", text:
     asked = queries.select(F.col(qkey), F.explode(tokens(F.col(text), stop, stem)).alias("term"))
     terms = asked.select("term").distinct()
     terms = F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms
-    whole = F.concat_ws(" ", title, text) if title else F.col(text)
-    d = docs.select(F.col(key), tokens(whole, stop, stem).alias("t")).select(key, F.size("t").alias("dl"), "t")
+    d = counted(docs, key, text, title, stop, stem)
     shape = d.agg(F.count(F.lit(1)).alias("docs"), F.avg("dl").alias("avgdl"))
     posts = d.select(key, "dl", F.explode("t").alias("term")).join(terms, "term", "left_semi").groupBy("term", key, "dl").agg(F.count(F.lit(1)).alias("tf"))
+    return _scored(asked, posts, shape, k, key, qkey, k1, b)
+
+
+def _scored(asked: DataFrame, posts: DataFrame, shape: DataFrame, k: int, key: str, qkey: str, k1: float, b: float) -> DataFrame:
     df = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     part = F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -57,3 +66,21 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, key: str = "doc_id", text:
     total = asked.join(scored, "term").groupBy(qkey, key).agg(F.round(F.sum("s"), 6).alias("score"))
     rank = F.row_number().over(Window.partitionBy(qkey).orderBy(F.desc("score"), key))
     return total.withColumn("rank", rank).where(F.col("rank") <= k).select(qkey, "rank", key, "score")
+
+
+def save_postings(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", title: str | None = None, stop: tuple[str, ...] = (), stem: Callable[[Column], Column] | None = None) -> None:
+    """Writes postings, in order of the term within each file so that a read for few terms skips row groups, and the
+    collection's shape."""
+    d = counted(docs, key, text, title, stop, stem)
+    posts = d.select(key, "dl", F.explode("t").alias("term")).groupBy("term", key, "dl").agg(F.count(F.lit(1)).alias("tf"))
+    posts.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+    d.agg(F.count(F.lit(1)).alias("docs"), F.avg("dl").alias("avgdl")).coalesce(1).write.mode("overwrite").parquet(f"{path}/shape")
+
+
+def search_postings(spark: SparkSession, path: str, queries: DataFrame, k: int, key: str = "doc_id", text: str = "text", qkey: str = "item_id", k1: float = K1, b: float = B, stop: tuple[str, ...] = (), stem: Callable[[Column], Column] | None = None) -> DataFrame:
+    """What ``bm25`` gives, from saved postings."""
+    asked = queries.select(F.col(qkey), F.explode(tokens(F.col(text), stop, stem)).alias("term"))
+    terms = asked.select("term").distinct()
+    terms = F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms
+    posts = spark.read.parquet(f"{path}/postings").join(terms, "term", "left_semi")
+    return _scored(asked, posts, spark.read.parquet(f"{path}/shape"), k, key, qkey, k1, b)

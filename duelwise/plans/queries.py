@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import display
 from ..functions import text as T
 from ..functions import wikitext
-from ..operators import activity, agreement, clean, leaderboard, lexical, matrix, ratings, requests, retrieval, sampling
+from ..operators import activity, agreement, clean, dispatch, events, leaderboard, lexical, matrix, ratings, requests, retrieval, sampling
 from ..operators.ranks import positions
 from ..session import table
-from ..sources import files
+from ..sources import corpora, files
 from ..sources.views import BATTLES_SQL, VOTES_SQL, battles, votes_raw
 from ..streaming import live
 
@@ -592,3 +593,142 @@ def session_histories(spark, d):
     """What each user did, in order, until a pause of twelve hours."""
     found = live.sessions(table(spark, d, "events").select("user_id", "ts", "event_id"), "user_id", "event_id", gap="12 hours")
     return found.select("user_id", F.unix_micros(F.col("started").cast("timestamp")).alias("started"), F.array_join("history", "|").alias("history"))
+
+
+ACTIVITY_SQL = """act AS (SELECT event_id, ts, CASE event_type WHEN 'click' THEN 'leftvote' WHEN 'view' THEN 'chat' WHEN 'purchase' THEN 'tievote' WHEN 'signup' THEN 'bothbad_vote' ELSE 'share' END AS type,
+  CASE WHEN event_id % 3 = 0 THEN 'm1' ELSE '' END AS m FROM events)"""
+
+
+def activity_log(spark, d):
+    return table(spark, d, "events").selectExpr(
+        "event_id", "ts", "CASE event_type WHEN 'click' THEN 'leftvote' WHEN 'view' THEN 'chat' WHEN 'purchase' THEN 'tievote' WHEN 'signup' THEN 'bothbad_vote' ELSE 'share' END AS type",
+        "array(CASE WHEN event_id % 3 = 0 THEN 'm1' ELSE '' END, '') AS models",
+    )
+
+
+@query(f"WITH {ACTIVITY_SQL} SELECT event_id, type FROM act WHERE type IN ('leftvote', 'rightvote', 'tievote', 'bothbad_vote') AND m = ''")
+def anonymous_vote_events(spark, d):
+    return activity.anonymous_votes(activity_log(spark, d)).select("event_id", "type")
+
+
+@query(f"""WITH {ACTIVITY_SQL}, k AS (SELECT cast(timezone('America/Los_Angeles', timezone('UTC', ts)) AS DATE) AS day, type = 'chat' AS c, type NOT IN ('chat', 'share') AND m = '' AS v FROM act)
+SELECT day, count_if(c) AS n_chats, count_if(v) AS n_votes FROM k WHERE c OR v GROUP BY day""")
+def daily_chats_and_votes(spark, d):
+    return activity.daily_kinds(activity_log(spark, d))
+
+
+@query("""WITH l AS (SELECT event_id, ts, timezone('America/Los_Angeles', timezone('UTC', ts)) AS l FROM events)
+SELECT event_id, strftime(l, '%Y-%m-%d %H:%M:%S ') || CASE WHEN epoch(ts) - epoch(l) = 28800 THEN 'PST' ELSE 'PDT' END AS stamp, strftime(l, '%Y%m%d') AS cutoff, strftime(ts, '%Y-%m-%d') || '-conv.json' AS log FROM l""")
+def local_stamps(spark, d):
+    ts = F.col("ts").cast("timestamp")
+    return table(spark, d, "events").select("event_id", display.local_stamp(ts).alias("stamp"), display.cutoff_date(ts).alias("cutoff"), display.log_name(ts).alias("log"))
+
+
+@query("""WITH t AS (SELECT conv_id, turn, string_split(role || '<|SEP|>' || text, '<|SEP|>') AS p, text, role FROM conversations)
+SELECT conv_id, turn, len(p)::INT AS n_parts, md5(array_to_string(p, '<|SEP|>')) AS again, string_split(text, ' ')[1] AS first, contains(text, 'the ') OR contains(text, 'qu') AS has_any,
+  replace('### Model A: ' || role, '### Model A: ', '') AS label, '<a target="_blank" href="' || 'x/' || role || '" style="color: var(--link-text-color); text-decoration: underline;text-decoration-style: dotted;">' || role || '</a>' AS link FROM t""")
+def display_texts(spark, d):
+    c = table(spark, d, "conversations").withColumn("p", display.parts(F.concat("role", F.lit(display.SEPARATOR), "text")))
+    return c.select(
+        "conv_id", "turn", F.size("p").alias("n_parts"), F.md5(display.joined(F.col("p"))).alias("again"), display.first_token(F.col("text")).alias("first"),
+        display.contains_any(F.col("text"), ["the ", "qu"]).alias("has_any"), display.unlabelled(F.concat(F.lit("### Model A: "), "role"), 0).alias("label"),
+        display.hyperlink(F.col("role"), F.concat(F.lit("x/"), "role")).alias("link"),
+    )
+
+
+@query("""WITH n AS (SELECT row_number() OVER (ORDER BY n_name) - 1 AS i, '[' || n_name || '](x/' || n_nationkey || '): ' || n_name || ' models' AS c FROM nation)
+SELECT '| | | |' || chr(10) || '| ---- | ---- | ---- |' || chr(10) || string_agg(CASE WHEN i % 3 = 0 THEN '|' ELSE '' END || ' ' || c || ' |' || CASE WHEN i % 3 = 2 THEN chr(10) ELSE '' END, '' ORDER BY i) AS grid FROM n""")
+def model_grid(spark, d):
+    n = table(spark, d, "nation").select(F.col("n_name").alias("model"), F.expr("'x/' || n_nationkey").alias("link"), F.expr("n_name || ' models'").alias("description"))
+    return display.description_grid(n)
+
+
+@query("""WITH n AS (SELECT CASE WHEN n_nationkey = 3 THEN 'BM25' ELSE n_name END AS model FROM nation)
+SELECT 'retrieval' AS task, model FROM n UNION ALL SELECT 'clustering', model FROM n WHERE model <> 'BM25' UNION ALL SELECT 'sts', model FROM n WHERE model <> 'BM25'
+UNION ALL SELECT 'stackexchange', model FROM n WHERE model IN ('BM25', 'FRANCE', 'NATION_4')""")
+def model_task_lists(spark, d):
+    n = table(spark, d, "nation").selectExpr("CASE WHEN n_nationkey = 3 THEN 'BM25' ELSE n_name END AS model")
+    return dispatch.model_lists(n, {"stackexchange": ["BM25", "FRANCE", "NATION_4", "unknown"]})
+
+
+AVERAGES = "av AS (SELECT 'm' || s_suppkey AS model, s_acctbal AS average, row_number() OVER (ORDER BY s_suppkey) - 1 AS place FROM supplier WHERE s_suppkey < 8)"
+
+
+@query(ELO_SQL + f", {AVERAGES}, r AS (SELECT *, row_number() OVER (ORDER BY rating DESC, model) - 1 AS place FROM elo) SELECT r.model, r.rating, k.average AS by_key, p.average AS by_place FROM r LEFT JOIN av k ON k.model = r.model LEFT JOIN av p ON p.place = r.place")
+def leaderboard_averages(spark, d):
+    """Benchmark averages by the model's name, and by rank as the published tables have them."""
+    rated = online_elo(spark, d).select("model", "rating")
+    s = table(spark, d, "supplier").where("s_suppkey < 8").select(F.expr("concat('m', s_suppkey)").alias("model"), "s_acctbal", "s_suppkey")
+    place = F.row_number().over(Window.orderBy("s_suppkey")) - 1
+    out = leaderboard.with_averages(rated, s.select("model", F.col("s_acctbal").alias("by_key")))
+    return leaderboard.with_averages(out, s.select("model", F.col("s_acctbal").alias("by_place"), place.alias("place")), by_position=True)
+
+
+@query(ELO_SQL + ", r AS (SELECT *, row_number() OVER (ORDER BY rating DESC, model)::INT AS rank FROM elo) SELECT rank, lpad(rank::VARCHAR, 2, ' ') || ', ' || rpad(model, 25, ' ') || ', ' || round_even(rating, 0)::BIGINT AS line FROM r")
+def console_listing(spark, d):
+    return leaderboard.console_lines(online_elo(spark, d))
+
+
+@query("SELECT n_nationkey, round(coalesce(avg(s_acctbal), 0), 6) AS average FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1")
+def average_or_zero(spark, d):
+    s = table(spark, d, "supplier").withColumnRenamed("s_nationkey", "n_nationkey")
+    return leaderboard.mean_or_zero(s, table(spark, d, "nation").select("n_nationkey"), "s_acctbal", "n_nationkey").withColumn("average", F.round("average", 6))
+
+
+@query("SELECT pos, event_id FROM (SELECT row_number() OVER (ORDER BY event_id) - 1 AS pos, event_id FROM events) WHERE pos > 400")
+def resumed_rows(spark, d):
+    return activity.resumed(row_positions(spark, d), 400)
+
+
+@query("SELECT source, count(*) AS n_rows, coalesce(sum(length(text)), 0)::BIGINT AS n_chars FROM documents GROUP BY source")
+def encoded_progress(spark, d):
+    return activity.progress(table(spark, d, "documents"), "source")
+
+
+@query(f"""WITH {BATTLES_SQL} SELECT battle_id, side, model, 'retrieval' AS task_type, 'chat' AS type, round(tstamp::DECIMAL(20, 6), 4)::DOUBLE AS start, round((tstamp + 1.5)::DECIMAL(20, 6), 4)::DOUBLE AS finish, round((tstamp + 1.5)::DECIMAL(20, 6), 4)::DOUBLE AS tstamp, judge AS ip
+FROM (SELECT *, 0 AS side, model_a AS model FROM battles UNION ALL SELECT *, 1, model_b FROM battles)""")
+def chat_event_rows(spark, d):
+    b = battles(spark, d).selectExpr("battle_id", "model_a", "model_b", "tstamp AS started", "tstamp + 1.5D AS finished", "judge AS ip")
+    return events.chat_events(b, "retrieval", ("battle_id",))
+
+
+@query(f"""WITH {VOTES_SQL} SELECT event_id AS "0_event_id", event_id AS "1_event_id", type, 'sts' AS task_type, round(tstamp::DECIMAL(20, 6), 4)::DOUBLE AS tstamp, hidden_a AS "0_model_name", hidden_b AS "1_model_name", ip,
+  'sts_' || CASE WHEN coalesce(public_a, '') = '' AND coalesce(public_b, '') = '' THEN 'battle' ELSE 'side_by_side' END AS message_type, public_a || '|' || public_b AS selectors FROM votes""")
+def vote_event_rows(spark, d):
+    v = votes_raw(spark, d).withColumnsRenamed({"public_a": "selector_a", "public_b": "selector_b", "hidden_a": "model_a", "hidden_b": "model_b"})
+    return events.vote_events(v, "sts", ("event_id",)).withColumn("selectors", F.array_join("models", "|")).drop("models")
+
+
+@query(rf"""SELECT doc_id AS id, lang AS categories, source AS title, md5({stripped(f"replace(regexp_replace(regexp_replace(text, '{chr(92)}n[{T.WHITE}]*{chr(92)}n', chr(1), 'g'), '[{T.WHITE}]+', ' ', 'g'), chr(1), chr(10) || chr(10))")}) AS digest FROM documents""")
+def arxiv_projection(spark, d):
+    """Documents taken as papers."""
+    papers = table(spark, d, "documents").selectExpr("doc_id AS id", "source AS title", "text AS abstract", "lang AS categories")
+    return corpora.arxiv(papers).select("id", "categories", "title", F.md5("abstract").alias("digest"))
+
+
+DENSE_SQL = """, w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}')) AS term FROM documents),
+dv AS (SELECT doc_id, ('0x' || substr(md5(term), 1, 8))::BIGINT % 64 AS i, count(*) AS x FROM w GROUP BY ALL),
+dn AS (SELECT doc_id, sqrt(sum(x * x)) AS size FROM dv GROUP BY 1)"""
+
+
+@query("WITH z AS (SELECT 1)" + DENSE_SQL + " SELECT d.doc_id, round(coalesce(sum(x / size * (i + 1)), 0), 6) AS digest FROM documents d LEFT JOIN dv ON dv.doc_id = d.doc_id LEFT JOIN dn ON dn.doc_id = d.doc_id GROUP BY 1")
+def index_build(spark, d):
+    e = dispatch.build_index(table(spark, d, "documents"), dispatch.HashedWords())
+    return e.select("doc_id", F.round(F.aggregate(F.transform("embedding", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x), 6).alias("digest"))
+
+
+@query(BM25_SQL + DENSE_SQL + """, qt AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}')) AS term FROM benchmark),
+qv AS (SELECT item_id, ('0x' || substr(md5(term), 1, 8))::BIGINT % 64 AS i, count(*) AS x FROM qt GROUP BY ALL), qn AS (SELECT item_id, sqrt(sum(x * x)) AS size FROM qv GROUP BY 1),
+lex AS (SELECT item_id, doc_id, round(sum(idf * tf / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))), 6) AS score FROM qt JOIN p USING (term) JOIN df USING (term) JOIN dl USING (doc_id), shape GROUP BY ALL),
+den AS (SELECT item_id, doc_id, round(sum(qv.x * dv.x) / any_value(qn.size * dn.size), 9) AS score FROM qv JOIN dv USING (i) JOIN qn USING (item_id) JOIN dn USING (doc_id) GROUP BY ALL),
+b AS (SELECT item_id, 'BM25' AS model, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS r FROM lex
+  UNION ALL SELECT item_id, 'hashed', doc_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) FROM den)
+SELECT item_id, (CASE model WHEN 'BM25' THEN 0 ELSE 1 END + item_id % 2)::INT % 2 AS side, model, doc_id, md5('Title: ' || coalesce(source, '') || chr(10) || chr(10) || 'Abstract: ' || text) AS passage FROM b JOIN documents USING (doc_id) WHERE r = 1""")
+def retrieval_pairs(spark, d):
+    """The passage that each of two models finds, one by words and one by vectors, for every benchmark item."""
+    models = {m.name: m for m in (dispatch.Model("BM25", "bm25"), dispatch.Model("hashed", "exact", dispatch.HashedWords()))}
+    names = [F.expr(f"if(item_id % 2 = {k}, 'BM25', 'hashed')").alias(f"model_{x}") for k, x in enumerate("ab")]
+    docs = table(spark, d, "documents").select("doc_id", "text", "source")
+    found = dispatch.retrieve_pair(table(spark, d, "benchmark").select("item_id", "text", *names), docs.drop("source"), "stackexchange", models)
+    shown = docs.select("doc_id", dispatch.shown("arxiv", F.col("source"), F.col("text")).alias("p"))
+    return found.join(shown, "doc_id").select("item_id", "side", "model", "doc_id", F.md5("p").alias("passage"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.ratings import BASE, INIT, K, SCALE
 
@@ -40,3 +41,10 @@ def sessions(rows: DataFrame, key: str, value: str, ts: str = "ts", gap: str = "
     """The values of each key's session in time order; works on streams (with a watermark) and tables alike."""
     grouped = rows.groupBy(key, F.session_window(ts, gap).alias("w")).agg(F.sort_array(F.collect_list(F.struct(ts, value))).alias("_v"))
     return grouped.select(key, F.col("w.start").alias("started"), F.transform("_v", lambda s: s[value]).alias("history"))
+
+
+def committed(stream: DataFrame, path: str, checkpoint: str, every: str | None = "5 minutes", by: str = "message_type") -> StreamingQuery:
+    """Appends a stream's rows as JSON lines, one folder per message type, at fixed times; without ``every`` it takes what
+    is there and ends. The checkpoint makes each row appear once, also after a restart."""
+    out = stream.writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).partitionBy(by)
+    return (out.trigger(processingTime=every) if every else out.trigger(availableNow=True)).start()
