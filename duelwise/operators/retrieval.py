@@ -24,13 +24,19 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
+def sound(rows: DataFrame, vector: str) -> DataFrame:
+    """Rows whose vector is there and has no null component."""
+    return rows.where(F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull()))
+
+
 def knn(index: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", not_self: bool = False) -> DataFrame:
     """query_id, rank, key, score: exact inner products, k best per query.
 
     Queries go out in blocks of bounded size; each batch of the index multiplies with a block and keeps k rows per
-    query, so what is shuffled is k rows per query and batch.
+    query, so what is shuffled is k rows per query and batch. Null vectors and those with null components take no part.
     """
     spark = index.sparkSession
+    index, queries = sound(index, vector), sound(queries, vector)
     n = queries.count()
     parts = []
     numbered = queries.select(F.col(key).cast("long").alias("q"), F.col(vector).cast("array<double>").alias("v"))

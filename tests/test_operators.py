@@ -147,3 +147,9 @@ def test_white_space_of_any_kind(spark):
     assert d.select(T.collapse_whitespace(F.col("t"))).first()[0] == "lead x\n\n end"
     d = spark.createDataFrame([("one two\n\u00a0 \n References \nthree",)], "t string")
     assert d.select(T.backward_chunks(F.col("t"), 60, ["References"])).first()[0] == ["one two\nthree"]
+
+
+def test_knn_leaves_out_null_vectors(spark):
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [None, 1.0]), (4, [0.5, 0.0])], "vec_id long, embedding array<double>")
+    got = [(r["query_id"], r["vec_id"]) for r in retrieval.knn(rows, rows, 2).orderBy("query_id", "rank").collect()]
+    assert got == [(1, 1), (1, 4), (4, 1), (4, 4)]
