@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard, language, lines, mixing, packing, suffixes, tokens, urls, vectors
+from . import bestfit, jaccard, language, lines, mixing, packing, suffixes, tokens, urls, vectors
 
 QUERIES = {
     "op1_language_id": language.op1,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_token_shards": tokens.op8,
     "op9_packing": packing.op9,
     "op10_jaccard_join": jaccard.op10,
+    "op13_best_fit": bestfit.op13,
 }
 
 #: The other operators can't be written in SQL, or not at whole-table cost; tests compare them with brute force.
