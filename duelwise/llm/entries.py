@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bestfit, divergence, jaccard, language, lines, mixing, packing, suffixes, tokens, urls, vectors
+from . import bestfit, divergence, jaccard, language, lines, mixing, packing, suffixes, tokens, trie, urls, vectors
 
 QUERIES = {
     "op1_language_id": language.op1,
@@ -16,8 +16,14 @@ QUERIES = {
     "op9_packing": packing.op9,
     "op10_jaccard_join": jaccard.op10,
     "op11_source_divergence": divergence.op11,
+    "op12_prefix_trie": trie.op12,
     "op13_best_fit": bestfit.op13,
 }
 
 #: The other operators can't be written in SQL, or not at whole-table cost; tests compare them with brute force.
-ORACLES = {"op6_source_mix": mixing.SQL, "op7_top_products": vectors.SQL, "op11_source_divergence": divergence.SQL}
+ORACLES = {
+    "op6_source_mix": mixing.SQL,
+    "op7_top_products": vectors.SQL,
+    "op11_source_divergence": divergence.SQL,
+    "op12_prefix_trie": trie.SQL,
+}
