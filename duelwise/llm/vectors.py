@@ -169,7 +169,8 @@ def _first(ids: np.ndarray, scores: np.ndarray, top: int) -> np.ndarray:
 def nearest(vectors: DataFrame, is_query, key: str = "vec_id", vector: str = "embedding", top: int = TOP) -> DataFrame:
     """query_id, rank, vec_id, score: each query's nearest rows by Euclidean distance, nearest first, ties to the smaller id.
 
-    Approximate: recall is measured by tests. Rows without key, and vectors null, empty, zero or with null or
+    Approximate, but each query has ``top`` rows (all candidates, if fewer): what the first block gave stays, other
+    blocks add to it. Recall is measured by tests. Rows without key, and vectors null, empty, zero or with null or
     non-finite components take no part; a query meets vectors of its own dimension and no row of its own id. Repeated
     rows are candidates each, but one query (of different vectors of a query's id the smallest asks). Other columns play
     no part; an empty table gives no rows.
@@ -178,7 +179,8 @@ def nearest(vectors: DataFrame, is_query, key: str = "vec_id", vector: str = "em
     bound_batches(spark)
     scratch = Scratch(spark, "nearest")
     rows = sound(vectors, key, vector, True)
-    blocks = scratch.save(packed(rows, BLOCK), "blocks")
+    # Blocks follow the number of rows, not the layout of the files.
+    blocks = scratch.save(packed(rows.repartition(max(1, -(-rows.count() // BLOCK))), BLOCK), "blocks")
     who = scratch.save(asked(rows, is_query), "asked")
 
     def local(block: int, ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray) -> list:
@@ -192,11 +194,11 @@ def nearest(vectors: DataFrame, is_query, key: str = "vec_id", vector: str = "em
                 column.append(values)
         return [np.concatenate(c) for c in out]
 
-    head = blocks.join(F.broadcast(blocks.groupBy("dim").agg(F.min("block").alias("block"))), ["dim", "block"])
-    first = scratch.save(search(head, query_blocks(who, scratch, "queries"), local), "first")
+    heads = F.broadcast(blocks.groupBy("dim").agg(F.min("block").alias("block")))
+    first = scratch.save(search(blocks.join(heads, ["dim", "block"], "left_semi"), query_blocks(who, scratch, "queries"), local), "first")
     queries = query_blocks(bounded(who, first, F.max, top), scratch, "bounded", 1)
-    found = scratch.save(search(blocks, queries, local), "found")
-    return best(found, [F.col("score"), F.col("vec_id")], top)
+    found = scratch.save(search(blocks.join(heads, ["dim", "block"], "left_anti"), queries, local), "found")
+    return best(first.unionByName(found), [F.col("score"), F.col("vec_id")], top)
 
 
 SCORED = "query_id long, vec_id long, score long"
