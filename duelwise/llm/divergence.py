@@ -21,8 +21,11 @@ from .common import Scratch, arrow_batch, arrow_schema, bound_batches, partition
 LEAST_DOCS, TOP = 10, 10
 #: The unit of shares, and what is added to each count.
 UNIT, PRIOR = 1_000_000_000, 2
-#: Bytes of terms that a task holds before it passes their counts on (80 for a term's entries and its own), and rows of a shard.
-HELD_BYTES, SHARD_ROWS = 32 << 20, 1_000_000
+#: Bytes of counted terms that a task holds before it passes them on (``ENTRY`` and its own for a term).
+HELD_BYTES, ENTRY = 64 << 20, 130
+#: Text of a shard (vocabularies grow slower than text, so there is no need for more than MOST_SHARDS), bytes that DuckDB
+#: may hold there, and rows that it takes in before it adds up those of a term and source.
+SHARD_BYTES, MOST_SHARDS, MEMORY, FRESH = 8 << 20, 20_000, "200MB", 250_000
 #: Copies of a language's groups, so that one language's pairs are made by as many tasks.
 SALTS = 8
 COUNTS = "lang string, source string, term string, n long, df long"
@@ -31,63 +34,77 @@ _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 el
 
 
 def term_counts(docs: DataFrame, held_bytes: int = HELD_BYTES) -> DataFrame:
-    """(lang, source, term, n, df): a task's occurrences and documents of each term; an empty term stands for the group."""
+    """(lang, source, term, n, df): a task's occurrences and documents of each term."""
+
+    def rows(lang: str, source: str, n: Counter, df: Counter) -> Iterator[pa.RecordBatch]:
+        terms, schema = list(n), arrow_schema(COUNTS)
+        for k in range(0, len(terms), 1 << 16):
+            part = terms[k : k + (1 << 16)]
+            try:
+                names = pa.array(part, pa.binary()).cast(pa.string())
+            except pa.ArrowInvalid:  # bytes that are no UTF-8
+                names = pa.array([t.decode(errors="replace") for t in part])
+            m = len(part)
+            yield pa.RecordBatch.from_arrays([pa.repeat(lang, m), pa.repeat(source, m), names, pa.array([n[t] for t in part]), pa.array([df[t] for t in part])], schema=schema)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema, held, size = arrow_schema(COUNTS), {}, 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            for (lang, source), (n, df) in held.items():
-                terms = [b"", *n]
-                for k in range(0, len(terms), 1 << 16):
-                    part = terms[k : k + (1 << 16)]
-                    m = len(part)
-                    yield arrow_batch(schema, [[lang] * m, [source] * m, [t.decode(errors="replace") for t in part], [n.get(t, 0) for t in part], [df.get(t, 0) for t in part]])
-            held.clear()
-
+        held, size = {}, 0
         for batch in batches:
-            for lang, source, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                words = (text or b"").translate(_LETTERS).split()
-                n, df = held.setdefault((lang, source), (Counter(), Counter()))
-                own = set(words)
-                size += sum(80 + len(w) for w in own if w not in n)
+            for lang, source, text in zip(*batch.columns, strict=True):
+                words = (text.as_py() or b"").translate(_LETTERS).split()
+                n, df = held.setdefault((lang.as_py(), source.as_py()), (Counter(), Counter()))
+                own, known = set(words), len(n)
                 n.update(words)
                 df.update(own)
+                if len(n) > known:
+                    size += (len(n) - known) * ENTRY + sum(map(len, own)) * (len(n) - known) // len(own)
                 if size > held_bytes:
-                    yield from flush()
-                    size = 0
-        yield from flush()
+                    for group, counted in held.items():
+                        yield from rows(*group, *counted)
+                    held, size = {}, 0
+        for group, counted in held.items():
+            yield from rows(*group, *counted)
+
+    return docs.select("lang", "source", F.col("text").cast("binary").alias("text")).mapInArrow(count, COUNTS)
 
-    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    rows = docs.select(text("lang").alias("lang"), text("source").alias("source"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(count, COUNTS)
 
+def by_shard(rows: DataFrame, shards: int, script: list[str], result: str, ddl: str, added: str | None = None) -> DataFrame:
+    """Each shard of rows (hashed by lang and term) as DuckDB's table ``t``; what ``result`` selects after ``script``.
 
-def by_shard(rows: DataFrame, shards: int, script: list[str], result: str, ddl: str) -> DataFrame:
-    """Each shard of rows (hashed by lang and term) as DuckDB's table ``t``; what ``result`` selects after ``script``."""
+    ``added`` selects fewer rows of t that mean the same; they replace t whenever it has doubled, so that a term which
+    every task has counted takes no more room than its sources.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import duckdb
 
-        schema, db = arrow_schema(ddl), None
+        schema, db, fresh, held = arrow_schema(ddl), None, 0, 0
         for batch in batches:
-            if batch.num_rows:
-                shard = pa.Table.from_batches([batch])  # noqa: F841  named in the SQL
-                if db is None:
-                    db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
-                    db.execute("CREATE TABLE t AS SELECT * FROM shard")
-                else:
-                    db.execute("INSERT INTO t SELECT * FROM shard")
+            if not batch.num_rows:
+                continue
+            shard = pa.Table.from_batches([batch])  # noqa: F841  named in the SQL
+            if db is None:
+                db = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY})
+                db.execute("CREATE TABLE t AS SELECT * FROM shard LIMIT 0")
+            db.execute("INSERT INTO t SELECT * FROM shard")
+            fresh += batch.num_rows
+            if added and fresh > max(FRESH, held):
+                db.execute(f"CREATE OR REPLACE TABLE t AS {added}")
+                fresh, held = 0, db.execute("SELECT count(*) FROM t").fetchone()[0]
         if db is not None:
             for statement in script:
                 db.execute(statement)
-            for batch in db.sql(result).to_arrow_reader(1 << 16):
-                yield pa.Table.from_batches([batch]).cast(schema).combine_chunks().to_batches()[0] if batch.num_rows else arrow_batch(schema, [[] for _ in schema])
+            for batch in db.sql(result).to_arrow_reader(1 << 14):
+                if batch.num_rows:
+                    yield from pa.Table.from_batches([batch]).cast(schema).to_batches()
             db.close()
 
     return rows.repartition(shards, "lang", "term").mapInArrow(run, ddl)
 
 
+ADDED = "SELECT lang, source, term, sum(n)::BIGINT AS n, sum(df)::BIGINT AS df FROM t GROUP BY ALL"
+
+
 def _kept_sql(least: int) -> str:
     return f"""SELECT lang, term, source, sum(n)::BIGINT AS n, any_value(total) AS total, source = any_value(head) AS head
 FROM t JOIN (SELECT lang, term, sum(n)::BIGINT AS total, min(source) AS head FROM t GROUP BY ALL HAVING sum(df) >= {least}) USING (lang, term) GROUP BY lang, term, source"""
@@ -114,7 +131,7 @@ def _f(p: Column, q: Column) -> Column:
     return F.call_function("div", (p - q) * (p - q), p + q)
 
 
-def divergence(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP, held_bytes: int = HELD_BYTES, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def divergence(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP, held_bytes: int = HELD_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """lang, source, part, item, value, rank: each group's distance from the language's other sources (part ``pair``, all
     of them) and the terms that it has beyond the language's share (part ``term``, the ``top`` first).
 
@@ -125,14 +142,14 @@ def divergence(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP, he
     spark = docs.sparkSession
     bound_batches(spark)
     scratch = Scratch(spark, "divergence")
-    counts = scratch.save(term_counts(docs, held_bytes), "counts")
-    shards = max(partitions(spark), -(-counts.count() // shard_rows))
-    kept = scratch.save(by_shard(counts.where("term <> ''"), shards, [], _kept_sql(least_docs), "lang string, term string, source string, n long, total long, head boolean"), "kept")
+    docs = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")))
+    groups = scratch.save(docs.groupBy("lang", "source").agg(F.sum(F.octet_length("text")).alias("bytes")), "texts")
+    shards = max(partitions(spark), min(MOST_SHARDS, -(-(groups.agg(F.sum("bytes")).first()[0] or 0) // shard_bytes)))
+    kept = by_shard(term_counts(docs, held_bytes), shards, [], _kept_sql(least_docs), "lang string, term string, source string, n long, total long, head boolean", ADDED)
+    kept = scratch.save(kept, "kept")
     langs = kept.groupBy("lang").agg(F.sum("n").alias("lang_size"), F.count_if("head").alias("v"))
     sized = kept.groupBy("lang", "source").agg(F.sum("n").alias("size"), F.count(F.lit(1)).alias("terms"))
-    groups = counts.where("term = ''").select("lang", "source").distinct().join(sized, ["lang", "source"], "left").join(langs, "lang", "left")
-    groups = scratch.save(groups.na.fill(0), "groups")
-    scratch.drop("counts")
+    groups = scratch.save(groups.drop("bytes").join(sized, ["lang", "source"], "left").join(langs, "lang", "left").na.fill(0), "groups")
     parts = by_shard(kept.join(groups, ["lang", "source"]).drop("head", "terms"), shards, SHARES, _parts_sql(top), PARTS)
     parts = scratch.save(parts, "parts")
 

@@ -42,7 +42,7 @@ def some_rows(seed, count):
     return [*rows, *rows[:5], (None, "de", "only"), ("", "en", "bare"), ("solo " * 3000, "xx", "one"), ("w" * 50_000, "en", "s1"), ("123 456", "yy", "n1"), ("123", "yy", "n2")]
 
 
-@pytest.mark.parametrize(("least", "held", "shard"), [(2, divergence.HELD_BYTES, divergence.SHARD_ROWS), (10, 500, 40), (10_000, 10_000, 1000)])
+@pytest.mark.parametrize(("least", "held", "shard"), [(2, divergence.HELD_BYTES, divergence.SHARD_BYTES), (10, 500, 4000), (10_000, 10_000, 100_000)])
 def test_divergence(spark, least, held, shard):
     rows = some_rows(least, 150)
     docs = spark.createDataFrame([(k, *r, "v", "i", "r", "t", "n") for k, r in enumerate(rows)], DOCS).repartition(3)
