@@ -12,7 +12,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import lexical, retrieval
+from . import ann, lexical, retrieval
 
 #: Texts to vectors, one row each.
 Encoder = Callable[[list[str]], np.ndarray]
@@ -100,7 +100,7 @@ def retrieve(queries: DataFrame, passages: DataFrame, corpus: str, model: Model,
     elif model.method in ("exact", "approximate"):
         index = build_index(passages, model.encoder, key, text, title) if index is None else index
         asked = encode(queries, model.encoder, qkey, instruction=model.instructions.get(corpus, ""))
-        search = retrieval.knn if model.method == "exact" else retrieval.knn_approximate
+        search = retrieval.knn if model.method == "exact" else ann.knn_approximate
         found = search(index.withColumnRenamed(key, "vec_id"), asked.withColumnRenamed(qkey, "vec_id"), k).withColumnsRenamed({"query_id": qkey, "vec_id": key})
     else:
         raise ValueError(f"unknown method {model.method}")

@@ -1,18 +1,19 @@
-"""Dense retrieval: exact inner products, clustered approximate search, cosine triangles, projection, clustering."""
+"""Dense retrieval: exact inner products, cosine triangles, principal components."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.ml.clustering import KMeans
+import pyarrow as pa
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Query rows of one matrix product, and bytes of queries that may be broadcast.
+from .vectors import Best, by_length, sound_vectors
+
+#: Query rows of one matrix product, and bytes of queries that are sent to every task at once.
 QUERY_BLOCK, BROADCAST_BYTES = 1024, 64 << 20
 
 
@@ -24,67 +25,54 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def sound(rows: DataFrame, vector: str) -> DataFrame:
-    """Rows whose vector is there and has no null component."""
-    return rows.where(F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull()))
+def query_blocks(queries: DataFrame, key: str, vector: str, most_bytes: int = BROADCAST_BYTES) -> Iterator[list[tuple[np.ndarray, np.ndarray]]]:
+    """The sound queries in blocks of bounded bytes, each as (ids, matrix) by length of vector."""
+    rows = sound_vectors(queries, key, vector)
+    n, widest = rows.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+    blocks = -(-n * 8 * (widest or 0) // most_bytes)
+    for b in range(blocks):
+        block = rows.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).orderBy("id").toArrow().combine_chunks()
+        if block.num_rows:
+            yield [part for batch in block.to_batches() for part in by_length(batch.column(0), batch.column(1))]
+
+
+def ranked(found: DataFrame, k: int, key: str) -> DataFrame:
+    """(query_id, id, score) -> query_id, rank, key, score: k best per query, ties (to nine places) to the smaller id."""
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(key), "score")
+
+
+FOUND = "query_id long, id long, score double"
 
 
 def knn(index: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", not_self: bool = False) -> DataFrame:
     """query_id, rank, key, score: exact inner products, k best per query.
 
-    Queries go out in blocks of bounded size; each batch of the index multiplies with a block and keeps k rows per
-    query, so what is shuffled is k rows per query and batch. Null vectors and those with null components take no part.
+    Queries go out in blocks of bounded bytes; a task multiplies its batches with them and keeps k rows per query, so
+    what is shuffled is k rows per query and task. Null vectors and those with null or non-finite components take no
+    part; a query meets the vectors of its own length.
     """
     spark = index.sparkSession
-    index, queries = sound(index, vector), sound(queries, vector)
-    n = queries.count()
-    parts = []
-    numbered = queries.select(F.col(key).cast("long").alias("q"), F.col(vector).cast("array<double>").alias("v"))
-    blocks = max(1, -(-n // QUERY_BLOCK))
-    for b in range(blocks):
-        rows = (numbered.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b) if blocks > 1 else numbered).orderBy("q").collect()
-        if not rows:
-            continue
-        held = spark.sparkContext.broadcast((np.array([r["q"] for r in rows]), np.array([r["v"] for r in rows])))
-
-        def best(frames: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
-            ids, q = held.value
-            for f in frames:
-                if not len(f):
-                    continue
-                docs, x = f["id"].to_numpy(), np.array(f["v"].tolist(), float)
-                s = q @ x.T
-                if not_self:
-                    s[ids[:, None] == docs[None, :]] = -np.inf
-                m = min(k + 1, s.shape[1])
-                at = np.argpartition(-s, m - 1, axis=1)[:, :m]
-                # every row that ties with the last kept one stays in, so that ties can go by id
-                floor = np.take_along_axis(s, at, 1).min(axis=1, keepdims=True) if m < s.shape[1] else np.full((len(s), 1), -np.inf)
-                r, c = np.nonzero((s >= floor) & (s > -np.inf))
-                yield pd.DataFrame({"query_id": ids[r], "id": docs[c], "score": s[r, c]})
-
-        parts.append(index.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).mapInPandas(best, "query_id long, id long, score double"))
-    if not parts:
-        return spark.createDataFrame([], f"query_id long, rank int, {key} long, score double")
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionAll(p)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(key), "score")
-
-
-def knn_approximate(index: DataFrame, queries: DataFrame, k: int, lists: int = 16, probes: int = 4, key: str = "vec_id", vector: str = "embedding", seed: int = 0) -> DataFrame:
-    """Inverted-file search: rows hang on their nearest centre, a query looks through its ``probes`` best centres."""
-    v = array_to_vector(F.col(vector).cast("array<double>"))
-    rows = index.select(F.col(key).alias("id"), v.alias("features"), F.col(vector).cast("array<double>").alias("v"))
-    model = KMeans(k=lists, seed=seed, maxIter=10).fit(rows.sample(1.0 if index.count() < 100_000 else 100_000 / index.count(), seed))
-    assigned = model.transform(rows).select("id", "v", F.col("prediction").alias("cell"))
-    centres = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in model.clusterCenters()])
-    ranked = F.slice(F.sort_array(F.transform(centres, lambda c, i: F.struct((-dot(F.col("qv"), c)).alias("d"), i.alias("cell")))), 1, probes)
-    asked = queries.select(F.col(key).alias("query_id"), F.col(vector).cast("array<double>").alias("qv")).withColumn("cell", F.explode(F.transform(ranked, lambda s: s["cell"])))
-    scored = assigned.join(asked, "cell").select("query_id", F.col("id").alias(key), dot(F.col("qv"), F.col("v")).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", key, "score")
+    rows, found = sound_vectors(index, key, vector), None
+    for block in query_blocks(queries, key, vector):
+        held = spark.sparkContext.broadcast(block)
+
+        def best(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            kept = [Best(k) for _ in held.value]
+            for batch in batches:
+                for ids, x in by_length(batch.column(0), batch.column(1)):
+                    for (asked, q), mine in zip(held.value, kept, strict=True):
+                        for at in range(0, len(q) if q.shape[1] == x.shape[1] else 0, QUERY_BLOCK):
+                            s = q[at : at + QUERY_BLOCK] @ x.T
+                            if not_self:
+                                s[asked[at : at + QUERY_BLOCK, None] == ids[None, :]] = -np.inf
+                            mine.see_all(at, ids, s)
+            for (asked, _), mine in zip(held.value, kept, strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(asked[mine.row]), pa.array(mine.id), pa.array(mine.score)], names=["query_id", "id", "score"])
+
+        part = rows.mapInArrow(best, FOUND)
+        found = part if found is None else found.unionAll(part)
+    return ranked(spark.createDataFrame([], FOUND) if found is None else found, k, key)
 
 
 def recall(exact: DataFrame, approximate: DataFrame, key: str = "vec_id") -> DataFrame:
@@ -119,8 +107,3 @@ def project(df: DataFrame, dims: int, key: str = "vec_id", vector: str = "embedd
     sign = [float(np.sign(load[np.abs(load[:, j]).argmax(), j]) or 1.0) for j in range(dims)]
     signs = F.array(*[F.lit(s) for s in sign])
     return model.transform(rows).select(key, F.zip_with(vector_to_array("pc"), signs, lambda x, s: x * s).alias("point"))
-
-
-def cluster(df: DataFrame, k: int, seed: int = 0, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    rows = df.select(F.col(key), array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
-    return KMeans(k=k, seed=seed).fit(rows).transform(rows).select(key, F.col("prediction").alias("cluster"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import display
 from ..functions import text as T
 from ..functions import wikitext
-from ..operators import activity, agreement, clean, dispatch, events, leaderboard, lexical, matrix, ratings, requests, retrieval, sampling
+from ..operators import activity, agreement, ann, clean, clustering, dispatch, events, leaderboard, lexical, matrix, projection, ratings, requests, retrieval, sampling
 from ..operators.ranks import positions
 from ..session import table
 from ..sources import corpora, files
@@ -297,10 +297,19 @@ def knn_lookup(spark, d):
     return found.join(e.select("vec_id", "label"), "vec_id").select("query_id", "rank", "vec_id", "score", "label")
 
 
-@query()
+@query("SELECT count(*) AS n_queries, true AS enough FROM embeddings WHERE vec_id % 50 = 0")
 def recall_at_k(spark, d):
+    """Whether the approximate search, with the cells it thinks enough, finds nine tenths of the exact neighbours."""
+    e, q = fiftieth(spark, d)
+    found = retrieval.recall(retrieval.knn(e, q, 10, not_self=True), ann.knn_approximate(e, q, 10, not_self=True))
+    return found.agg(F.count(F.lit(1)).alias("n_queries"), (F.sum("hits") >= 0.9 * F.sum("k")).alias("enough"))
+
+
+@query("WITH z AS (SELECT 1)" + KNN + " SELECT query_id, rank, vec_id, round(s, 6) AS score FROM r WHERE rank <= 10")
+def ann_reordered(spark, d):
+    """Candidates from codes of all cells, in exact order."""
     e, q = fiftieth(spark, d)
-    return retrieval.recall(retrieval.knn(e, q, 10), retrieval.knn_approximate(e, q, 10, lists=16, probes=8))
+    return ann.search(ann.build(e), q, 10, 1 << 20, not_self=True).withColumn("score", F.round("score", 6))
 
 
 @query("""WITH t AS (SELECT a.vec_id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS ab, list_cosine_similarity(a.embedding::DOUBLE[], c.embedding::DOUBLE[]) AS ac, list_cosine_similarity(b.embedding::DOUBLE[], c.embedding::DOUBLE[]) AS bc
@@ -437,15 +446,96 @@ def category_draw(spark, d):
     return picked.withColumn("n_categories", n).where(F.col("place") < F.col("n_categories")).select("draw", "n_categories", "category")
 
 
-@query()
+def main_direction(name: str, mat: str) -> str:
+    """CTEs: the main direction of a matrix by repeated products, its greatest loading positive."""
+    return f"""{name}_it AS (SELECT 0 AS k, list_transform(range(64), lambda i: 1 + i / 100) AS v UNION ALL
+  SELECT k + 1, list_transform(w, lambda x: x / sqrt(list_inner_product(w, w))) FROM (SELECT k, list_transform(m, lambda r: list_inner_product(r, v)) AS w FROM {name}_it, {mat} WHERE k < 3000)),
+{name} AS (SELECT list_transform(v, lambda x: x * CASE WHEN list_max(v) >= -list_min(v) THEN 1 ELSE -1 END) AS v FROM {name}_it WHERE k = 3000)"""
+
+
+PCA_SQL = f"""WITH RECURSIVE u AS (SELECT vec_id, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+c AS (SELECT vec_id, i, x - avg(x) OVER (PARTITION BY i) AS x FROM u), l AS (SELECT vec_id, list(x ORDER BY i) AS x FROM c GROUP BY 1),
+cov AS (SELECT a.i, b.i AS j, sum(a.x * b.x) AS s FROM c a JOIN c b USING (vec_id) GROUP BY ALL), m1 AS (SELECT list(r ORDER BY i) AS m FROM (SELECT i, list(s ORDER BY j) AS r FROM cov GROUP BY i)),
+{main_direction("v1", "m1")},
+g1 AS (SELECT list_inner_product(list_transform(m, lambda r: list_inner_product(r, v)), v) AS g FROM m1, v1),
+m2 AS (SELECT list_transform(m, lambda r, i: list_transform(r, lambda x, j: x - g * v[i] * v[j])) AS m FROM m1, v1, g1),
+{main_direction("v2", "m2")}"""
+
+
+@query(PCA_SQL + " SELECT vec_id, round(list_inner_product(l.x, v1.v), 5) AS x, round(list_inner_product(l.x, v2.v), 5) AS y FROM l, v1, v2")
 def pca_points(spark, d):
     p = retrieval.project(table(spark, d, "embeddings"), 2)
-    return p.select("vec_id", F.round(F.col("point")[0], 6).alias("x"), F.round(F.col("point")[1], 6).alias("y"))
+    return p.select("vec_id", F.round(F.col("point")[0], 5).alias("x"), F.round(F.col("point")[1], 5).alias("y"))
+
+
+#: Requests of 1, 3, 5, .. texts.
+REQUESTS = "SELECT floor(sqrt(vec_id))::BIGINT AS request, vec_id AS place, embedding::DOUBLE[] AS v FROM embeddings"
+
+
+def requests_of(spark, d):
+    return table(spark, d, "embeddings").select(F.floor(F.sqrt("vec_id")).alias("request"), F.col("vec_id").alias("place"), "embedding")
+
+
+@query(f"""WITH r AS ({REQUESTS}), n AS (SELECT request, count(*) AS n FROM r GROUP BY 1),
+s AS (SELECT a.request, sum(list_distance(a.v, b.v) ** 2) AS spread FROM r a JOIN r b ON a.request = b.request AND a.place < b.place GROUP BY 1)
+SELECT request, n, CASE WHEN n = 1 THEN 1 WHEN n < 4 THEN 2 ELSE 3 END AS dims, least(n, 2)::BIGINT AS n_clusters, round(CASE WHEN n = 1 THEN 0 WHEN n < 4 THEN spread END, 5) AS spread FROM n LEFT JOIN s USING (request)""")
+def request_points(spark, d):
+    """Each request seen along its principal components: up to three texts lose nothing of their distances."""
+    p = projection.project_requests(requests_of(spark, d), ncluster=2)
+    n, square = F.count(F.lit(1)), lambda c: F.coalesce(F.sum(F.col(c) * F.col(c)) * F.count(F.lit(1)) - F.sum(c) * F.sum(c), F.lit(0.0))
+    spread = F.round(F.abs(square("x") + square("y")), 5)
+    out = p.groupBy("request").agg(n.alias("n"), (F.lit(1) + F.max(F.col("y").isNotNull().cast("int")) + F.max(F.col("z").isNotNull().cast("int"))).alias("dims"), F.count_distinct("cluster").alias("c"), spread.alias("spread"))
+    return out.select("request", "n", "dims", F.greatest("c", F.lit(1).cast("long")).alias("n_clusters"), F.when(F.col("n") < 4, F.col("spread")).alias("spread"))
 
 
 @query()
+def tsne_points(spark, d):
+    """Requests seen by t-SNE; tests hold their neighbourhoods against the vectors'."""
+    return projection.project_requests(requests_of(spark, d), ndim="2D", dim_method="TSNE", ncluster=3, clustering_method="MiniBatchKMeans")
+
+
+@query()
+def umap_points(spark, d):
+    """Requests seen by UMAP, as above."""
+    return projection.project_requests(requests_of(spark, d), dim_method="UMAP", ncluster=3)
+
+
+CLUSTERS, ROUNDS_OF_MEANS, BATCH = 10, 5, 128
+
+
+def means_sql(minibatch: bool) -> str:
+    """The rounds written out: each has the nearest centres of its rows, and then the centres' new places."""
+    of = f", ('0x' || substr(md5('batch0-' || vec_id), 1, 8))::BIGINT % (SELECT ceil(count(*) / {BATCH}) FROM embeddings)::BIGINT AS batch" if minibatch else ""
+    out = f"e AS (SELECT vec_id, embedding::DOUBLE[] AS v{of} FROM embeddings),\nc0 AS (SELECT (row_number() OVER (ORDER BY vec_id) - 1)::INT AS c, v, 0 AS seen FROM (SELECT vec_id, v FROM e ORDER BY vec_id LIMIT {CLUSTERS}))"
+    for k in range(ROUNDS_OF_MEANS):
+        rows = f"e WHERE batch = {k} % (SELECT ceil(count(*) / {BATCH}) FROM embeddings)::BIGINT" if minibatch else "e"
+        gain = "(c.seen + coalesce(s.n, 0))" if minibatch else "s.n"
+        out += f""",
+a{k} AS (SELECT x.vec_id, any_value(x.v) AS v, arg_min(c.c, (list_distance(x.v, c.v), c.c)) AS c FROM (SELECT * FROM {rows}) x, c{k} c GROUP BY 1),
+s{k} AS (SELECT c, any_value(n) AS n, list(t ORDER BY i) AS t FROM (SELECT c, i, count(*) AS n, sum(x) AS t FROM (SELECT c, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{k}) GROUP BY c, i) GROUP BY c),
+c{k + 1} AS (SELECT c.c, CASE WHEN s.n IS NULL THEN c.v ELSE list_transform(list_zip(c.v, s.t), lambda p: p[1] + (p[2] - s.n * p[1]) / {gain}) END AS v, c.seen + coalesce(s.n, 0) AS seen FROM c{k} c LEFT JOIN s{k} s ON s.c = c.c)"""
+    last = f"c{ROUNDS_OF_MEANS}"
+    return f"""WITH {out},
+f AS (SELECT vec_id, arg_min(c.c, (list_distance(e.v, c.v), c.c)) AS cluster, min(list_distance(e.v, c.v)) AS d FROM e, {last} c GROUP BY 1)
+SELECT cluster, count(*) AS n, round(sum(d * d), 6) AS cost FROM f GROUP BY 1"""
+
+
+def means(spark, d, method: str):
+    """Sizes and costs of clusters that start from the first rows."""
+    e = table(spark, d, "embeddings")
+    start = [r["embedding"] for r in e.orderBy("vec_id").limit(CLUSTERS).select("embedding").collect()]
+    centres = clustering.kmeans(e, CLUSTERS, method, start, rounds=ROUNDS_OF_MEANS, tolerance=-1.0, batch_rows=BATCH)
+    return clustering.assigned(e, centres).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("distance"), 6).alias("cost"))
+
+
+@query(means_sql(False))
 def kmeans_sizes(spark, d):
-    return retrieval.cluster(table(spark, d, "embeddings"), 10).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    return means(spark, d, "KMeans")
+
+
+@query(means_sql(True))
+def minibatch_sizes(spark, d):
+    return means(spark, d, "MiniBatchKMeans")
 
 
 @query("""SELECT conv_id, turn, CASE WHEN (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) % 2 = 0 THEN 'user' ELSE 'assistant' END AS chat_role, text AS content FROM conversations""")
