@@ -385,15 +385,38 @@ def strip_tags(spark, d):
     return table(spark, d, "pages").select("page_id", F.md5(T.strip_tags(F.col("html"))).alias("digest"))
 
 
-@query(r"""WITH RECURSIVE t AS (SELECT page_id, list_concat(['{| class', '| cell', 'in table', '|}', '| bar'], string_split(html, chr(10))) AS ls FROM pages),
-c AS (SELECT page_id, ls, 1 AS i, false AS inside, 0 AS kept, 0::BIGINT AS chars FROM t
-  UNION ALL
-  SELECT page_id, ls, i + 1, CASE WHEN o THEN true WHEN cl THEN false ELSE inside END, kept + k, chars + k * len(x)
-  FROM (SELECT *, CASE WHEN o OR cl OR inside OR x LIKE '|%' THEN 0 ELSE 1 END AS k FROM (SELECT *, ls[i] AS x, ls[i] LIKE '{|%' OR ls[i] LIKE '|-%' AS o, ls[i] LIKE '|}%' AS cl FROM c WHERE i <= len(ls))))
-SELECT page_id, (chars + greatest(kept - 1, 0))::BIGINT AS chars FROM c WHERE i = len(ls) + 1""")
+TABLE_HEAD = "{| class\n| cell\nin table\n  |}\n| bar\n\t{| inner\nlost\n |-\nlost too\n|}\n"
+
+
+def table_lines_sql(rows: str) -> str:
+    """(page_id, i, x) -> the lines that stay: the last mark on or before a line says whether it is in a table."""
+    ends = f"regexp_replace(x, '^[{T.WHITE}]+|[{T.WHITE}]+$', '', 'g')"
+    return f"""SELECT page_id, i, x FROM (SELECT *, last_value(mark IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY i) AS m FROM (
+  SELECT *, CASE WHEN s LIKE '{{|%' OR s LIKE '|-%' THEN 'in' WHEN s LIKE '|}}%' THEN 'out' END AS mark FROM (SELECT *, {ends} AS s FROM {rows})))
+  WHERE mark IS NULL AND coalesce(m, 'out') = 'out' AND s NOT LIKE '|%'"""
+
+
+@query(f"""WITH t AS (SELECT page_id, string_split('{TABLE_HEAD}' || html, chr(10)) AS ls FROM pages), l AS (SELECT page_id, unnest(ls) AS x, generate_subscripts(ls, 1) AS i FROM t),
+k AS ({table_lines_sql("l")}) SELECT page_id, md5(string_agg(x, chr(10) ORDER BY i)) AS digest FROM k GROUP BY 1""")
 def table_line_filter(spark, d):
-    html = F.concat(F.lit("{| class\n| cell\nin table\n|}\n| bar\n"), "html")
-    return table(spark, d, "pages").select("page_id", F.length(T.drop_table_lines(html)).cast("long").alias("chars"))
+    """Tables, indented ones too, ahead of each page."""
+    html = F.concat(F.lit(TABLE_HEAD), "html")
+    return table(spark, d, "pages").select("page_id", F.md5(T.drop_table_lines(html)).alias("digest"))
+
+
+LEFT_OVER = "  {| t\n x\n|}  \n| y\n {{Cite web|a\nb}} set {a} and }b{ {{infoBOX c}}\n\n \u00a0\n <i>k</i>\t{{open\u2003two {{x}} mid {{y|z}}  end}} \n"
+
+
+@query(f"""WITH t AS (SELECT page_id, string_split('{LEFT_OVER}' || html || ' last{{{{ one', chr(10)) AS ls FROM pages), l AS (SELECT page_id, unnest(ls) AS x, generate_subscripts(ls, 1) AS i FROM t),
+k AS ({table_lines_sql("l")}), j AS (SELECT page_id, string_agg(x, chr(10) ORDER BY i) AS x FROM k GROUP BY 1),
+n AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(x, '<[^>]+>', '', 'g'), '(?is)\\{{\\{{cite.*?\\}}\\}}', '', 'g'), '(?is)\\{{\\{{infobox.*?\\}}\\}}', '', 'g') AS x FROM j),
+w AS (SELECT page_id, list_filter(list_transform(string_split(x, chr(10)), lambda s: regexp_replace(s, '^[{T.WHITE}]+|[{T.WHITE}]+$', '', 'g')), lambda s: s <> '') AS ls FROM n),
+b AS (SELECT page_id, regexp_replace(array_to_string(ls, chr(10)), '(?s)\\{{\\{{.*\\}}\\}}', '') AS x FROM w)
+SELECT page_id, md5(CASE WHEN x LIKE '%{{{{%' OR x LIKE '%}}}}%' THEN array_to_string(list_filter(regexp_split_to_array(x, '[{T.WHITE}]+'), lambda s: s <> '' AND s NOT LIKE '%{{{{%' AND s NOT LIKE '%}}}}%'), ' ') ELSE x END) AS digest FROM b""")
+def tidied_pages(spark, d):
+    """The whole clean-up after parsing, over pages that leave something for each of its steps."""
+    html = F.concat(F.lit(LEFT_OVER), "html", F.lit(" last{{ one"))
+    return table(spark, d, "pages").select("page_id", F.md5(wikitext.tidied(html)).alias("digest"))
 
 
 @query("SELECT doc_id FROM documents WHERE len(string_split(text, ' ')) <= 100")
@@ -655,23 +678,36 @@ def query_draws(spark, d):
     return corpora.drop("place").join(items.drop("place"), "draw")
 
 
-WIKI_HEAD = "Intro '''bold''' [[Target|label]] and [[plain]]. {{cite web|x={{y}}}}<ref name=a/><ref>gone</ref>[[File:a.png|thumb|[[inner]] text]]\n== History ==\nbody [http://a.b link text]\n"
+WIKI_HEAD = (
+    "Intro '''bold''' [[Target|label [[deep|er]] on]] and [[plain]]. {{cite web|x={{y|{{z}} 1}}|{{w}}}}<ref name=a/><ref>gone {{t|[[u]]}}</ref>[[File:a.png|thumb|[[inner|of [[innermost]]]] text]]\n"
+    "* item\n== History ==\nbody [http://a.b link text]<ul><li>one<ul><li>two<ul><li>three</li></ul></li></ul></li></ul>\n=== Early ''years'' ===\n"
+)
 ENDINGS = ["See also", "Sources"]
+GONE = "ref|table|tbody|tr|td|th|li|ul|infobox|gallery|imagemap|math|timeline|score|script|style"
 
 
-def wiki_sql(c: str) -> str:
-    """The same patterns in SQL."""
-    quote = lambda p: p.replace("'", "''")
-    c = f"regexp_split_to_array({c}, '{quote(wikitext.ending_heading(ENDINGS))}')[1]"
-    for p in wikitext.DROPPED:
-        c = f"regexp_replace({c}, '{quote(p)}', '', 'g')"
-    for p in wikitext.UNWRAPPED:
-        c = f"regexp_replace({c}, '{quote(p)}', '\\1', 'g')"
-    return f"regexp_replace({c}, '{quote(wikitext.EMPHASIS_AND_ENDS)}', '', 'g')"
-
-
-@query("WITH w AS (SELECT page_id, '" + WIKI_HEAD.replace("'", "''") + "' || html || chr(10) || '== See also ==' || chr(10) || 'rest' AS t FROM pages) SELECT page_id, md5(" + wiki_sql("t") + ") AS digest FROM w")
+def wiki_sql() -> str:
+    """A scan over tokens that counts how deep it is in things that go; links are then taken from the inside out."""
+    labels = lambda c, n: labels(f"regexp_replace({c}, '\\[\\[(?:[^\\[\\]|]*\\|)?([^\\[\\]]*)\\]\\]', '\\1', 'g')", n - 1) if n else c
+    head = WIKI_HEAD.replace("'", "''")
+    return f"""WITH RECURSIVE w AS (SELECT page_id, '{head}' || html || chr(10) || '== See also ==' || chr(10) || 'rest' AS t FROM pages),
+k AS (SELECT page_id, regexp_extract_all(t, '(?s)<!--.*?-->|\\{{\\{{|\\}}\\}}|\\[\\[(?:[Ff]ile|[Ii]mage|[Mm]edia):|\\[\\[|\\]\\]|<[^<>]*>|[^<\\[\\]{{}}]+|.') AS ts FROM w),
+c AS (SELECT page_id, ts, 1 AS i, 0 AS depth, []::VARCHAR[] AS held FROM k
+  UNION ALL
+  SELECT page_id, ts, i + 1, CASE WHEN opens AND (depth > 0 OR gone) THEN depth + 1 WHEN closes AND depth > 0 THEN depth - 1 ELSE depth END,
+    CASE WHEN depth > 0 OR gone OR x LIKE '<!--%' THEN held ELSE list_append(held, x) END
+  FROM (SELECT *, x = '[[' OR gone AS opens, x IN ('}}}}', ']]') OR regexp_matches(x, '(?i)^</(?:{GONE})>$') AS closes
+    FROM (SELECT *, x = '{{{{' OR (regexp_matches(x, '(?i)^\\[\\[(?:file|image|media):$|^<(?:{GONE})(?:\\s[^>]*)?>$') AND x NOT LIKE '%/>') AS gone FROM (SELECT *, ts[i] AS x FROM c WHERE i <= len(ts))))),
+p AS (SELECT page_id, {labels("regexp_replace(array_to_string(held, ''), '<ref[^>]*/>', '', 'g')", 3)} AS t FROM c WHERE i = len(ts) + 1),
+s AS (SELECT page_id, string_split(regexp_replace(regexp_split_to_array(t, '(?m)^=+[^=\\n]*(?:{"|".join(ENDINGS)})[^=\\n]*=+[ \\t]*$')[1], '(?m)^=+[ \\t]*([^=\\n]+?)[ \\t]*=+[ \\t]*$', chr(1) || '\\1', 'g'), chr(1)) AS ss FROM p),
+q AS (SELECT page_id, list_transform(ss, lambda x: replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '(?m)^[*#:;]+[ \\t]*', '', 'g'), '''{{2,}}', '', 'g'), '\\[https?://[^ \\]]+ ([^\\]]*)\\]', '\\1', 'g'), '<[^>]+>', '', 'g'), '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&')) AS ss FROM s),
+o AS (SELECT page_id, list_transform(ss, lambda x: array_to_string(list_filter(list_transform(string_split(x, chr(10)), lambda l: trim(l)), lambda l: l <> ''), chr(10))) AS ss FROM q)
+SELECT page_id, md5(array_to_string(list_filter(ss, lambda x: x <> ''), chr(10) || chr(10))) AS digest FROM o"""
+
+
+@query(wiki_sql())
 def section_clean(spark, d):
+    """Pages as wiki sections, with markup nested three deep, up to a listed heading."""
     text = F.concat(F.lit(WIKI_HEAD), "html", F.lit("\n== See also ==\nrest"))
     return table(spark, d, "pages").select("page_id", F.md5(wikitext.clean_sections(text, ENDINGS)).alias("digest"))
 

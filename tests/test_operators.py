@@ -91,7 +91,7 @@ def test_live_elo_matches_batch(spark, tmp_path):
 def test_sections_end_at_the_listed_heading(spark):
     t = "A '''b''' [[x|y]] [[z]]{{Infobox q|{{r}}}}<ref>n</ref>[[Image:p.png|[[l]]]]\n== Life ==\nc [http://h.i j k]\n=== See also this ===\nrest"
     d = spark.createDataFrame([(t,), ("",), (None,), ("plain",)], "t string")
-    assert [r[0] for r in d.select(wikitext.clean_sections(F.col("t"), ["See also"])).collect()] == ["A b y z\nLife\nc j k", "", None, "plain"]
+    assert [r[0] for r in d.select(wikitext.clean_sections(F.col("t"), ["See also"])).collect()] == ["A b y z\n\nLife\nc j k", "", None, "plain"]
     assert d.select(wikitext.clean_sections(F.col("t"))).first()[0].endswith("See also this\nrest")
 
 
