@@ -446,8 +446,24 @@ def remove_votes_substring(spark, d):
     return clean.remove_model_votes(v, ["public_a", "hidden_a"], "m3").select("event_id")
 
 
-@query("""WITH m AS (SELECT DISTINCT 'm' || (user_id % 8) AS model FROM events), h AS (SELECT event_id AS draw, model, row_number() OVER (PARTITION BY event_id ORDER BY md5('pair-' || event_id || '-' || model), model) - 1 AS place FROM events, m)
-SELECT draw, place::INT AS place, model FROM h WHERE place < 2""")
+def places_sql(n: str, m: str, parts: str) -> str:
+    """The places that ``sampling.picks`` draws; ``parts`` is SQL for the draw's text."""
+    at = f"('0x' || substr(md5({parts} || '-' || j[1]), 1, 15))::BIGINT % (j[1] + 1)"
+    taken = f"list_reduce(list_prepend([]::BIGINT[], list_transform(range({n} - least({m}, {n}), {n}), lambda x: [x])), lambda held, j: list_append(held, CASE WHEN list_contains(held, {at}) THEN j[1] ELSE {at} END))"
+    return f"list_transform(list_sort(list_transform({taken}, lambda x: {{'h': md5({parts} || '-order-' || x), 'x': x}})), lambda s: s.x)"
+
+
+def placed_sql(rows: str, key: str, by: str = "") -> str:
+    return f"SELECT *, row_number() OVER ({f'PARTITION BY {by} ' if by else ''}ORDER BY substr(md5({key}::VARCHAR), 1, {sampling.DIGITS}), {key}) - 1 AS spot FROM ({rows})"
+
+
+def picked_sql(draws: str, items: str, key: str, n: str, seed: str) -> str:
+    """draw, place, item: what ``sampling.pick_per_draw`` gives."""
+    return f"""SELECT draw, place, {key} FROM (SELECT draw, unnest(ps) AS spot, generate_subscripts(ps, 1)::INT - 1 AS place
+  FROM (SELECT draw, {places_sql("c", n, f"'{seed}-' || draw")} AS ps FROM ({draws}), (SELECT count(DISTINCT {key}) AS c FROM ({items})))) JOIN ({placed_sql(f"SELECT DISTINCT {key} FROM ({items})", key)}) USING (spot)"""
+
+
+@query(picked_sql("SELECT event_id AS draw FROM events", "SELECT 'm' || (user_id % 8) AS model FROM events", "model", "2", "pair"))
 def sample_models_pair(spark, d):
     e = table(spark, d, "events")
     return sampling.pick_per_draw(e.select(F.col("event_id").alias("draw")), e.selectExpr("concat('m', user_id % 8) AS model"), 2, "draw", "model", "pair")
@@ -458,9 +474,10 @@ def random_documents(spark, d):
     return sampling.first_by_hash(table(spark, d, "documents"), "doc_id", "draw", 10)
 
 
-@query("""WITH c AS (SELECT DISTINCT p_brand AS category FROM part), dr AS (SELECT range AS draw, 2 + ('0x' || substr(md5('n-' || range), 1, 8))::BIGINT % 4 AS n FROM range(10000)),
-h AS (SELECT draw, n, category, row_number() OVER (PARTITION BY draw ORDER BY md5('cat-' || draw || '-' || category), category) AS r FROM dr, c)
-SELECT draw, n AS n_categories, category FROM h WHERE r <= n""")
+CATEGORY_DRAWS = "SELECT range AS draw, 2 + ('0x' || substr(md5('n-' || range), 1, 8))::BIGINT % 4 AS n FROM range(10000)"
+
+
+@query(f"""SELECT draw, n AS n_categories, category FROM ({picked_sql("SELECT range AS draw FROM range(10000)", "SELECT p_brand AS category FROM part", "category", "5", "cat")}) JOIN ({CATEGORY_DRAWS}) USING (draw) WHERE place < n""")
 def category_draw(spark, d):
     """Two to five categories per draw, without replacement."""
     n = F.conv(F.substring(sampling.draw(F.lit("n"), F.col("draw")), 1, 8), 16, 10).cast("long") % 4 + 2
@@ -469,6 +486,22 @@ def category_draw(spark, d):
     return picked.withColumn("n_categories", n).where(F.col("place") < F.col("n_categories")).select("draw", "n_categories", "category")
 
 
+NESTED_NUMBER = "('0x' || substr(md5({}), 1, 15))::BIGINT"
+
+
+@query(f"""WITH i AS ({placed_sql("SELECT DISTINCT p_brand AS category, p_name AS item FROM part", "item", "category")}),
+c AS ({placed_sql("SELECT category, count(*) AS size FROM i GROUP BY 1", "category")}),
+dr AS (SELECT draw, least(2 + {NESTED_NUMBER.format("'nested-n-' || draw")} % 4, c) AS n_categories, c FROM (SELECT range AS draw FROM range(10000)), (SELECT count(*) AS c FROM c)),
+p AS (SELECT draw, n_categories, unnest(ps) AS spot, generate_subscripts(ps, 1)::INT - 1 AS place FROM (SELECT *, {places_sql("c", "n_categories", "'nested-category-' || draw")} AS ps FROM dr)),
+k AS (SELECT draw, n_categories, place, category, size, 2 + {NESTED_NUMBER.format("'nested-k-' || draw || '-' || category")} % greatest(least(size, 8) - 1, 1) AS k FROM p JOIN c USING (spot)),
+q AS (SELECT draw, n_categories, place, category, unnest(ps) AS spot, generate_subscripts(ps, 1)::INT - 1 AS item_place FROM (SELECT *, {places_sql("size", "k", "'nested-item-' || draw || '-' || category")} AS ps FROM k))
+SELECT draw, place, category, n_categories, item_place, item FROM q JOIN i USING (category, spot)""")
+def clustering_draws(spark, d):
+    """Ten thousand draws of two to five categories with two to eight of their items each."""
+    items = table(spark, d, "part").select(F.col("p_brand").alias("category"), F.col("p_name").alias("item"))
+    return sampling.nested_draws(spark.range(10_000).select(F.col("id").alias("draw")), items, "draw", "category", "item")
+
+
 def main_direction(name: str, mat: str) -> str:
     """CTEs: the main direction of a matrix by repeated products, its greatest loading positive."""
     return f"""{name}_it AS (SELECT 0 AS k, list_transform(range(64), lambda i: 1 + i / 100) AS v UNION ALL
@@ -666,10 +699,8 @@ def triplet_shuffle(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(F.array_join(mixed, "|")).alias("digest"))
 
 
-@query("""WITH dr AS (SELECT range AS draw FROM range(1000)),
-c AS (SELECT draw, r_name AS corpus, row_number() OVER (PARTITION BY draw ORDER BY md5('corpus-' || draw || '-' || r_name), r_name) AS r FROM dr, region),
-q AS (SELECT draw, item_id, row_number() OVER (PARTITION BY draw ORDER BY md5('query-' || draw || '-' || item_id), item_id) AS r FROM dr, benchmark)
-SELECT draw, corpus, item_id FROM c JOIN q USING (draw) WHERE c.r = 1 AND q.r = 1""")
+@query(f"""SELECT draw, corpus, item_id FROM ({picked_sql("SELECT range AS draw FROM range(1000)", "SELECT r_name AS corpus FROM region", "corpus", "1", "corpus")}) c
+JOIN ({picked_sql("SELECT range AS draw FROM range(1000)", "SELECT item_id FROM benchmark", "item_id", "1", "query")}) q USING (draw)""")
 def query_draws(spark, d):
     """A corpus, then one of the set queries, for each draw."""
     draws = spark.range(1000).select(F.col("id").alias("draw"))
