@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -15,6 +16,29 @@ SCALE, BASE, INIT, K = 400.0, 10.0, 1000.0, 4.0
 LN = float(np.log(BASE))
 
 
+#: What model A gets of a battle.
+SCORES = {"model_a": 1.0, "model_b": 0.0, "tie": 0.5, "tie (bothbad)": 0.5}
+
+
+class Table:
+    """Ratings and battles so far of one task's models; a battle moves what it was unlikely to bring."""
+
+    def __init__(self, models: Iterable[str] = (), ratings: Iterable[float] = (), battles: Iterable[int] = (), k: float = K):
+        self.k, self.rating, self.battles = k, dict(zip(models, ratings, strict=True)), Counter(dict(zip(models, battles, strict=True)))
+
+    def play(self, a: str, b: str, winner: str) -> None:
+        if winner not in SCORES:
+            raise ValueError(f"unexpected winner {winner}")
+        ahead = self.rating.setdefault(a, INIT) - self.rating.setdefault(b, INIT)
+        moved = self.k * (SCORES[winner] - 1 / (1 + BASE ** (-ahead / SCALE)))
+        self.rating[a] += moved
+        self.rating[b] -= moved
+        self.battles.update((a, b))
+
+    def columns(self) -> dict[str, list]:
+        return {"model": list(self.rating), "rating": list(self.rating.values()), "num_battles": [self.battles[m] for m in self.rating]}
+
+
 def online_elo(battles: DataFrame, task: str | None = None, k: float = K) -> DataFrame:
     """(task,) model, rating, num_battles after all battles in order of time, ties in time by battle_id.
 
@@ -25,21 +49,14 @@ def online_elo(battles: DataFrame, task: str | None = None, k: float = K) -> Dat
     rows = battles.select(t.alias("task"), "tstamp", "battle_id", "model_a", "model_b", "winner")
 
     def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rating: dict[tuple[str, str], float] = {}
-        seen: dict[tuple[str, str], int] = {}
-        score = {"model_a": 1.0, "model_b": 0.0, "tie": 0.5, "tie (bothbad)": 0.5}
+        tables: dict[str, Table] = {}
         for f in frames:
-            for task, a, b, w in zip(f["task"], f["model_a"], f["model_b"], f["winner"], strict=True):
-                if w not in score:
-                    raise ValueError(f"unexpected winner {w}")
-                x, y = (task, a), (task, b)
-                ra, rb = rating.get(x, INIT), rating.get(y, INIT)
-                ea, eb = 1 / (1 + BASE ** ((rb - ra) / SCALE)), 1 / (1 + BASE ** ((ra - rb) / SCALE))
-                rating[x] = rating.get(x, INIT) + k * (score[w] - ea)
-                rating[y] = rating.get(y, INIT) + k * (1 - score[w] - eb)
-                for z in (x, y):
-                    seen[z] = seen.get(z, 0) + 1
-        yield pd.DataFrame([(t, m, r, seen[t, m]) for (t, m), r in rating.items()], columns=["task", "model", "rating", "num_battles"])
+            for t, *battle in zip(f["task"], f["model_a"], f["model_b"], f["winner"], strict=True):
+                if t not in tables:
+                    tables[t] = Table(k=k)
+                tables[t].play(*battle)
+        for t, table in tables.items():
+            yield pd.DataFrame({"task": t, **table.columns()})
 
     ordered = rows.repartition(32 if task else 1, "task").sortWithinPartitions("task", "tstamp", "battle_id")
     out = ordered.mapInPandas(fold, "task string, model string, rating double, num_battles long")

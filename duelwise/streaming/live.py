@@ -1,12 +1,16 @@
-"""Structured Streaming: vote ingestion, live counts, live Elo. The batch operators stay the truth for late votes."""
+"""Structured Streaming: vote ingestion, live counts, live Elo, sessions. The batch operators stay the truth for late votes."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.ratings import BASE, INIT, K, SCALE
+from ..operators.ratings import K, Table
 
 
 def votes(spark: SparkSession, path: str, schema: str, late: str = "1 hour", key: str = "battle_id") -> DataFrame:
@@ -16,25 +20,52 @@ def votes(spark: SparkSession, path: str, schema: str, late: str = "1 hour", key
 
 
 def hourly(stream: DataFrame, key: str = "type") -> DataFrame:
+    """Votes of each hour and kind; those later than the watermark don't count."""
     return stream.groupBy(F.window("ts", "1 hour"), key).agg(F.count(F.lit(1)).alias("n"))
 
 
-class LiveElo:
-    """foreachBatch sink: folds each micro-batch in order of time into ratings kept in a folder, one version per batch."""
+#: A task's state: its table, and the votes whose time the watermark hasn't passed.
+STATE = "model array<string>, rating array<double>, num_battles array<long>, at array<double>, id array<long>, a array<string>, b array<string>, winner array<string>"
+LIVE = "task string, upto double, model string, rating double, num_battles long"
+
+
+def live_elo(stream: DataFrame, task: str = "task_type", k: float = K) -> DataFrame:
+    """stream(ts with a watermark, tstamp, battle_id, model_a, model_b, winner, task) -> a task's whole table each time
+    that votes were added to it, with the time of the last one (``upto``).
+
+    A vote waits in its task's state until the watermark passes its time; then waiting votes are played in order of time,
+    ties by battle_id. So the tables are those of the batch fold over the votes up to then, in whatever order they came;
+    a vote that comes later than the watermark allows is left out (and in the batch fold it isn't). Tasks are apart from
+    each other; a state holds one rating per model and the votes of one watermark's delay.
+    """
+
+    def play(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        model, rating, battles, *waiting = state.get if state.exists else ([],) * 8
+        rows = list(zip(*waiting, strict=True))
+        for f in frames:
+            rows += zip(f["tstamp"], f["battle_id"], f["model_a"], f["model_b"], f["winner"], strict=True)
+        rows.sort(key=lambda r: (r[0], r[1]))
+        passed = state.getCurrentWatermarkMs() / 1000
+        ready = [r for r in rows if r[0] <= passed]
+        table = Table(model, rating, battles, k)
+        for _, _, a, b, winner in ready:
+            table.play(a, b, winner)
+        left = rows[len(ready) :]
+        kept = table.columns()
+        state.update((kept["model"], kept["rating"], kept["num_battles"], *(list(c) for c in (zip(*left, strict=True) if left else [()] * 5))))
+        if left:
+            state.setTimeoutTimestamp(max(int(left[0][0] * 1000) + 1, state.getCurrentWatermarkMs() + 1))
+        if ready:
+            yield pd.DataFrame({"task": key[0], "upto": ready[-1][0], **kept})
+
+    rows = stream.select(F.col(task).alias("task"), "ts", "tstamp", F.col("battle_id").cast("long").alias("battle_id"), "model_a", "model_b", "winner")
+    return rows.groupBy("task").applyInPandasWithState(play, LIVE, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
-    def __init__(self, folder: str):
-        self.folder = folder
 
-    def __call__(self, batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        old = spark.read.schema("model string, rating double").parquet(f"{self.folder}/{epoch - 1}").collect() if epoch else []
-        rating = {r["model"]: r["rating"] for r in old}
-        score = {"model_a": 1.0, "model_b": 0.0, "tie": 0.5, "tie (bothbad)": 0.5}
-        for r in batch.select("model_a", "model_b", "winner").orderBy("tstamp", "battle_id").toLocalIterator():
-            a, b = rating.get(r["model_a"], INIT), rating.get(r["model_b"], INIT)
-            e = 1 / (1 + BASE ** ((b - a) / SCALE))
-            rating[r["model_a"]], rating[r["model_b"]] = a + K * (score[r["winner"]] - e), b - K * (score[r["winner"]] - e)
-        spark.createDataFrame(list(rating.items()), "model string, rating double").coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/{epoch}")
+def standings(tables: DataFrame) -> DataFrame:
+    """The last table of each task out of all that ``live_elo`` gave."""
+    last = tables.groupBy("task").agg(F.max("upto").alias("upto"))
+    return tables.join(last, ["task", "upto"]).select("task", "model", "rating", "num_battles")
 
 
 def sessions(rows: DataFrame, key: str, value: str, ts: str = "ts", gap: str = "30 minutes") -> DataFrame:

@@ -9,7 +9,6 @@ from duelwise.functions import wikitext
 from duelwise.operators import agreement, clean, matrix, ratings, requests, retrieval
 from duelwise.sources import files
 from duelwise.streaming import live
-from duelwise.streaming.live import LiveElo
 
 
 def battles(spark, rows):
@@ -79,15 +78,6 @@ def test_log_round_trip(spark, tmp_path):
     assert files.read_activity(spark, str(tmp_path / "log")).first()["models"] == ["", ""]
 
 
-def test_live_elo_matches_batch(spark, tmp_path):
-    b = battles(spark, [("x", "y", "model_a"), ("y", "z", "tie"), ("x", "z", "model_b")])
-    live = LiveElo(str(tmp_path))
-    live(b.where("battle_id < 2"), 0)
-    live(b.where("battle_id >= 2"), 1)
-    got = {r["model"]: r["rating"] for r in spark.read.parquet(str(tmp_path / "1")).collect()}
-    assert got == pytest.approx({r["model"]: r["rating"] for r in ratings.online_elo(b).collect()})
-
-
 def test_sections_end_at_the_listed_heading(spark):
     t = "A '''b''' [[x|y]] [[z]]{{Infobox q|{{r}}}}<ref>n</ref>[[Image:p.png|[[l]]]]\n== Life ==\nc [http://h.i j k]\n=== See also this ===\nrest"
     d = spark.createDataFrame([(t,), ("",), (None,), ("plain",)], "t string")
