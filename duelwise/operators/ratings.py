@@ -7,7 +7,8 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.feature import Bucketizer
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .ranks import positions
@@ -107,18 +108,51 @@ def bradley_terry(counts: DataFrame, by: str | None = None, anchor: tuple[str, f
     return out.withColumnRenamed("by", by) if by else out.drop("by")
 
 
+def drawn_places(spark: SparkSession, rounds: int, total: int) -> DataFrame:
+    """round, i and place: draw i of a round is a portable hash modulo the number of battles."""
+    draws = spark.range(rounds * total).selectExpr(f"id div {total} AS round", f"id % {total} AS i")
+    place = F.conv(F.substring(F.md5(F.concat_ws("-", F.col("round").cast("string"), F.col("i").cast("string"))), 1, 8), 16, 10).cast("long") % total
+    return draws.withColumn("place", place)
+
+
+CELL = ["model_a", "model_b", "winner"]
+
+
 def bootstrap_counts(battles: DataFrame, rounds: int) -> DataFrame:
-    """round and n per outcome: each round draws as many battles as there are, with replacement.
+    """round and n per outcome: each round draws as many battles as there are, with replacement, draw by draw.
 
-    Draw i of a round is a portable hash modulo the number of battles. Every battle has a place by battle_id; draws
-    are counted per place before they meet the battles.
+    Battles of one outcome are alike, so a place stands for the outcome in whose run it lies when battles are put in
+    order of outcome; only outcomes (at most four per pair of models) are numbered and looked up, battles never move.
+    Every engine with MD5 draws the same. ``multinomial_counts`` is for logs that are too long to draw from one by one.
     """
-    total = battles.count()
-    draws = battles.sparkSession.range(rounds * total).selectExpr(f"id div {total} AS round", f"id % {total} AS i")
-    place = F.conv(F.substring(F.md5(F.concat_ws("-", F.col("round").cast("string"), F.col("i").cast("string"))), 1, 8), 16, 10).cast("long") % total
-    drawn = draws.select("round", place.alias("place")).groupBy("round", "place").agg(F.count(F.lit(1)).alias("n"))
-    placed = positions(battles.select("battle_id", "model_a", "model_b", "winner"), "battle_id", "place")
-    return drawn.join(placed, "place").groupBy("round", "model_a", "model_b", "winner").agg(F.sum("n").alias("n"))
+    spark = battles.sparkSession
+    cells = sorted(map(tuple, outcome_counts(battles).select(*CELL, "n").collect()))
+    if not cells:
+        return spark.createDataFrame([], "round long, model_a string, model_b string, winner string, n long")
+    ends = np.cumsum([c[3] for c in cells])
+    splits = [-float("inf"), *(float(x) for x in ends[:-1]), float("inf")]
+    places = drawn_places(spark, rounds, int(ends[-1]))
+    found = Bucketizer(splits=splits, inputCol="at", outputCol="cell").transform(places.withColumn("at", F.col("place").cast("double"))) if len(cells) > 1 else places.withColumn("cell", F.lit(0.0))
+    drawn = found.groupBy("round", F.col("cell").cast("int").alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+    names = spark.createDataFrame([(i, *c[:3]) for i, c in enumerate(cells)], "cell int, model_a string, model_b string, winner string")
+    return drawn.join(names, "cell").select("round", *CELL, "n")
+
+
+def multinomial_counts(battles: DataFrame, rounds: int, seed: int = 42) -> DataFrame:
+    """As ``bootstrap_counts`` in distribution: the counts of a round are drawn at once, by splitting its number of draws
+    outcome by outcome. It costs rounds times outcomes, however many battles there are."""
+    cells = outcome_counts(battles)
+    share = battles.sparkSession.range(rounds).withColumnRenamed("id", "round").crossJoin(cells)
+
+    def draw(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values(CELL)
+        rng, left, rest, n = np.random.default_rng([seed, int(f["round"].iloc[0])]), int(f["n"].sum()), int(f["n"].sum()), []
+        for here in f["n"]:
+            n.append(int(rng.binomial(left, min(1.0, here / rest))) if rest > here else left)
+            left, rest = left - n[-1], rest - here
+        return f.assign(n=n)[np.array(n) > 0]
+
+    return share.groupBy("round").applyInPandas(draw, "round long, model_a string, model_b string, winner string, n long")
 
 
 def bootstrap_quantiles(ratings: DataFrame) -> DataFrame:
@@ -131,16 +165,16 @@ def round_half_up(c) -> Column:
     return (c + F.lit(0.5)).cast("int")
 
 
-def rate(battles: DataFrame, system: str = "bt", rounds: int = 100) -> DataFrame:
-    """model and final rating: ``bt`` fits once, ``elo`` is the rounded median of bootstrapped online Elo."""
+def rate(battles: DataFrame, system: str = "bt", rounds: int = 100, exclude_tie: bool = False) -> DataFrame:
+    """model and final rating: ``bt`` fits once, ``elo`` is the rounded median of bootstrapped online Elo, in which each
+    round plays its draws in order; ``exclude_tie`` leaves both kinds of ties out."""
+    battles = battles.where(~F.col("winner").contains("tie")) if exclude_tie else battles
     if system == "bt":
         return bradley_terry(outcome_counts(battles))
     if system != "elo":
         raise ValueError(system)
-    total = battles.count()
-    draws = battles.sparkSession.range(rounds * total).selectExpr(f"id div {total} AS round", f"id % {total} AS i")
-    place = F.conv(F.substring(F.md5(F.concat_ws("-", F.col("round").cast("string"), F.col("i").cast("string"))), 1, 8), 16, 10).cast("long") % total
     placed = positions(battles, "battle_id", "place")
-    rows = draws.select("round", "i", place.alias("place")).join(placed, "place").withColumns({"battle_id": F.col("i"), "tstamp": F.lit(0.0), "task": F.col("round").cast("string")})
+    rows = drawn_places(battles.sparkSession, rounds, battles.count()).join(placed, "place")
+    rows = rows.withColumns({"battle_id": F.col("i"), "tstamp": F.lit(0.0), "task": F.col("round").cast("string")})
     elo = online_elo(rows, "task")
     return elo.groupBy("model").agg(round_half_up(F.expr("percentile(rating, 0.5)")).alias("rating"))

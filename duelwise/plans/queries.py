@@ -131,7 +131,7 @@ def battle_count_unordered(spark, d):
 
 
 ROUNDS = 100
-DRAWS = ANON + f""", p AS (SELECT row_number() OVER (ORDER BY battle_id) - 1 AS place, * FROM b), t AS (SELECT count(*) AS n FROM b),
+DRAWS = ANON + f""", p AS (SELECT row_number() OVER (ORDER BY model_a, model_b, winner) - 1 AS place, * FROM b), t AS (SELECT count(*) AS n FROM b),
 dr AS (SELECT r.range AS round, ('0x' || substr(md5(r.range || '-' || i.range), 1, 8))::BIGINT % t.n AS place FROM t, range({ROUNDS}) r, range((SELECT n FROM t)) i)
 SELECT round, model_a, model_b, winner, count(*) AS n FROM dr JOIN p USING (place) GROUP BY ALL"""
 
@@ -141,10 +141,26 @@ def bootstrap_draw_counts(spark, d):
     return ratings.bootstrap_counts(anonymous(spark, d), ROUNDS)
 
 
-@query()
+FITS = DRAWS.replace("WITH ", "WITH RECURSIVE ", 1).replace("\nSELECT round, model_a", ",\nbc AS (SELECT round, model_a", 1) + """),
+c AS (SELECT round, substr(model_a, 2)::INT + 1 AS a, substr(model_b, 2)::INT + 1 AS b2, sum(n * CASE winner WHEN 'model_a' THEN 2 WHEN 'model_b' THEN 0 ELSE 1 END)::DOUBLE AS w, sum(n)::DOUBLE AS n FROM bc GROUP BY ALL),
+cells AS (SELECT round, list({'a': a, 'b': b2, 'w': w, 'n': n} ORDER BY a, b2) AS cs FROM c GROUP BY round),
+eta AS (SELECT round, 1 / (1 + 0.5 * ln(10) * ln(10) * max(t)) AS e FROM (SELECT round, k, sum(2 * n) AS t FROM (SELECT round, a AS k, n FROM c UNION ALL SELECT round, b2, n FROM c) GROUP BY ALL) GROUP BY round),
+it AS (
+  SELECT round, 0 AS i, [0.0::DOUBLE, 0, 0, 0, 0, 0, 0, 0] AS w, cs, e FROM cells JOIN eta USING (round)
+  UNION ALL
+  SELECT round, i + 1, list_transform(w, lambda v, k: v - e * (v + coalesce(list_sum(list_transform(pull, lambda p: CASE WHEN p.a = k THEN p.x WHEN p.b = k THEN -p.x ELSE 0 END)), 0))), cs, e
+  FROM (SELECT *, list_transform(cs, lambda c: {'a': c.a, 'b': c.b, 'x': ln(10) * (2 * c.n / (1 + exp(-ln(10) * (w[c.a] - w[c.b]))) - c.w)}) AS pull FROM it WHERE i < 400)),
+m AS (SELECT DISTINCT round, unnest([model_a, model_b]) AS model FROM bc),
+fits AS (SELECT model, 400 * w[substr(model, 2)::INT + 1] + 1000 AS rating FROM it JOIN m USING (round) WHERE i = 400)
+SELECT model, round(quantile_cont(rating, 0.025), 3) AS rating_q025, round(quantile_cont(rating, 0.5), 3) AS rating_median, round(quantile_cont(rating, 0.975), 3) AS rating_q975, round(var_samp(rating), 3) AS variance FROM fits GROUP BY model"""
+
+
+@query(FITS)
 def bootstrap_bt_quantiles(spark, d):
+    """Each round is fitted anew; in SQL by descent, one step of all rounds at a time."""
     fitted = ratings.bradley_terry(ratings.bootstrap_counts(anonymous(spark, d), ROUNDS), "round")
-    return ratings.bootstrap_quantiles(fitted)
+    q = ratings.bootstrap_quantiles(fitted)
+    return q.select("model", *(F.round(c, 3).alias(c) for c in q.columns[1:]))
 
 
 @query("""WITH e AS (SELECT 'm' || (user_id % 8) AS model, value AS rating FROM events)
