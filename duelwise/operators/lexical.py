@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .vectors import Best
+
 K1, B = 1.5, 0.75
 
 
@@ -14,6 +19,8 @@ K1, B = 1.5, 0.75
 WORD = r"[\p{L}\p{N}_]{2,}"
 #: Query terms up to this number are sent to every task.
 BROADCAST_TERMS = 100_000
+#: Queries that are answered in one pass, and documents that are scored against them at once.
+QUERIES, SCORED_ROWS = 1024, 2048
 
 
 def tokens(c: Column, stop: tuple[str, ...] = (), stem: Callable[[Column], Column] | None = None) -> Column:
@@ -43,19 +50,86 @@ def document_frequencies(posts: DataFrame, docs: DataFrame) -> DataFrame:
     return d.select("term", "df", F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
 
 
+def term_places(column: pa.Array, terms: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, term) of each word of the rows' lists that is one of the terms, by place, and the rows' numbers of words
+    (-1 for a null list)."""
+    known = column.is_valid().to_numpy(zero_copy_only=False)
+    lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    term = pc.fill_null(pc.index_in(column.flatten(), value_set=terms), -1).to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(column)), lengths)
+    return row[term >= 0], term[term >= 0].astype(np.int64), np.where(known, lengths, -1)
+
+
+def term_shape(words: DataFrame, terms: list[str]) -> tuple[np.ndarray, int, float]:
+    """Documents of each term, of all, and their average length (null texts count as documents, not for the average), in
+    one pass; tasks add up, Spark adds up the tasks."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        listed, total = pa.array(terms, pa.string()), np.zeros(len(terms) + 3, np.int64)
+        for batch in batches:
+            row, term, lengths = term_places(batch.column(0), listed)
+            total[: len(terms)] += np.bincount(np.unique(row * len(terms) + term) % max(1, len(terms)), minlength=len(terms))
+            total[-3:] += (len(lengths), (lengths >= 0).sum(), np.maximum(lengths, 0).sum())
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["i", "n"])
+
+    total = np.zeros(len(terms) + 3, np.int64)
+    for r in words.select("t").mapInArrow(count, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).collect():
+        total[r["i"]] = r["n"]
+    return total[: len(terms)], int(total[-3]), total[-1] / max(1, total[-2])
+
+
 def bm25(docs: DataFrame, queries: DataFrame, k: int, key: str = "doc_id", text: str = "text", qkey: str = "item_id", k1: float = K1, b: float = B, title: str | None = None, stop: tuple[str, ...] = (), stem: Callable[[Column], Column] | None = None) -> DataFrame:
     """qkey, rank, key, score: the k best documents that share a term with the query; a title counts as text before it.
 
-    Only postings of query terms are counted and move: the distinct terms of all queries filter words where they are
-    read, as long as they are few enough to be sent there.
+    Queries go out in blocks, as lists of terms with the queries that ask for them. One pass counts the terms'
+    documents, a second one scores: a task looks its words up in the list, adds up each document's parts for all queries
+    and keeps k documents per query, so neither words nor postings are shuffled.
     """
-    asked = queries.select(F.col(qkey), F.explode(tokens(F.col(text), stop, stem)).alias("term"))
-    terms = asked.select("term").distinct()
-    terms = F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms
-    d = counted(docs, key, text, title, stop, stem)
-    shape = d.agg(F.count(F.lit(1)).alias("docs"), F.avg("dl").alias("avgdl"))
-    posts = d.select(key, "dl", F.explode("t").alias("term")).join(terms, "term", "left_semi").groupBy("term", key, "dl").agg(F.count(F.lit(1)).alias("tf"))
-    return _scored(asked, posts, shape, k, key, qkey, k1, b)
+    spark = docs.sparkSession
+    words = counted(docs, key, text, title, stop, stem).select(F.col(key).cast("long").alias("id"), "t")
+    asked = queries.select(F.col(qkey).cast("long").alias("q"), F.explode(tokens(F.col(text), stop, stem)).alias("term")).groupBy("q", "term").agg(F.count(F.lit(1)).alias("m"))
+    n, different = asked.agg(F.count_distinct("q"), F.count_distinct("term")).first()
+    blocks, found = max(-(-n // QUERIES), -(-different // BROADCAST_TERMS)), None
+    for block in range(blocks):
+        rows = asked.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == block).collect()
+        if not rows:
+            continue
+        terms, ids = sorted({r["term"] for r in rows}), sorted({r["q"] for r in rows})
+        at, place = {t: i for i, t in enumerate(terms)}, {q: i for i, q in enumerate(ids)}
+        df, total, average = term_shape(words, terms)
+        idf = np.log(1 + (total - df + 0.5) / (df + 0.5))
+        askers: list[list[tuple[int, float]]] = [[] for _ in terms]
+        for r in rows:
+            askers[at[r["term"]]].append((place[r["q"]], r["m"] * idf[at[r["term"]]]))
+        held = spark.sparkContext.broadcast((terms, ids, [(np.array([q for q, _ in a]), np.array([w for _, w in a])) for a in askers]))
+
+        def score(batches: Iterator[pa.RecordBatch], held=held, average=average) -> Iterator[pa.RecordBatch]:
+            terms, ids, askers = held.value
+            listed, mine = pa.array(terms, pa.string()), Best(k, 6)
+            for whole in batches:
+                for first in range(0, whole.num_rows, SCORED_ROWS):
+                    batch = whole.slice(first, SCORED_ROWS)
+                    row, term, lengths = term_places(batch.column(1), listed)
+                    cell, tf = np.unique(term * len(lengths) + row, return_counts=True)
+                    term, row = np.divmod(cell, max(1, len(lengths)))
+                    part = tf / (tf + k1 * (1 - b + b * lengths[row] / average))
+                    s = np.zeros((len(ids), len(lengths)))
+                    ends = np.searchsorted(term, np.arange(len(terms) + 1))
+                    for t in np.unique(term).tolist():
+                        here = slice(ends[t], ends[t + 1])
+                        who, weight = askers[t]
+                        s[np.ix_(who, row[here])] += weight[:, None] * part[here][None, :]
+                    s[s == 0] = -np.inf
+                    mine.see_all(0, batch.column(0).to_numpy(), s)
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.int64)[mine.row]), pa.array(mine.id), pa.array(mine.score)], names=["q", "id", "score"])
+
+        part = words.mapInArrow(score, "q long, id long, score double")
+        found = part if found is None else found.unionAll(part)
+    found = spark.createDataFrame([], "q long, id long, score double") if found is None else found
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))
+    found = found.withColumn("score", F.round("score", 6)).withColumn("rank", rank).where(F.col("rank") <= k)
+    return found.select(F.col("q").alias(qkey), "rank", F.col("id").alias(key), "score")
 
 
 def _scored(asked: DataFrame, posts: DataFrame, shape: DataFrame, k: int, key: str, qkey: str, k1: float, b: float) -> DataFrame:

@@ -36,14 +36,14 @@ def by_length(ids: pa.Array, column: pa.Array) -> Iterator[tuple[np.ndarray, np.
 
 
 class Best:
-    """The ``k`` best of what has been seen for each query: by score (to nine places) and then the smaller id."""
+    """The ``k`` best of what has been seen for each query: by score (to so many places) and then the smaller id."""
 
-    def __init__(self, k: int):
-        self.k, self.row, self.id, self.score = k, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    def __init__(self, k: int, places: int = 9):
+        self.k, self.places, self.row, self.id, self.score = k, places, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
 
     def see(self, row: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
         row, ids, score = np.concatenate([self.row, row]), np.concatenate([self.id, ids]), np.concatenate([self.score, score])
-        order = np.lexsort((ids, -np.round(score, 9), row))
+        order = np.lexsort((ids, -np.round(score, self.places), row))
         row = row[order]
         first = np.flatnonzero(np.diff(row, prepend=-1))
         place = np.arange(len(row)) - np.repeat(first, np.diff(np.append(first, len(row))))
@@ -56,6 +56,6 @@ class Best:
             return
         m = min(self.k, s.shape[1])
         # Whatever rounds to the last kept score stays in, so that ties can go by id.
-        floor = np.partition(s, -m, axis=1)[:, -m][:, None] - 1e-9
+        floor = np.partition(s, -m, axis=1)[:, -m][:, None] - 10.0**-self.places
         r, c = np.nonzero((s >= floor) & (s > -np.inf))
         self.see(first_row + r, ids[c], s[r, c])
