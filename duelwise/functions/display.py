@@ -71,3 +71,26 @@ def cutoff_date(ts: Column) -> Column:
 def log_name(ts: Column) -> Column:
     """The name of the day's conversation log."""
     return F.concat(F.date_format(ts, "yyyy-MM-dd"), F.lit("-conv.json"))
+
+
+#: Where indices are kept, some by name, the others by corpus.
+REGIONS = {
+    "index_stackexchange_Salesforce__SFR-Embedding-2_R": "us-central1",
+    "index_stackexchange_text-embedding-004": "us-central1",
+    "index_stackexchange_intfloat__e5-mistral-7b-instruct": "us-central1",
+    "index_stackexchange_voyage-multilingual-2": "us-central1",
+    "index_wikipedia_text-embedding-004": "us-central1",
+}
+REGION_OF_CORPUS, OTHER_REGION = {"wikipedia": "us-east1", "stackexchange": "us-east1"}, "us-central1"
+
+
+def index_name(model: Column, corpus: Column, own: dict[str, str] | None = None) -> Column:
+    """The index of a model and corpus; ``own`` names those of some models outright."""
+    path = F.replace(F.replace(model, F.lit("/"), F.lit("__")), F.lit(" "), F.lit("_"))
+    name = F.replace(F.concat(F.lit("index_"), corpus, F.lit("_"), path), F.lit("."), F.lit("_"))
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in own.items() for x in kv]), model), name) if own else name
+
+
+def region(name: Column, corpus: Column, regions: dict[str, str] = REGIONS, by_corpus: dict[str, str] = REGION_OF_CORPUS, other: str = OTHER_REGION) -> Column:
+    look = lambda held, c: F.try_element_at(F.create_map(*[F.lit(x) for kv in held.items() for x in kv]), c)
+    return F.coalesce(F.nullif(look(regions, name), F.lit("")), look(by_corpus, corpus), F.lit(other))

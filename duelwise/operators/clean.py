@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.display import local_stamp
 from ..functions.text import strip_label
 from .ranks import positions
 
@@ -48,15 +49,18 @@ def with_status(votes: DataFrame, task: str | None = None, aliases: dict[str, st
     return d.withColumn("status", status.when(F.coalesce("_banned", F.lit(False)), "banned").otherwise("ok")).drop("_pa", "_pb", "_ha", "_hb", "_known", "_banned")
 
 
-def clean_battles(statuses: DataFrame, key: str = "event_id", prefix: str = "user_", sanitised: bool = False) -> DataFrame:
+def clean_battles(statuses: DataFrame, key: str = "event_id", prefix: str = "user_", sanitised: bool = False, mode: str = "conv_release") -> DataFrame:
     """The battle table; an unknown vote type ends the query. A judge is the prefix and the address, or the prefix twice
-    and the address's number by first appearance (``sanitised``)."""
+    and the address's number by first appearance (``sanitised``). Mode ``simple`` has no question_id."""
+    if mode not in ("simple", "conv_release"):
+        raise ValueError(f"unknown mode {mode}")
     winner = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in WINNERS.items() for x in kv]), "type"), F.raise_error(F.concat(F.lit("unknown vote "), "type")))
     d, judge = statuses.where("status = 'ok'"), F.concat(F.lit(prefix), F.col("ip").cast("string"))
     if sanitised:
         d = d.join(address_counts(statuses, key).select("ip", "ip_id"), "ip")
         judge = F.concat(F.lit(prefix + prefix), F.col("ip_id").cast("string"))
-    return d.select(F.col(key).alias("question_id"), "model_a", "model_b", winner.alias("winner"), judge.alias("judge"), "anony", "tstamp")
+    out = d.select(F.col(key).alias("question_id"), "model_a", "model_b", winner.alias("winner"), judge.alias("judge"), "anony", "tstamp")
+    return out.drop("question_id") if mode == "simple" else out
 
 
 def address_counts(statuses: DataFrame, key: str = "event_id", with_banned: bool = True) -> DataFrame:
@@ -67,6 +71,29 @@ def address_counts(statuses: DataFrame, key: str = "event_id", with_banned: bool
     return (d if with_banned else d.where(~F.col("_out"))).select("ip", "n", "ip_id")
 
 
-def remove_model_votes(votes: DataFrame, columns: list[str], model: str) -> DataFrame:
-    """Drops votes whose model name (the first of ``columns`` that is there) contains the text."""
-    return votes.where(~F.coalesce(*[F.col(c) for c in columns], F.lit("")).contains(model))
+def remove_model_votes(votes: DataFrame, models: list[str], single: tuple[str, ...] = ("model", "model_name"), pair: tuple[str, ...] = ("0_model_name", "1_model_name")) -> DataFrame:
+    """Drops votes on any of the models, where a name contains one of the texts.
+
+    The first column of ``single`` that a vote has tells its model; a vote with none of them goes if either name of the
+    ``pair`` matches. Columns that the table lacks count as null; a vote without any name stays.
+    """
+    there = lambda names: [F.col(f"`{c}`") for c in names if c in votes.columns]
+    named = lambda c: F.coalesce(F.exists(F.array(*map(F.lit, models)), lambda m: F.contains(c, m)), F.lit(False)) if models else F.lit(False)
+    either = F.lit(False)
+    for c in there(pair):
+        either = either | named(c)
+    one = F.coalesce(*there(single), F.lit(None).cast("string"))
+    return votes.where(~F.when(one.isNotNull(), named(one)).otherwise(either))
+
+
+def counters(statuses: DataFrame, others: str = "other_task") -> DataFrame:
+    """One row: votes of the task, how many were invalid (one public name) or showed their models or came from banned
+    addresses, battles, anonymous votes among those that passed the first checks, different models of the battles, and
+    the local time of the last one. Null if there are no battles."""
+    d = statuses.where(F.col("status") != others)
+    ok, is_ = F.col("status") == "ok", lambda *s: F.count_if(F.col("status").isin(*s))
+    names = F.array_distinct(F.flatten(F.collect_set(F.when(ok, F.array("model_a", "model_b")))))
+    return d.agg(
+        F.count(F.lit(1)).alias("n_votes"), is_("invalid").alias("n_invalid"), is_("mismatch").alias("n_mismatch"), is_("banned").alias("n_banned"), is_("ok").alias("n_battles"),
+        F.count_if(F.col("anony") & F.col("status").isin("excluded", "banned", "ok")).alias("n_anony"), F.size(names).alias("n_models"), local_stamp(F.timestamp_seconds(F.max(F.when(ok, F.col("tstamp"))))).alias("last_updated"),
+    )

@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+import threading
+from collections import OrderedDict
+from collections.abc import Callable, Hashable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.corpora import load_or_build
 from . import ann, lexical, retrieval
 
 #: Texts to vectors, one row each.
@@ -21,7 +25,8 @@ FORMATS = {"arxiv": "Title: {title}\n\nAbstract: {text}", "wikipedia": "{title}\
 
 
 class HashedWords:
-    """The default encoder: counts of words by hash, at length one (no words: zero). Needs no weights."""
+    """The default encoder: counts of words by hash, at length one (no words: zero). Needs no weights; a hint counts as
+    words of each text."""
 
     def __init__(self, dims: int = 64):
         self.dims, self.word, self.known = dims, regex.compile(lexical.WORD), {}
@@ -33,10 +38,10 @@ class HashedWords:
             self.known[word] = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % self.dims
         return self.known[word]
 
-    def __call__(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), self.dims))
+    def __call__(self, texts: list[str], **hints: str) -> np.ndarray:
+        out, more = np.zeros((len(texts), self.dims)), "".join(f" {v}" for _, v in sorted(hints.items()))
         for row, text in zip(out, texts, strict=True):
-            places = [self.place(w) for w in self.word.findall(text.lower())]
+            places = [self.place(w) for w in self.word.findall((text + more).lower())]
             if places:
                 row += np.bincount(places, minlength=self.dims)
         size = np.sqrt((out * out).sum(axis=1, keepdims=True))
@@ -77,6 +82,86 @@ def encode(texts: DataFrame, encoder: Encoder, key: str, text: str = "text", ins
     return d.mapInPandas(run, f"{key} long, embedding array<double>")
 
 
+#: The hints that some encoders take, by task and model.
+HINTS = {
+    "clustering": {
+        "text-embedding-004": {"google_task_type": "CLUSTERING"},
+        "embed-english-v3.0": {"cohere_task_type": "clustering"},
+        "nomic-ai/nomic-embed-text-v1.5": {"input_type": "clustering"},
+        "nomic-ai/nomic-embed-text-v1": {"input_type": "clustering"},
+    },
+    "sts": {
+        "text-embedding-004": {"google_task_type": "SEMANTIC_SIMILARITY"},
+        "nomic-ai/nomic-embed-text-v1.5": {"input_type": "classification"},
+        "nomic-ai/nomic-embed-text-v1": {"input_type": "classification"},
+    },
+}
+
+
+class Held:
+    """What was loaded, by key, the ``most`` used last: each key is loaded once at a time, by one thread."""
+
+    def __init__(self, most: int = 8):
+        self.most, self.lock, self.found = most, threading.Lock(), OrderedDict()
+
+    def get(self, key: Hashable, load: Callable):
+        with self.lock:
+            if key not in self.found:
+                self.found[key] = load()
+            self.found.move_to_end(key)
+            while len(self.found) > self.most:
+                self.found.popitem(last=False)
+            return self.found[key]
+
+
+#: Of each Python worker, for as long as it lives.
+ENCODERS = Held()
+
+
+def held_encoder(key: Hashable, load: Callable[[], Encoder]) -> Encoder:
+    return ENCODERS.get(key, load)
+
+
+def encode_requests(requests: DataFrame, loaders: dict[str, Callable[[], Encoder]], key: str, text: str = "text", model: str = "model", task: str = "task", hints: dict[str, dict[str, dict[str, str]]] = HINTS) -> DataFrame:
+    """key, model, task, embedding: each request by its own model, with the hints of its task.
+
+    A worker loads a model when it first meets it and keeps it for later batches, tasks and queries with the same loader.
+    A model without loader is an error; a null text is an empty one.
+    """
+    keys = {name: (name, hashlib.sha256(cloudpickle.dumps(load)).hexdigest()) for name, load in loaders.items()}
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for (name, kind), part in f.groupby(["model", "task"], sort=False, dropna=False):
+                if name not in loaders:
+                    raise KeyError(f"no loader for model {name}")
+                encoder = held_encoder(keys[name], loaders[name])
+                kind = None if pd.isna(kind) else kind
+                found = np.asarray(encoder(part["t"].tolist(), **hints.get(kind, {}).get(name, {})), float)
+                same = lambda x, n=len(part): pd.Series([x] * n, dtype=object)
+                yield pd.DataFrame({"id": part["id"].to_numpy(), "model": same(name), "task": same(kind), "embedding": list(found)})
+
+    d = requests.select(F.col(key).cast("long").alias("id"), F.col(model).alias("model"), F.col(task).alias("task"), F.coalesce(text, F.lit("")).alias("t"))
+    return d.mapInPandas(run, "id long, model string, task string, embedding array<double>").withColumnRenamed("id", key)
+
+
+class Indices:
+    """Indices by model and corpus: found at ``path``, or built and saved there, once, and then kept by the executors."""
+
+    def __init__(self, path: str):
+        self.path, self.found = path, {}
+
+    def get(self, spark: SparkSession, model: str, corpus: str, build: Callable[[], DataFrame], key: str = "doc_id") -> DataFrame:
+        if (model, corpus) not in self.found:
+            name = f"{self.path}/index_{corpus}_{model.replace('/', '_')}"
+            self.found[model, corpus] = load_or_build(spark, name, build, key=key).persist()
+        return self.found[model, corpus]
+
+    def release(self) -> None:
+        while self.found:
+            self.found.popitem()[1].unpersist()
+
+
 def build_index(passages: DataFrame, encoder: Encoder, key: str = "doc_id", text: str = "text", title: str | None = None) -> DataFrame:
     """The dense index of a corpus; a title goes before the text."""
     whole = passages.withColumn(text, F.concat_ws(" ", title, text)) if title else passages

@@ -8,14 +8,49 @@ from pyspark.sql import functions as F
 from ..functions.display import CONSOLE
 
 
-def leaderboard(ratings: DataFrame, full: DataFrame, meta: DataFrame, key: str = "model") -> DataFrame:
-    """One row per rated model; unknown metadata is N/A, a model without full rating has 0."""
+def first_rows(meta: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """One row of each key: the first by ``order``, without one the smallest of all its columns."""
+    least = F.min(F.struct(*([order] if order else []), *[c for c in meta.columns if c not in (key, order)])).alias("_row")
+    return meta.groupBy(key).agg(least).select(key, *(F.col(f"_row.{c}").alias(c) for c in meta.columns if c != key))
+
+
+def leaderboard(ratings: DataFrame, full: DataFrame, meta: DataFrame, key: str = "model", order: str | None = None) -> DataFrame:
+    """One row per rated model; unknown metadata is N/A, a model without full rating has 0. Of several metadata rows of a
+    model the first counts (``first_rows``)."""
     other = full.select(key, F.col("rating").alias("rating_full"))
-    columns = [c for c in meta.columns if c != key]
+    meta = first_rows(meta, key, order)
+    columns = [c for c in meta.columns if c not in (key, order)]
     d = ratings.join(other, key, "left").join(meta, key, "left")
     return d.select(*ratings.columns, F.coalesce("rating_full", F.lit(0.0)).alias("rating_full"), *(F.coalesce(F.col(c).cast("string"), F.lit("N/A")).alias(c) for c in columns))
 
 
+#: The published table's columns in order, by the metadata's names.
+PUBLISHED = {
+    "mteb_overall": "MTEB Overall Avg",
+    "mteb_retrieval": "MTEB Retrieval Avg",
+    "mteb_clustering": "MTEB Clustering Avg",
+    "mteb_sts": "MTEB STS Avg",
+    "license": "License",
+    "organization": "Organization",
+    "link": "Link",
+}
+RATINGS = ("Arena Elo rating (anony)", "Arena Elo rating (full)")
+
+
+def published(ratings: DataFrame, full: DataFrame, meta: DataFrame, key: str = "model", order: str | None = None) -> DataFrame:
+    """The published table: key, Model, both ratings, then ``PUBLISHED``; other metadata is dropped.
+
+    A model without metadata has N/A in each column, one whose metadata lacks a column is empty there, one without full
+    rating has 0; models without rating are left out. Columns that the metadata lacks altogether are empty.
+    """
+    meta = first_rows(meta.withColumn("_known", F.lit(True)), key, order)
+    other = full.select(key, F.col("rating").alias("_full"))
+    d = ratings.select(key, "rating").join(other, key, "left").join(meta, key, "left")
+    shown = lambda c: F.when(F.col("_known").isNull(), "N/A").otherwise(F.col(c).cast("string") if c in meta.columns else F.lit(None).cast("string"))
+    scores = [F.col("rating").alias(RATINGS[0]), F.coalesce("_full", F.lit(0.0)).alias(RATINGS[1])]
+    return d.select(F.col(key).alias("key"), F.col(key).alias("Model"), *scores, *(shown(c).alias(name) for c, name in PUBLISHED.items())).orderBy(F.desc(RATINGS[0]), "key")
+
+
 def statistics(rated: DataFrame, samples: DataFrame, counts: DataFrame, most: int = 25, key: str = "model") -> DataFrame:
     """The ``most`` best rated models with their battles and the spread of their sampled ratings (key, rating_q025,
     rating_q975, variance); models without samples or battles have nulls or 0."""
@@ -50,6 +85,14 @@ def interval_strings(df: DataFrame) -> DataFrame:
     return df.withColumns({"ci": F.format_string("+%d/-%d", up.cast("int"), down.cast("int")), "error_y": F.col("rating_q975") - F.col("rating"), "error_y_minus": F.col("rating") - F.col("rating_q025"), "rating_rounded": F.bround("rating", 2)})
 
 
+def error_bars(rated: DataFrame, samples: DataFrame, most: int = 25, key: str = "model") -> DataFrame:
+    """model, lower, rating, upper, error_y, error_y_minus, rating_rounded of the ``most`` best; a model without sampled
+    ratings has no bars."""
+    q = samples.select(key, "rating_q025", "rating_q975")
+    d = interval_strings(rated.select(key, "rating").join(q, key, "left")).orderBy(F.desc("rating"), key).limit(most)
+    return d.select(key, F.col("rating_q025").alias("lower"), "rating", F.col("rating_q975").alias("upper"), "error_y", "error_y_minus", "rating_rounded")
+
+
 def medal_rows(df: DataFrame, value: str = "rating", key: str = "model") -> DataFrame:
     """rank and a markdown row; ranks 1 to 3 carry medals."""
     rank = F.row_number().over(Window.orderBy(F.desc(value), key))

@@ -23,15 +23,26 @@ def win_fractions(battles: DataFrame) -> DataFrame:
 
 
 def win_fractions_compat(battles: DataFrame) -> DataFrame:
-    """As above, but null wherever one of the four label-aligned count tables lacks the row's or column's label."""
+    """model, opponent, fraction for every pair of models that had a battle without a tie.
+
+    Four count tables, aligned by label, make a cell: wins in either seat over battles in either order. A table has rows
+    for the models that are first in it and columns for those that are second; a cell outside of any of the four is
+    null, and so is one without battles. Tables are turned over by joining them to themselves with the seats changed.
+    """
     d = battles.where(~F.col("winner").contains("tie"))
-    labels = lambda c, w=None: (d.where(w) if w else d).select(F.col(c).alias("m")).distinct()
-    a_rows = labels("model_a").intersect(labels("model_b"))
-    won = labels("model_a", "winner = 'model_a'").intersect(labels("model_b", "winner = 'model_b'"))
-    lost = labels("model_b", "winner = 'model_a'").intersect(labels("model_a", "winner = 'model_b'"))
-    cells = win_fractions(battles)
-    rows, cols = a_rows.intersect(won), a_rows.intersect(lost)
-    return cells.join(rows.withColumnRenamed("m", "model"), "model", "left_semi").join(cols.withColumnRenamed("m", "opponent"), "opponent", "left_semi").select("model", "opponent", "fraction")
+    won = [F.count_if(F.col("winner") == w).alias(n) for w, n in (("model_a", "a_won"), ("model_b", "b_won"))]
+    counts = d.groupBy(F.col("model_a").alias("model"), F.col("model_b").alias("opponent")).agg(*won, F.count(F.lit(1)).alias("n"))
+    turned = counts.select(F.col("opponent").alias("model"), F.col("model").alias("opponent"), F.col("b_won").alias("t_won"), F.col("n").alias("t_n"))
+    cells = counts.drop("b_won").join(turned, ["model", "opponent"], "full_outer")
+    # Which tables a model has a row and a column in.
+    has = lambda seat, w: F.max((F.col("seat") == seat) & F.col("w").isin(*w))
+    seats = d.select(F.explode(F.array(F.struct(F.lit("a").alias("seat"), F.col("model_a").alias("m")), F.struct(F.lit("b").alias("seat"), F.col("model_b").alias("m")))).alias("s"), F.col("winner").alias("w")).select("s.*", "w")
+    any_, a, b = ("model_a", "model_b"), ("model_a",), ("model_b",)
+    known = seats.groupBy("m").agg((has("a", a) & has("b", b) & has("a", any_) & has("b", any_)).alias("row"), (has("b", a) & has("a", b) & has("b", any_) & has("a", any_)).alias("column"))
+    grid = known.select(F.col("m").alias("model"), "row").crossJoin(F.broadcast(known.select(F.col("m").alias("opponent"), "column")))
+    sums = [F.coalesce(x, F.lit(0)) + F.coalesce(y, F.lit(0)) for x, y in (("a_won", "t_won"), ("n", "t_n"))]
+    fraction = F.when(F.col("row") & F.col("column") & (sums[1] > 0), sums[0] / sums[1])
+    return grid.join(cells, ["model", "opponent"], "left").select("model", "opponent", fraction.alias("fraction"))
 
 
 def average_win_rates(battles: DataFrame) -> DataFrame:

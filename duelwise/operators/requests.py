@@ -25,3 +25,13 @@ def route(*selectors: str) -> Column:
 def client_address(header: Column, host: Column) -> Column:
     """The proxy's header if it says anything, else the host, else an empty string."""
     return F.coalesce(F.nullif(header, F.lit("")), host, F.lit(""))
+
+
+def can_be_added(text: Column, added: Column) -> Column:
+    """True for a text that says something and isn't among those of its session yet; a session without texts is null or empty."""
+    return (F.coalesce(text, F.lit("")) != "") & ~F.coalesce(F.array_contains(added, text), F.lit(False))
+
+
+def chat_turns(messages: Column, text: str = "text") -> Column:
+    """An array of structs as user and assistant in turn, whoever spoke; null stays null."""
+    return F.transform(messages, lambda m, i: F.struct(F.when(i % 2 == 0, "user").otherwise("assistant").alias("role"), m[text].alias("content")))

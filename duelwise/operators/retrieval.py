@@ -95,6 +95,13 @@ def triangle(df: DataFrame, a: str, b: str, c: str) -> DataFrame:
     return d.withColumns({"cx": F.col("side_ac") * F.cos(angle), "cy": F.col("side_ac") * F.sin(angle)})
 
 
+def triangle_labels(d: DataFrame) -> DataFrame:
+    """The rows of ``triangle`` once per edge: edge, its rounded length (halves to even) as a label, and its midpoint."""
+    ends = {"ab": (F.col("side_ab"), F.lit(0.0)), "ac": (F.col("cx"), F.col("cy")), "bc": (F.col("side_ab") + F.col("cx"), F.col("cy"))}
+    edge = lambda e, x, y: F.struct(F.lit(e).alias("edge"), F.bround(f"side_{e}", 0).cast("long").cast("string").alias("label"), (x / 2).alias("mid_x"), (y / 2).alias("mid_y"))
+    return d.withColumn("_edge", F.explode(F.array(*(edge(e, *xy) for e, xy in ends.items())))).select(*d.columns, "_edge.*")
+
+
 def project(df: DataFrame, dims: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """key and a ``dims``-dimensional point: principal components of centred vectors, the largest loading positive."""
     rows = df.select(F.col(key), F.posexplode(F.col(vector).cast("array<double>")).alias("i", "x"))

@@ -195,6 +195,7 @@ a AS (SELECT model_a AS model, avg((winner = 'model_a')::INT) AS rating FROM bat
 SELECT a.model, round(a.rating, 6) AS rating, round(coalesce(f.rating, 0), 6) AS rating_full, coalesce(link, 'N/A') AS link, coalesce(organization, 'N/A') AS organization
 FROM a LEFT JOIN f USING (model) LEFT JOIN meta USING (model)""")
 def leaderboard_join_meta(spark, d):
+    """Suppliers 1 to 6 stand for the models' metadata, so that m0 and m7 have none."""
     rated = lambda b: b.groupBy(F.col("model_a").alias("model")).agg(F.round(F.avg((F.col("winner") == "model_a").cast("int")), 6).alias("rating"))
     return leaderboard.leaderboard(rated(anonymous(spark, d)), rated(battles(spark, d)), metadata(spark, d))
 
@@ -459,7 +460,7 @@ def dedup_keep_first(spark, d):
 @query(f"WITH {VOTES_SQL} SELECT event_id FROM votes WHERE NOT contains(CASE WHEN public_a <> '' THEN public_a ELSE hidden_a END, 'm3')")
 def remove_votes_substring(spark, d):
     v = votes_raw(spark, d).withColumn("public_a", F.expr("nullif(public_a, '')"))
-    return clean.remove_model_votes(v, ["public_a", "hidden_a"], "m3").select("event_id")
+    return clean.remove_model_votes(v, ["m3"], ("public_a", "hidden_a"), ()).select("event_id")
 
 
 def places_sql(n: str, m: str, parts: str) -> str:
@@ -654,10 +655,13 @@ def embedding_round_trip(spark, d):
     return e.select("id", F.size("embedding").alias("dims"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double")), 5).alias("total"))
 
 
-@query("SELECT doc_id, text IS NOT NULL AND trim(text) <> '' AS valid, coalesce(nullif(lang, ''), source, '') AS origin, md5('Title: ' || source || chr(10) || 'Passage: ' || text) AS prompt FROM documents")
+@query("""SELECT doc_id, text IS NOT NULL AND trim(text) <> '' AS valid, coalesce(nullif(lang, ''), source, '') AS origin, md5('Title: ' || coalesce(source, '') || chr(10) || chr(10) || 'Abstract: ' || coalesce(text, '')) AS prompt,
+  md5(coalesce(source, '') || chr(10) || chr(10) || coalesce(text, '')) AS passage FROM documents""")
 def prompt_format(spark, d):
-    prompt = F.concat(F.lit("Title: "), F.col("source"), F.lit("\nPassage: "), F.col("text"))
-    return table(spark, d, "documents").select("doc_id", (F.col("text").isNotNull() & (F.trim("text") != "")).alias("valid"), F.coalesce(F.expr("nullif(lang, '')"), "source", F.lit("")).alias("origin"), F.md5(prompt).alias("prompt"))
+    """Documents in the formats of two corpora."""
+    shown = lambda corpus: F.md5(dispatch.shown(corpus, F.col("source"), F.col("text")))
+    valid = F.col("text").isNotNull() & (F.trim("text") != "")
+    return table(spark, d, "documents").select("doc_id", valid.alias("valid"), F.coalesce(F.expr("nullif(lang, '')"), "source", F.lit("")).alias("origin"), shown("arxiv").alias("prompt"), shown("wikipedia").alias("passage"))
 
 
 @query("""SELECT doc_id, trim(coalesce(text, '')) <> '' AND trim(coalesce(source, '')) <> '' AND trim(coalesce(lang, '')) <> ''
@@ -682,7 +686,8 @@ def client_addresses(spark, d):
 @query("""WITH l AS (SELECT o_custkey, max_by(o_orderkey, (o_orderdate, o_orderkey)) AS k FROM orders GROUP BY 1), r AS (SELECT o_custkey, max_by(o_orderkey, (o_totalprice, o_orderkey)) AS k FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1)
 SELECT coalesce(l.o_custkey, r.o_custkey) AS o_custkey, l.k AS left_answer, r.k AS right_answer, coalesce(l.k = r.k, false) AS agree FROM l FULL JOIN r ON l.o_custkey = r.o_custkey""")
 def answer_agreement(spark, d):
-    """Whether each customer's latest order is also their dearest."""
+    """Whether each customer's latest order is also the dearest of those that are settled: two lists that lack some of
+    each other's keys."""
     o = table(spark, d, "orders")
     best = lambda by: F.max_by("o_orderkey", F.struct(by, "o_orderkey")).alias("k")
     return agreement.answers(o.groupBy("o_custkey").agg(best("o_orderdate")), o.where("o_orderstatus <> 'P'").groupBy("o_custkey").agg(best("o_totalprice")), "o_custkey", "k")
@@ -829,7 +834,8 @@ AVERAGES = "av AS (SELECT 'm' || s_suppkey AS model, s_acctbal AS average, row_n
 
 @query(ELO_SQL + f", {AVERAGES}, r AS (SELECT *, row_number() OVER (ORDER BY rating DESC, model) - 1 AS place FROM elo) SELECT r.model, r.rating, k.average AS by_key, p.average AS by_place FROM r LEFT JOIN av k ON k.model = r.model LEFT JOIN av p ON p.place = r.place")
 def leaderboard_averages(spark, d):
-    """Benchmark averages by the model's name, and by rank as the published tables have them."""
+    """Benchmark averages (of suppliers 1 to 7, so that m0 has none) by the model's name, and by rank as the published
+    tables have them."""
     rated = online_elo(spark, d).select("model", "rating")
     s = table(spark, d, "supplier").where("s_suppkey < 8").select(F.expr("concat('m', s_suppkey)").alias("model"), "s_acctbal", "s_suppkey")
     place = F.row_number().over(Window.orderBy("s_suppkey")) - 1
@@ -905,3 +911,145 @@ def retrieval_pairs(spark, d):
     found = dispatch.retrieve_pair(table(spark, d, "benchmark").select("item_id", "text", *names), docs.drop("source"), "stackexchange", models)
     shown = docs.select("doc_id", dispatch.shown("arxiv", F.col("source"), F.col("text")).alias("p"))
     return found.join(shown, "doc_id").select("item_id", "side", "model", "doc_id", F.md5("p").alias("passage"))
+
+
+@query(f"""WITH {BATTLES_SQL}, b AS (SELECT * FROM battles WHERE model_a <> 'm6' AND model_b <> 'm7' AND winner NOT LIKE '%tie%'),
+m AS (SELECT DISTINCT unnest([model_a, model_b]) AS m FROM b), g AS (SELECT x.m AS r, y.m AS c FROM m x, m y),
+aw AS (SELECT r.m AS r, c.m AS c, count(b.winner) AS n FROM (SELECT DISTINCT model_a AS m FROM b WHERE winner = 'model_a') r CROSS JOIN (SELECT DISTINCT model_b AS m FROM b WHERE winner = 'model_a') c LEFT JOIN b ON b.model_a = r.m AND b.model_b = c.m AND b.winner = 'model_a' GROUP BY ALL),
+bw AS (SELECT r.m AS r, c.m AS c, count(b.winner) AS n FROM (SELECT DISTINCT model_a AS m FROM b WHERE winner = 'model_b') r CROSS JOIN (SELECT DISTINCT model_b AS m FROM b WHERE winner = 'model_b') c LEFT JOIN b ON b.model_a = r.m AND b.model_b = c.m AND b.winner = 'model_b' GROUP BY ALL),
+nn AS (SELECT r.m AS r, c.m AS c, count(b.winner) AS n FROM (SELECT DISTINCT model_a AS m FROM b) r CROSS JOIN (SELECT DISTINCT model_b AS m FROM b) c LEFT JOIN b ON b.model_a = r.m AND b.model_b = c.m GROUP BY ALL)
+SELECT g.r AS model, g.c AS opponent, round((aw.n + bw.n) / nullif(n1.n + n2.n, 0), 6) AS fraction FROM g LEFT JOIN aw ON aw.r = g.r AND aw.c = g.c LEFT JOIN bw ON bw.r = g.c AND bw.c = g.r
+  LEFT JOIN nn n1 ON n1.r = g.r AND n1.c = g.c LEFT JOIN nn n2 ON n2.r = g.c AND n2.c = g.r""")
+def compat_fractions(spark, d):
+    """The label-aligned matrix where one model was never first and another never second: their cells are null."""
+    b = battles(spark, d).where("model_a <> 'm6' AND model_b <> 'm7'")
+    return matrix.win_fractions_compat(b).withColumn("fraction", F.round("fraction", 6))
+
+
+@query(ANON + f""", p AS (SELECT row_number() OVER (ORDER BY battle_id) - 1 AS place, substr(model_a, 2)::INT + 1 AS a, substr(model_b, 2)::INT + 1 AS b2, CASE winner WHEN 'model_a' THEN 1.0::DOUBLE WHEN 'model_b' THEN 0.0::DOUBLE ELSE 0.5::DOUBLE END AS s FROM b), t AS (SELECT count(*) AS n FROM b),
+dr AS (SELECT r.range AS round, i.range AS i, ('0x' || substr(md5(r.range || '-' || i.range), 1, 8))::BIGINT % t.n AS place FROM t, range({ROUNDS}) r, range((SELECT n FROM t)) i),
+l AS (SELECT round, list({{'r': NULL::DOUBLE[], 'a': a, 'b': b2, 's': s}} ORDER BY i) AS bs FROM dr JOIN p USING (place) GROUP BY round),
+f AS (SELECT round, bs, list_reduce(list_prepend({{'r': [1000.0::DOUBLE, 1000, 1000, 1000, 1000, 1000, 1000, 1000], 'a': 0, 'b': 0, 's': 0.0::DOUBLE}}, bs), lambda acc, x:
+  {{'r': list_transform(acc.r, lambda v, k: CASE WHEN k = x.a THEN v + 4 * (x.s - 1 / (1 + pow(10, (acc.r[x.b] - acc.r[x.a]) / 400))) WHEN k = x.b THEN v - 4 * (x.s - 1 / (1 + pow(10, (acc.r[x.b] - acc.r[x.a]) / 400))) ELSE v END), 'a': 0, 'b': 0, 's': 0.0::DOUBLE}}).r AS r FROM l),
+m AS (SELECT round, unnest(list_distinct(list_concat(list_transform(bs, lambda x: x.a), list_transform(bs, lambda x: x.b)))) AS k FROM l)
+SELECT 'm' || (k - 1) AS model, trunc(quantile_cont(r[k], 0.5) + 0.5)::INT AS rating FROM m JOIN f USING (round) GROUP BY k""")
+def elo_medians(spark, d):
+    """The other rating system: online Elo over each round's draws, the rounded median of the rounds."""
+    return ratings.rate(anonymous(spark, d), "elo", ROUNDS)
+
+
+SAMPLED = "q AS (SELECT 'm' || (user_id % 8) AS model, 1000 + quantile_cont(value, 0.025) AS lower, 1000 + quantile_cont(value, 0.975) AS upper FROM events GROUP BY 1)"
+
+
+@query(ELO_SQL + f", {SAMPLED} SELECT model, round(lower, 6) AS lower, rating, round(upper, 6) AS upper, round(upper - rating, 3) AS error_y, round(rating - lower, 3) AS error_y_minus, round_even(rating, 2) AS rating_rounded FROM elo JOIN q USING (model)")
+def rating_error_bars(spark, d):
+    """Bars from the spread of sampled ratings (here the events' values, moved to the ratings' scale)."""
+    e = table(spark, d, "events").select(F.expr("concat('m', user_id % 8)").alias("model"), (F.col("value") + 1000).alias("rating"))
+    out = leaderboard.error_bars(online_elo(spark, d).select("model", "rating"), ratings.bootstrap_quantiles(e))
+    return out.select("model", F.round("lower", 6).alias("lower"), "rating", F.round("upper", 6).alias("upper"), F.round("error_y", 3).alias("error_y"), F.round("error_y_minus", 3).alias("error_y_minus"), "rating_rounded")
+
+
+#: Several rows a model, some without an average; m3 and m6 have none at all.
+MANY_META = """meta AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY p_partkey) AS r FROM (SELECT p_partkey, 'm' || (p_partkey % 8) AS model, p_name AS link, p_brand AS organization, p_type AS license, CASE WHEN p_size > 9 THEN p_retailprice END AS mteb_overall FROM part) WHERE model NOT IN ('m3', 'm6'))"""
+
+
+def many_metadata(spark, d):
+    p = table(spark, d, "part").selectExpr("p_partkey", "concat('m', p_partkey % 8) AS model", "p_name AS link", "p_brand AS organization", "p_type AS license", "CASE WHEN p_size > 9 THEN p_retailprice END AS mteb_overall", "p_size AS starting_from")
+    return p.where("model NOT IN ('m3', 'm6')")
+
+
+@query(ELO_SQL + f""", {MANY_META}, known AS (SELECT * FROM elo WHERE model <> 'm2')
+SELECT elo.model AS "key", elo.model AS "Model", elo.rating AS "Arena Elo rating (anony)", coalesce(k.rating, 0) AS "Arena Elo rating (full)", CASE WHEN m.model IS NULL THEN 'N/A' WHEN mteb_overall IS NOT NULL THEN printf('%.2f', mteb_overall) END AS "MTEB Overall Avg",
+  CASE WHEN m.model IS NULL THEN 'N/A' END AS "MTEB Retrieval Avg", CASE WHEN m.model IS NULL THEN 'N/A' END AS "MTEB Clustering Avg", CASE WHEN m.model IS NULL THEN 'N/A' END AS "MTEB STS Avg",
+  CASE WHEN m.model IS NULL THEN 'N/A' ELSE license END AS "License", CASE WHEN m.model IS NULL THEN 'N/A' ELSE organization END AS "Organization", CASE WHEN m.model IS NULL THEN 'N/A' ELSE link END AS "Link"
+FROM elo LEFT JOIN known k ON k.model = elo.model LEFT JOIN meta m ON m.model = elo.model AND m.r = 1""")
+def published_leaderboard(spark, d):
+    """The published columns; the first of a model's metadata rows counts, the columns not asked for are dropped."""
+    rated = online_elo(spark, d).select("model", "rating")
+    meta = many_metadata(spark, d).withColumn("mteb_overall", F.when(F.col("mteb_overall").isNotNull(), F.format_string("%.2f", "mteb_overall")))
+    return leaderboard.published(rated, rated.where("model <> 'm2'"), meta, order="p_partkey")
+
+
+@query(ELO_SQL + f", {MANY_META} SELECT elo.model, rating, rating AS rating_full, coalesce(link, 'N/A') AS link, coalesce(organization, 'N/A') AS organization FROM elo LEFT JOIN meta m ON m.model = elo.model AND m.r = 1")
+def leaderboard_first_match(spark, d):
+    """One board row a model, whatever the number of its metadata rows."""
+    rated = online_elo(spark, d).select("model", "rating")
+    return leaderboard.leaderboard(rated, rated, many_metadata(spark, d).select("p_partkey", "model", "link", "organization"), order="p_partkey")
+
+
+@query(STATUS + """ SELECT model_a, model_b, CASE type WHEN 'leftvote' THEN 'model_a' WHEN 'rightvote' THEN 'model_b' WHEN 'tievote' THEN 'tie' ELSE 'tie (bothbad)' END AS winner, 'user_' || ip AS judge, anony, tstamp FROM st WHERE status = 'ok'""")
+def simple_battles(spark, d):
+    return clean.clean_battles(statuses(spark, d), mode="simple")
+
+
+@query(f"WITH {VOTES_SQL} SELECT event_id FROM votes WHERE NOT (contains(hidden_a, 'm3') OR contains(hidden_a, 'm5') OR contains(hidden_b, 'm3') OR contains(hidden_b, 'm5'))")
+def remove_votes_either_side(spark, d):
+    """Votes between two models go if either is to go."""
+    v = votes_raw(spark, d).withColumnsRenamed({"hidden_a": "0_model_name", "hidden_b": "1_model_name"})
+    return clean.remove_model_votes(v, ["m3", "m5"]).select("event_id")
+
+
+@query(STATUS + """, k AS (SELECT * FROM st WHERE status <> 'other_task'), l AS (SELECT to_timestamp(max(tstamp)) AT TIME ZONE 'UTC' AS u FROM k WHERE status = 'ok')
+SELECT count(*) AS n_votes, count_if(status = 'invalid') AS n_invalid, count_if(status = 'mismatch') AS n_mismatch, count_if(status = 'banned') AS n_banned, count_if(status = 'ok') AS n_battles, count_if(anony AND status IN ('excluded', 'banned', 'ok')) AS n_anony,
+  (SELECT count(DISTINCT m) FROM (SELECT unnest([model_a, model_b]) AS m FROM k WHERE status = 'ok'))::INT AS n_models,
+  (SELECT strftime(timezone('America/Los_Angeles', timezone('UTC', u)), '%Y-%m-%d %H:%M:%S ') || CASE WHEN epoch(u) - epoch(timezone('America/Los_Angeles', timezone('UTC', u))) = 28800 THEN 'PST' ELSE 'PDT' END FROM l) AS last_updated FROM k""")
+def cleaning_counters(spark, d):
+    return clean.counters(statuses(spark, d))
+
+
+@query("""WITH s AS (SELECT conv_id, turn, text, list(text) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS added FROM conversations)
+SELECT conv_id, turn, coalesce(text, '') <> '' AND NOT coalesce(list_contains(added, text), false) AS new FROM s""")
+def new_texts(spark, d):
+    """Whether a turn's text can be added to those of its conversation so far."""
+    before = F.collect_list("text").over(Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1))
+    return table(spark, d, "conversations").withColumn("added", before).select("conv_id", "turn", requests.can_be_added(F.col("text"), F.col("added")).alias("new"))
+
+
+@query("""WITH c AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn) AS ms FROM conversations GROUP BY 1)
+SELECT conv_id, string_agg(CASE WHEN i % 2 = 1 THEN 'user' ELSE 'assistant' END || ': ' || md5(ms[i].text), '|' ORDER BY i) AS turns FROM (SELECT conv_id, ms, unnest(range(1, len(ms) + 1)) AS i FROM c) GROUP BY 1""")
+def chat_turn_arrays(spark, d):
+    """Each conversation as one array of alternating roles."""
+    c = table(spark, d, "conversations").groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))), lambda m: F.struct(m["role"].alias("role"), m["text"].alias("text"))).alias("ms"))
+    return c.select("conv_id", F.array_join(F.transform(requests.chat_turns(F.col("ms")), lambda t: F.concat(t["role"], F.lit(": "), F.md5(t["content"]))), "|").alias("turns"))
+
+
+@query("""WITH t AS (SELECT a.vec_id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS ab, list_cosine_similarity(a.embedding::DOUBLE[], c.embedding::DOUBLE[]) AS ac, list_cosine_similarity(b.embedding::DOUBLE[], c.embedding::DOUBLE[]) AS bc
+  FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 JOIN embeddings c ON c.vec_id = a.vec_id + 2),
+s AS (SELECT vec_id, 200 * (1 - 0.5 * (ab - l) / nullif(h - l, 0)) AS sab, 200 * (1 - 0.5 * (ac - l) / nullif(h - l, 0)) AS sac, 200 * (1 - 0.5 * (bc - l) / nullif(h - l, 0)) AS sbc FROM (SELECT *, least(ab, ac, bc) AS l, greatest(ab, ac, bc) AS h FROM t)),
+g AS (SELECT *, acos(greatest(-1, least(1, (sab * sab + sac * sac - sbc * sbc) / (2 * sab * sac)))) AS w FROM s), p AS (SELECT *, sac * cos(w) AS cx, sac * sin(w) AS cy FROM g)
+SELECT vec_id, 'ab' AS edge, round_even(sab, 0)::BIGINT::VARCHAR AS label, round(sab / 2, 4) AS mid_x, 0.0::DOUBLE AS mid_y FROM p UNION ALL SELECT vec_id, 'ac', round_even(sac, 0)::BIGINT::VARCHAR, round(cx / 2, 4), round(cy / 2, 4) FROM p
+UNION ALL SELECT vec_id, 'bc', round_even(sbc, 0)::BIGINT::VARCHAR, round((sab + cx) / 2, 4), round(cy / 2, 4) FROM p""")
+def triangle_edges(spark, d):
+    e = table(spark, d, "embeddings")
+    shifted = lambda k, n: e.select((F.col("vec_id") - k).alias("vec_id"), F.col("embedding").alias(n))
+    t = e.select("vec_id", F.col("embedding").alias("a")).join(shifted(1, "b"), "vec_id").join(shifted(2, "c"), "vec_id")
+    t = retrieval.triangle_labels(retrieval.triangle(t, "a", "b", "c"))
+    return t.select("vec_id", "edge", "label", F.round("mid_x", 4).alias("mid_x"), F.round("mid_y", 4).alias("mid_y"))
+
+
+INDEX_MODELS = "SELECT DISTINCT CASE WHEN p_size % 5 = 0 THEN 'text-embedding-004' WHEN p_size % 5 = 1 THEN 'Salesforce/SFR-Embedding-2_R' ELSE 'org/' || p_brand || ' v1.5' END AS model FROM part"
+
+
+@query(f"""WITH c AS (SELECT r_name, CASE r_name WHEN 'ASIA' THEN 'wikipedia' WHEN 'EUROPE' THEN 'stackexchange' ELSE lower(r_name) END AS corpus FROM region),
+i AS (SELECT model, corpus, replace('index_' || corpus || '_' || replace(replace(model, '/', '__'), ' ', '_'), '.', '_') AS index_name FROM ({INDEX_MODELS}), c)
+SELECT *, CASE WHEN index_name IN ('index_stackexchange_Salesforce__SFR-Embedding-2_R', 'index_stackexchange_text-embedding-004', 'index_wikipedia_text-embedding-004') THEN 'us-central1' WHEN corpus IN ('wikipedia', 'stackexchange') THEN 'us-east1' ELSE 'us-central1' END AS region FROM i""")
+def index_regions(spark, d):
+    """Where the index of each model and corpus is kept; both are short lists."""
+    m = table(spark, d, "part").selectExpr("CASE WHEN p_size % 5 = 0 THEN 'text-embedding-004' WHEN p_size % 5 = 1 THEN 'Salesforce/SFR-Embedding-2_R' ELSE concat('org/', p_brand, ' v1.5') END AS model").distinct()
+    c = table(spark, d, "region").selectExpr("CASE r_name WHEN 'ASIA' THEN 'wikipedia' WHEN 'EUROPE' THEN 'stackexchange' ELSE lower(r_name) END AS corpus")
+    name = display.index_name(F.col("model"), F.col("corpus"))
+    return m.crossJoin(F.broadcast(c)).select("model", "corpus", name.alias("index_name"), display.region(name, F.col("corpus")).alias("region"))
+
+
+HINTED = """WITH r AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'text-embedding-004' WHEN 1 THEN 'nomic-ai/nomic-embed-text-v1.5' ELSE 'plain' END AS model, CASE doc_id % 2 WHEN 0 THEN 'clustering' ELSE 'sts' END AS task, text FROM documents),
+h AS (SELECT *, coalesce(text, '') || CASE WHEN model = 'plain' THEN '' WHEN task = 'clustering' THEN ' clustering' WHEN model = 'text-embedding-004' THEN ' semantic_similarity' ELSE ' classification' END AS t FROM r),
+hw AS (SELECT doc_id, unnest(regexp_extract_all(lower(t), '[\\p{L}\\p{N}_]{2,}')) AS term FROM h), hv AS (SELECT doc_id, ('0x' || substr(md5(term), 1, 8))::BIGINT % 64 AS i, count(*) AS x FROM hw GROUP BY ALL), hn AS (SELECT doc_id, sqrt(sum(x * x)) AS size FROM hv GROUP BY 1)"""
+
+
+@query(HINTED + " SELECT doc_id, model, task, round(coalesce(sum(x / size * (i + 1)), 0), 6) AS digest FROM h LEFT JOIN hv USING (doc_id) LEFT JOIN hn USING (doc_id) GROUP BY ALL")
+def hinted_encodings(spark, d):
+    """Documents as requests to three models for two tasks, encoded with the hints of both."""
+    r = table(spark, d, "documents").selectExpr("doc_id", "CASE doc_id % 3 WHEN 0 THEN 'text-embedding-004' WHEN 1 THEN 'nomic-ai/nomic-embed-text-v1.5' ELSE 'plain' END AS model", "CASE doc_id % 2 WHEN 0 THEN 'clustering' ELSE 'sts' END AS task", "text")
+    loaders = dict.fromkeys(("text-embedding-004", "nomic-ai/nomic-embed-text-v1.5", "plain"), dispatch.HashedWords)
+    e = dispatch.encode_requests(r, loaders, "doc_id")
+    return e.select("doc_id", "model", "task", F.round(F.aggregate(F.transform("embedding", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x), 6).alias("digest"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.display import cutoff_date
+
 #: The keys of a vote record that the cleaner reads.
 VOTE_SCHEMA = "tstamp double, task_type string, type string, models array<string>, ip string, `0_conv_id` string, `0_model_name` string, `1_conv_id` string, `1_model_name` string"
 ACTIVITY_SCHEMA = "type string, tstamp double, model string, models array<string>"
@@ -40,8 +42,13 @@ def read_battles(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(BATTLE_SCHEMA).option("multiLine", True).json(path)
 
 
-def write_battles(battles: DataFrame, path: str) -> None:
+def write_battles(battles: DataFrame, path: str, cutoff: str | None = None) -> None:
+    """JSON lines; with ``cutoff``, a path, also the local date of the last battle, as a file of one line. Battles without
+    a time have no date: the file is empty then."""
     battles.write.mode("overwrite").json(path)
+    if cutoff:
+        last = battles.agg(F.max("tstamp").alias("t")).where("t IS NOT NULL")
+        last.select(cutoff_date(F.timestamp_seconds("t"))).coalesce(1).write.mode("overwrite").text(cutoff)
 
 
 def write_bundle(tables: dict[str, DataFrame], path: str, cutoff_date: str, task: str, scope: str) -> None:
@@ -62,17 +69,59 @@ def write_leaderboard(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
-def task_of(path: Column) -> Column:
-    """The task that a result file's name holds; other names are an error."""
-    return F.when(path.contains("clustering"), "clustering").when(path.contains("retrieval"), "retrieval").when(path.contains("sts"), "sts").otherwise(F.raise_error(F.concat(F.lit("no task in "), path)))
+#: How names of result files begin or end, by kind.
+KINDS = {"ratings": "elo_results_*", "leaderboard": "*_leaderboard.csv"}
 
 
-def read_passages(spark: SparkSession, paths: str | list[str], most: int = -1) -> DataFrame:
-    """Passage JSONL (gzip too); a section extends the title; blank lines are null passages."""
-    lines = spark.read.text(paths)
-    p = F.from_json("value", "id string, title string, section string, text string")
-    d = lines.select(p.alias("p")).select("p.id", F.when(F.length("p.section") > 0, F.concat_ws(": ", "p.title", "p.section")).otherwise(F.col("p.title")).alias("title"), "p.text")
-    return d.limit(most) if most > 0 else d
+def task_of(path: Column) -> Column:
+    """The task that a result file's name holds; other names are an error."""
+    name = F.element_at(F.split(path, "/"), -1)
+    return F.when(name.contains("clustering"), "clustering").when(name.contains("retrieval"), "retrieval").when(name.contains("sts"), "sts").otherwise(F.raise_error(F.concat(F.lit("no task in "), path)))
+
+
+def find_results(spark: SparkSession, path: str) -> DataFrame:
+    """(kind, task, path) of the result files right in a folder: of each kind and task the last by name. Lists files,
+    reads none; a file of a kind whose name has no task is an error."""
+    found = None
+    for kind, pattern in KINDS.items():
+        part = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select(F.lit(kind).alias("kind"), task_of(F.col("path")).alias("task"), "path")
+        found = part if found is None else found.unionAll(part)
+    return found.groupBy("kind", "task").agg(F.max("path").alias("path"))
+
+
+def numbered_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(line, value): the lines of files in the order of ``paths`` (those of a folder by name), numbered from 0 throughout.
+
+    A line's number is what lies before its block of the file, by the blocks' counts, and its place in the block, which
+    is contiguous in its partition; lines don't move, only a row per block does. Gzip files are one block each.
+    """
+    parts = [spark.read.text(path).select("value", F.lit(i).alias("_path"), "_metadata.file_path", "_metadata.file_block_start") for i, path in enumerate([paths] if isinstance(paths, str) else paths)]
+    lines = parts[0]
+    for p in parts[1:]:
+        lines = lines.unionAll(p)
+    block = ["_path", "file_path", "file_block_start"]
+    lines = lines.withColumn("_at", F.monotonically_increasing_id())
+    counts = lines.groupBy(*block).agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select(*block, (before - F.col("_first")).alias("_offset"))
+    return lines.join(offsets, block).select((F.col("_at") + F.col("_offset")).alias("line"), "value")
+
+
+def read_passages(spark: SparkSession, paths: str | list[str], most: int = -1, shard: tuple[int, int] | None = None) -> DataFrame:
+    """id, title, text of passage JSONL (gzip too); a section extends the title; blank lines are null passages.
+
+    ``most`` reads the first lines only; ``shard`` (rank, workers) every ``workers``-th line from ``rank`` on, so that the
+    shards of all ranks are the whole, without overlap.
+    """
+    if most >= 0 or shard:
+        lines = numbered_lines(spark, paths)
+        lines = lines.where(F.col("line") < most) if most >= 0 else lines
+        lines = lines.where(F.col("line") % shard[1] == shard[0]) if shard else lines
+    else:
+        lines = spark.read.text(paths)
+    p = F.from_json(F.when(F.trim("value") != "", F.col("value")), "id string, title string, section string, text string, _id string")
+    title = F.when(F.length("p.section") > 0, F.concat_ws(": ", "p.title", "p.section")).otherwise(F.col("p.title"))
+    return lines.select(p.alias("p")).select(F.coalesce("p.id", "p._id").alias("id"), title.alias("title"), "p.text")
 
 
 def read_corpus(df: DataFrame, columns: dict[str, str], limit: int | None = None) -> DataFrame:
