@@ -168,8 +168,8 @@ def pack(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "tex
         enc, place = encoder(vocabulary, True), 0
         for batch in batches:
             rows = []
-            for doc, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.append(enc.ids(t or ""), enc.kind(end)).astype("<u4")
+            for doc, ids in zip(batch.column(0).to_pylist(), enc.rows(batch.column(1)), strict=True):
+                ids = np.append(ids, enc.kind(end)).astype("<u4")
                 place += 1
                 cuts = [0, *range(len(ids) % length or length, len(ids) + 1, length)]
                 crcs = [zlib.crc32(ids[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]

@@ -103,8 +103,8 @@ def pack(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "tex
         width = np.dtype(enc.kind).itemsize
         for batch in batches:
             rows = []
-            for doc, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.append(enc.ids(t or ""), enc.kind(end))
+            for doc, ids in zip(batch.column(0).to_pylist(), enc.rows(batch.column(1)), strict=True):
+                ids = np.append(ids, enc.kind(end))
                 n, place = len(ids) // length, place + 1
                 full = np.array([zlib.crc32(ids[k * length : (k + 1) * length].astype("<u4")) for k in range(n)], np.uint32)
                 g = (zlib.crc32(ids.tobytes(), zlib.crc32(str(doc).encode())) + place) % groups

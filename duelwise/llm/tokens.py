@@ -127,18 +127,17 @@ def write_shards(docs: DataFrame, scratch: Scratch, vocabulary: str, key: str =
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, shard = encoder(vocabulary, False), TaskContext.get().partitionId(), 0
-        last = np.array([end], enc.kind).tobytes()
+        last = np.array([end], enc.kind)
         ids, doc_ids, lengths, total = [], [], [], 0
 
         def close() -> pa.RecordBatch:
-            row = WaveletMatrix.build(np.frombuffer(b"".join(ids), enc.kind)).row()
+            row = WaveletMatrix.build(np.concatenate(ids)).row()
             row |= {"part": part, "shard": shard, "doc_ids": doc_ids, "lengths": np.array(lengths, np.uint32).tobytes()}
             return pa.RecordBatch.from_pylist([row], schema=arrow_schema(SHARD))
 
         for batch in batches:
-            for doc, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                x = enc.ids(t or "")
-                ids += [x.tobytes(), last]
+            for doc, x in zip(batch.column(0).to_pylist(), enc.rows(batch.column(1)), strict=True):
+                ids += [x, last]
                 doc_ids.append(doc)
                 lengths.append(len(x) + 1)
                 total += len(x) + 1
