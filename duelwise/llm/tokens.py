@@ -38,13 +38,12 @@ class WaveletMatrix:
         planes = np.zeros((bits, -(-len(ids) // BLOCK) * (BLOCK // 8)), np.uint8)
         zeros, x = np.zeros(bits, np.int64), ids
         for k in range(bits):
-            bit = (x >> x.dtype.type(bits - 1 - k)) & x.dtype.type(1)
-            packed = np.packbits(bit.view(np.uint8)[:: x.dtype.itemsize], bitorder="little")
+            one = (x & x.dtype.type(1 << bits - 1 - k)) != 0
+            packed = np.packbits(one, bitorder="little")
             planes[k, : len(packed)] = packed
-            one = bit.astype(bool)
-            low = x[~one]
+            low = np.compress(~one, x)
             zeros[k] = len(low)
-            x = np.concatenate([low, x[one]])
+            x = np.concatenate([low, np.compress(one, x)])
         ones = np.bitwise_count(planes).reshape(bits, -1, BLOCK // 8).sum(axis=2, dtype=np.uint32)
         ranks = np.zeros((bits, ones.shape[1] + 1), np.uint32)
         np.cumsum(ones, axis=1, out=ranks[:, 1:])
@@ -109,8 +108,8 @@ class WaveletMatrix:
         for k in reversed(range(self.bits)):
             one = np.unpackbits(self.planes[k], bitorder="little")[: self.n].astype(bool)
             up, z = np.empty_like(x), int(self.zeros[k])
-            up[~one] = x[:z]
-            up[one] = x[z:] | x.dtype.type(1 << (self.bits - 1 - k))
+            up[np.flatnonzero(~one)] = x[:z]
+            up[np.flatnonzero(one)] = x[z:] | x.dtype.type(1 << (self.bits - 1 - k))
             x = up
         return x
 
