@@ -103,6 +103,33 @@ class WaveletMatrix:
             i = b * BLOCK + int(np.flatnonzero(bit == one)[want - int(at[b])])
         return i
 
+    def _ones_at(self, k: int, at: np.ndarray) -> np.ndarray:
+        """Ones before each of many positions of plane k."""
+        byte = at >> 3
+        before = np.concatenate([[0], np.cumsum(np.bitwise_count(self.planes[k]), dtype=np.int64)])
+        held = np.append(self.planes[k], np.uint8(0))[byte] & ((1 << (at & 7)) - 1).astype(np.uint8)
+        return before[byte] + np.bitwise_count(held)
+
+    def access_many(self, at: np.ndarray) -> np.ndarray:
+        """The ids at many positions."""
+        at, value = at.astype(np.int64), np.zeros(len(at), np.int64)
+        for k in range(self.bits):
+            one, ones = (self.planes[k][at >> 3] >> (at & 7) & 1).astype(bool), self._ones_at(k, at)
+            value = value << 1 | one
+            at = np.where(one, self.zeros[k] + ones, at - ones)
+        return value
+
+    def rank_many(self, token: int, at: np.ndarray) -> np.ndarray:
+        """Occurrences of the token before each of many positions."""
+        if token < 0 or token >> self.bits:
+            return np.zeros(len(at), np.int64)
+        first, at = 0, at.astype(np.int64)
+        for k in range(self.bits):
+            one = token >> (self.bits - 1 - k) & 1
+            ones, start = self._ones_at(k, at), self._ones(k, first)
+            at, first = (int(self.zeros[k]) + ones, int(self.zeros[k]) + start) if one else (at - ones, first - start)
+        return at - first
+
     def decode(self) -> np.ndarray:
         x = np.zeros(self.n, np.uint16 if self.bits <= 16 else np.uint32)
         for k in reversed(range(self.bits)):
@@ -118,7 +145,9 @@ def write_shards(docs: DataFrame, scratch: Scratch, vocabulary: str, key: str =
     """Encode whole texts in ascending order of the key (null first) and write the shards; returns the written table.
 
     A range of keys is one task; a shard closes at the first document end beyond ``shard_tokens``, so memory holds one
-    shard. Null text is empty and has only the end id; rows of one key are ordered by text.
+    shard, and a longer text is a shard of its own. Null text is empty and has only the end id; rows of one key are
+    ordered by text, repeated rows are written each; other columns, whatever their names, play no part; an empty table
+    gives no shards.
     """
     spark = docs.sparkSession
     bound_batches(spark)
@@ -150,22 +179,24 @@ def write_shards(docs: DataFrame, scratch: Scratch, vocabulary: str, key: str =
     return scratch.save(ordered.mapInArrow(write, SHARD), "shards")
 
 
-def read_shards(shards: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document, from the shards alone."""
+def read_shards(shards: DataFrame, end: int = END) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32, last_id, end_ids of every document, from the shards alone: its ids are
+    decoded, the last one is read by access, and the end ids in it are counted by rank."""
     spark = shards.sparkSession
     bound_batches(spark)
-    out = "part int, shard int, doc_id long, local long, n_tokens long, ids_crc32 long"
+    out = "part int, shard int, doc_id long, local long, n_tokens long, ids_crc32 long, last_id long, end_ids long"
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = arrow_schema(out)
         for batch in batches:
             for row in batch.to_pylist():
-                ids = WaveletMatrix.of(row).decode().astype("<u4")
+                held = WaveletMatrix.of(row)
+                ids = held.decode().astype("<u4")
                 lengths = np.frombuffer(row["lengths"], np.uint32).astype(np.int64)
                 ends = np.cumsum(lengths)
                 crc = [zlib.crc32(ids[b - n : b]) for b, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
-                m = len(crc)
-                yield arrow_batch(schema, [[row["part"]] * m, [row["shard"]] * m, row["doc_ids"], ends - lengths, lengths, crc])
+                m, seen = len(crc), held.rank_many(end, np.concatenate([[0], ends]))
+                yield arrow_batch(schema, [[row["part"]] * m, [row["shard"]] * m, row["doc_ids"], ends - lengths, lengths, crc, held.access_many(ends - 1), np.diff(seen)])
 
     sums = shards.groupBy("part").agg(F.sum("n").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -173,7 +204,7 @@ def read_shards(shards: DataFrame) -> DataFrame:
     inside = F.coalesce(F.sum("n").over(Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = shards.select("part", "shard", inside.alias("inside")).join(base, "part").select("part", "shard", (F.col("base") + F.col("inside")).alias("at"))
     rows = shards.mapInArrow(read, out).join(starts, ["part", "shard"])
-    return rows.select("doc_id", (F.col("at") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
+    return rows.select("doc_id", (F.col("at") + F.col("local")).alias("start"), "n_tokens", "ids_crc32", "last_id", "end_ids")
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

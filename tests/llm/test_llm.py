@@ -368,7 +368,7 @@ def test_token_shards(spark, docs, empty):
     t, at, want = Tokenizer.from_file(path), 0, []
     for r in sorted(docs.collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["text"] or "")):
         ids = [*t.encode(r["text"] or "", add_special_tokens=False).ids, 1]
-        want.append((r["doc_id"], at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        want.append((r["doc_id"], at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), 1, ids.count(1)))
         at += len(ids)
     got = tokens.read_shards(tokens.write_shards(docs, Scratch(spark, "t"), path, shard_tokens=500))
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
@@ -385,6 +385,10 @@ def test_wavelet_matrix(kind):
         assert w.count(t) == len(at) and w.rank(t, 777) == (x[:777] == t).sum()
         assert [w.select(t, k) for k in range(len(at))] == at.tolist()
     assert w.count(1 << 15) == 0
+    at = np.concatenate([np.arange(2000), np.random.default_rng(2).integers(0, 2000, 500)])
+    assert (w.access_many(at) == x[at]).all()
+    for t in (0, 5, 299, 301, 1 << 15, -1):
+        assert w.rank_many(t, np.append(at, 2000)).tolist() == [*((x == t).cumsum() - (x == t))[at].tolist(), int((x == t).sum())]
 
 
 def test_packing(docs, empty):
