@@ -22,6 +22,8 @@ from .common import _LOWER, Scratch, bound_batches, table, text_chunks
 TEXTS, SAMPLE, LANDMARKS, RIDGE = 500, 100_000, 256, 1e-2
 #: Tables of up to so many labels are sent to every task.
 BROADCAST_LABELS = 50_000
+#: Sums that come to the driver for a label, whatever the number of tasks.
+SUMS = 16
 SPECTRUM, DIM, ROWS = (1, 2, 3), 1 << 16, 128
 UNKNOWN = "und"
 
@@ -54,11 +56,14 @@ class Model:
     weights: np.ndarray  # landmarks by languages
     bias: np.ndarray
 
-    def scores(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """One-versus-rest values, about 1 for the own language and -1 for others; the kernel's value at the nearest landmark."""
+    def kernel(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
         held = presence(buf, off)
         norm = np.sqrt(np.maximum(np.count_nonzero(held, axis=1), 1)).astype(np.float32)
-        kernel = held[:, self.vocabulary].astype(np.float32) @ self.landmarks / norm[:, None]
+        return held[:, self.vocabulary].astype(np.float32) @ self.landmarks / norm[:, None]
+
+    def scores(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One-versus-rest values, about 1 for the own language and -1 for others; the kernel's value at the nearest landmark."""
+        kernel = self.kernel(buf, off)
         return kernel @ self.weights + self.bias, kernel.max(axis=1)
 
 
@@ -114,8 +119,14 @@ def fit(train: DataFrame, text: str = "text", label: str = "lang", scratch: Scra
         data = [gram.tobytes(), *(v.tobytes() for v in sums.values())]
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([count] * len(names), pa.int64()), pa.array(data, pa.binary())], names=["label", "n", "data"])
 
+    def together(t: pa.Table) -> pa.Table:
+        data = np.sum([np.frombuffer(x) for x in t.column("data").to_pylist()], axis=0)
+        return pa.table({"label": t.column("label").slice(0, 1), "n": pa.array([sum(t.column("n").to_pylist())], pa.int64()), "data": pa.array([data.tobytes()], pa.binary())})
+
+    # Executors add up the tasks' sums, so that what comes to the driver doesn't grow with the number of tasks.
+    parts = rows.select("t", "y").mapInArrow(add, "label string, n long, data binary").withColumn("g", F.spark_partition_id() % SUMS)
     gram, total, sums = 0, 0, {}
-    for r in rows.select("t", "y").mapInArrow(add, "label string, n long, data binary").collect():
+    for r in parts.groupBy("label", "g").applyInArrow(together, "label string, n long, data binary").collect():
         part = np.frombuffer(r["data"])
         if r["label"] is None:
             gram, total = gram + part.reshape(whiten.shape[1] + 1, -1), total + r["n"]
@@ -128,6 +139,25 @@ def fit(train: DataFrame, text: str = "text", label: str = "lang", scratch: Scra
     return Model(languages, vocabulary, landmarks, (whiten @ beta[:-1]).astype(np.float32), beta[-1].astype(np.float32))
 
 
+def least_kin(train: DataFrame, model: Model | None, text: str = "text", label: str = "lang", quantile: float = 0.01, share: float = 0.64) -> float:
+    """How near its nearest landmark a text of the learned languages is at least: ``share`` of a low quantile of the kin
+    that a sample of labelled texts (TEXTS, SAMPLE) has, where a landmark's own kin is that to its nearest other one. 0
+    without a model, or with one landmark."""
+    if model is None or model.landmarks.shape[1] < 2:
+        return 0.0
+    spark = train.sparkSession
+    held = spark.sparkContext.broadcast(model)
+
+    def kin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, buf, off in _blocks(batch.column(0)):
+                near = np.sort(held.value.kernel(buf, off), axis=1)[:, -2:]
+                yield pa.RecordBatch.from_arrays([pa.array(np.where(near[:, 1] > 0.9999, near[:, 0], near[:, 1]).astype(float))], names=["kin"])
+
+    found = sample(train, text, label).where("t <> ''").select("t").mapInArrow(kin, "kin double").approxQuantile("kin", [quantile], 0.0)
+    return share * found[0] if found else 0.0
+
+
 def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i, j, buf, off in _blocks(batch.column(0)):
