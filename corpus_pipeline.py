@@ -16,21 +16,32 @@ from duelwise.llm.common import Scratch
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A text that no language's machine claims at least this much (0 to 1) is rejected, and so is one without a letter.
 LEAST_CLAIM = 0.2
-#: And one less like its nearest landmark than this. Of 3,200 unseen documents of check_s and check_h the least has
-#: 0.239 and one in a thousand under 0.31; random letters in words reach 0.23, encoded bytes 0.17, unlearned scripts 0.05.
-LEAST_KIN = 0.235
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a recognisable language."""
-    model = language.fit(docs.where(F.col("doc_id").isNotNull() & ~language.held_out()))
+    """Rejects documents without a recognisable language: without a letter, claimed by no language, or less like any
+    learned text than the table's own labelled texts are (``language.least_kin``).
+
+    Null, empty and letterless texts are rejected, so are all texts if none is labelled. Rows without doc_id are judged,
+    but not learned from; repeated rows get one answer; very long texts count whole. Columns other than those of documents go, whatever
+    their names. An empty table gives an empty one.
+    """
+    docs = docs.select(*COLUMNS)
+    train = docs.where(F.col("doc_id").isNotNull() & ~language.held_out())
+    model = language.fit(train)
+    least = language.least_kin(train, model)
     found = language.identify(docs, model)
-    return found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_CLAIM) & (F.col("kin") >= LEAST_KIN)).select(*COLUMNS)
+    return found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_CLAIM) & (F.col("kin") >= least)).select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes copied lines; a document that consists of nothing else goes."""
-    found = lines.dedup_lines(docs).where((F.col("n_removed") == 0) | (F.trim("text") != ""))
+    """Removes copied lines; a document that consists of nothing else goes.
+
+    One occurrence of like lines stays, that of the smallest doc_id (null first). Null texts stay null, empty ones empty
+    and lines of white space as they are; repeated rows are one document and lose the same lines; very long lines are
+    compared whole. Columns other than those of documents go. An empty table gives an empty one.
+    """
+    found = lines.dedup_lines(docs.select(*COLUMNS)).where((F.col("n_removed") == 0) | (F.trim("text") != ""))
     return found.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")).select(*COLUMNS)
 
 
@@ -38,8 +49,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Keeps one document of each group of near copies, the one of smallest id (null last), of several rows of that id one.
 
     Documents without words are linked with nothing and stay. An empty table gives an empty one; texts of any length
-    are compared whole.
+    are compared whole. Columns other than those of documents go.
     """
+    docs = docs.select(*COLUMNS)
     scratch = Scratch(spark, "near")
     rows = scratch.save(jaccard.jaccard_rows(docs), "rows")
     best = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "fp")).alias("best")
@@ -57,7 +69,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats or cuts documents, so that each source has the words of its target; the last one taken is cut inside."""
+    """Repeats or cuts documents, so that each source has the words of its target; the last one taken is cut inside.
+
+    A null source is one of its own, the last. Documents without words, null texts too, stay once. Repeated rows are
+    drawn each; very long texts are cut by words like others. Columns other than those of documents go. An empty table gives an empty one.
+    """
     mixed = mixing.mix_shares(docs.select(*COLUMNS))
     whole = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(1).cast("int")
     rest = F.when(F.col("size") > 0, F.col("taken") % F.col("size")).otherwise(0).cast("int")
@@ -69,7 +85,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the documents into sequences of 2048 tokens."""
+    """Packs the documents into sequences of 2048 tokens: one row per piece (``packing.PIECES``).
+
+    A null or empty text is one end token; null ids stay null; repeated rows are packed each; long texts fill sequences of
+    their own and a rest. Other columns play no part. An empty table gives no pieces.
+    """
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
