@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from .sampling import draw
 from .vectors import matrix, sound_vectors
 
-#: Rows that starting centres are chosen from, and rows of a mini-batch.
-SAMPLE, BATCH_ROWS = 10_000, 4096
+#: Rows that starting centres are chosen from, their bytes, and rows of a mini-batch.
+SAMPLE, SAMPLE_BYTES, BATCH_ROWS = 10_000, 64 << 20, 4096
 
 
 def spread_start(x: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
@@ -78,10 +78,11 @@ def kmeans(df: DataFrame, k: int, method: str = "KMeans", start: np.ndarray | No
     """
     rows = sound_vectors(df, key, vector)
     if start is None:
-        sample = rows.orderBy(draw(F.lit(f"start{seed}"), F.col("id")), "id").limit(max(SAMPLE, k)).collect()
-        if not sample:
+        widest = rows.agg(F.max(F.size("v"))).first()[0]
+        if widest is None:
             return np.zeros((0, 0))
-        start = spread_start(np.array([r["v"] for r in sample]), k, seed)
+        sample = rows.orderBy(draw(F.lit(f"start{seed}"), F.col("id")), "id").limit(max(k, min(SAMPLE, SAMPLE_BYTES // (8 * widest))))
+        start = spread_start(matrix(sample.select("v").toArrow().column(0).combine_chunks()), k, seed)
     centres = np.array(start, float)
     if method == "KMeans":
         before = np.inf

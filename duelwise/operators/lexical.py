@@ -19,8 +19,8 @@ K1, B = 1.5, 0.75
 WORD = r"[\p{L}\p{N}_]{2,}"
 #: Query terms up to this number are sent to every task.
 BROADCAST_TERMS = 100_000
-#: Queries that are answered in one pass, and documents that are scored against them at once.
-QUERIES, SCORED_ROWS = 1024, 2048
+#: Queries that are answered in one pass, and scores (queries x documents) that are held at once.
+QUERIES, SCORES = 8192, 1 << 21
 
 
 def tokens(c: Column, stop: tuple[str, ...] = (), stem: Callable[[Column], Column] | None = None) -> Column:
@@ -106,10 +106,10 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, key: str = "doc_id", text:
 
         def score(batches: Iterator[pa.RecordBatch], held=held, average=average) -> Iterator[pa.RecordBatch]:
             terms, ids, askers = held.value
-            listed, mine = pa.array(terms, pa.string()), Best(k, 6)
+            listed, mine, rows = pa.array(terms, pa.string()), Best(k, 6), max(64, SCORES // len(ids))
             for whole in batches:
-                for first in range(0, whole.num_rows, SCORED_ROWS):
-                    batch = whole.slice(first, SCORED_ROWS)
+                for first in range(0, whole.num_rows, rows):
+                    batch = whole.slice(first, rows)
                     row, term, lengths = term_places(batch.column(1), listed)
                     cell, tf = np.unique(term * len(lengths) + row, return_counts=True)
                     term, row = np.divmod(cell, max(1, len(lengths)))

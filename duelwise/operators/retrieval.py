@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -103,14 +104,18 @@ def triangle_labels(d: DataFrame) -> DataFrame:
 
 
 def project(df: DataFrame, dims: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """key and a ``dims``-dimensional point: principal components of centred vectors, the largest loading positive."""
-    rows = df.select(F.col(key), F.posexplode(F.col(vector).cast("array<double>")).alias("i", "x"))
-    mean = rows.groupBy("i").agg(F.avg("x").alias("m")).orderBy("i").collect()
-    centre = F.array(*[F.lit(r["m"]) for r in mean])
-    v = array_to_vector(F.zip_with(F.col(vector).cast("array<double>"), centre, lambda x, m: x - m))
-    rows = df.select(F.col(key), v.alias("features"))
+    """key and a ``dims``-dimensional point: principal components of centred vectors, the largest loading positive.
+
+    For tables of any size; ``projection`` has views of one request. Vectors null, empty or with null or non-finite
+    components have no point; the others are of one length, at least ``dims``.
+    """
+    rows = sound_vectors(df, key, vector).select(F.col("id").alias(key), "v")
+    if rows.isEmpty():
+        return df.sparkSession.createDataFrame([], f"{key} long, point array<double>")
+    mean = rows.select(Summarizer.mean(array_to_vector("v"))).first()[0]
+    centre = F.array(*[F.lit(float(x)) for x in mean])
+    rows = rows.select(key, array_to_vector(F.zip_with("v", centre, lambda x, m: x - m)).alias("features"))
     model = PCA(k=dims, inputCol="features", outputCol="pc").fit(rows)
     load = model.pc.toArray()
-    sign = [float(np.sign(load[np.abs(load[:, j]).argmax(), j]) or 1.0) for j in range(dims)]
-    signs = F.array(*[F.lit(s) for s in sign])
+    signs = F.array(*[F.lit(float(np.sign(load[np.abs(load[:, j]).argmax(), j]) or 1.0)) for j in range(dims)])
     return model.transform(rows).select(key, F.zip_with(vector_to_array("pc"), signs, lambda x, s: x * s).alias("point"))

@@ -185,3 +185,10 @@ def test_search_of_nothing(spark):
     assert ann.knn_approximate(some, none, 3).count() == 0
     got = sorted(map(tuple, ann.knn_approximate(some, some.where("vec_id = 0"), 9).collect()))
     assert got == [(0, 1, 0, 1.0), (0, 2, 2, pytest.approx(0.6)), (0, 3, 1, 0.0)]
+
+
+def test_projection_of_a_table(spark):
+    got = {r["vec_id"]: r["point"] for r in retrieval.project(frame(spark, odd(BLOBS.tolist())), 2).collect()}
+    assert sorted(got) == list(range(100))
+    assert np.allclose([got[i] for i in range(100)], projection.principal(BLOBS, 2))
+    assert retrieval.project(frame(spark, odd([])), 2).count() == 0
