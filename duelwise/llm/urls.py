@@ -19,8 +19,6 @@ RULES = ((ALLOW, "org", "/"), (BLOCK, "example.org", "/es/"), (BLOCK, "example.o
 #: Labelled URLs to learn from, about; chosen by a hash of the URL.
 TRAIN_ROWS = 20_000
 TREES, DEPTH, SMOOTH = 12, 4, 10.0
-#: The rates of suffixes are kept by so many hash buckets each, counted over all labelled URLs.
-BUCKETS = 4096
 KEYS = ("top", "folder", "ending")
 PLAIN = ("host_length", "path_length", "query_length", "labels", "depth", "digit_ratio", "entropy", "params")
 
@@ -46,7 +44,7 @@ def matched(host: Column, path: Column, rules: tuple = RULES) -> Column:
 
 
 def lexical(url: Column, host: Column, path: Column) -> dict[str, Column]:
-    """The plain features by name, and for each suffix table the bucket of the URL's key."""
+    """The plain features by name, and the URL's key in each suffix table."""
     u = F.coalesce(url, F.lit(""))
     chars = F.split(u, "")
     count = lambda c: (F.length(u) - F.length(F.replace(u, c, F.lit("")))).cast("double")
@@ -62,7 +60,26 @@ def lexical(url: Column, host: Column, path: Column) -> dict[str, Column]:
         "digit_ratio": F.regexp_count(u, F.lit("[0-9]")) / F.greatest(F.length(u), F.lit(1)),
         "entropy": F.when(F.length(u) > 0, F.log2(F.length(u).cast("double")) - spread / F.length(u)).otherwise(0.0),
         "params": F.when(query == "", 0.0).otherwise(F.regexp_count(query, F.lit("&")) + F.lit(1.0)),
-    } | {k: F.pmod(F.xxhash64(v), F.lit(BUCKETS)).cast("int") for k, v in keys.items()}
+    } | keys
+
+
+def rates(known: DataFrame, scratch: Scratch, prior: float) -> DataFrame:
+    """(t, key, rate): how often URLs with a key of a suffix table are blocked, over all labelled URLs; few URLs pull less."""
+    own = lexical(F.col("_u"), F.col("host"), F.col("path"))
+    keyed = known.select("_label", F.explode(F.array(*[F.struct(F.lit(k).alias("t"), own[k].alias("key")) for k in KEYS])).alias("k"))
+    counts = keyed.groupBy("k.t", "k.key").agg(F.sum("_label").alias("block"), F.count(F.lit(1)).alias("n"))
+    return scratch.save(counts.select("t", "key", ((F.col("block") + SMOOTH * prior) / (F.col("n") + SMOOTH)).alias("rate")), "rates")
+
+
+def features(rows: DataFrame, url: str, rated: DataFrame, prior: float) -> DataFrame:
+    """rows(url, host, path) with all features as _url_*; a key that no labelled URL has gets the prior. The tables are
+    joined by their keys, sent along only where Spark finds them small."""
+    own = lexical(F.col(url), F.col("host"), F.col("path"))
+    out = rows.withColumns({f"_url_{k}": own[k] for k in PLAIN} | {f"_key_{k}": own[k] for k in KEYS})
+    for k in KEYS:
+        table_ = rated.where(F.col("t") == k).select(F.col("key").alias(f"_of_{k}"), F.col("rate").alias(f"_rate_{k}"))
+        out = out.join(table_, F.col(f"_key_{k}") == F.col(f"_of_{k}"), "left").withColumn(f"_url_{k}", F.coalesce(f"_rate_{k}", F.lit(prior)))
+    return out.drop(*(f"_{x}_{k}" for x in ("key", "of", "rate") for k in KEYS))
 
 
 def judge(pages: DataFrame, url: str = "url", rules: tuple = RULES, scratch: Scratch | None = None) -> DataFrame:
@@ -78,29 +95,20 @@ def judge(pages: DataFrame, url: str = "url", rules: tuple = RULES, scratch: Scr
     pages = pages.drop("host", "path", "rule", "verdict", "p_block")
     host, path = parts(F.col(url))
     rows = pages.withColumn("host", host).withColumn("path", path).withColumn("_rule", matched(F.col("host"), F.col("path"), rules))
-    named = {f"_url_{k}": v for k, v in lexical(F.col(url), F.col("host"), F.col("path")).items()}
     known = rows.where(F.col("_rule").isNotNull()).select(F.col(url).alias("_u"), "host", "path", (F.col("_rule.verdict") == BLOCK).cast("double").alias("_label"))
-    keyed = known.select("_u", "_label", F.explode(F.array(*[F.struct(F.lit(k).alias("t"), lexical(F.col("_u"), F.col("host"), F.col("path"))[k].alias("b")) for k in KEYS])).alias("k"))
-    counts = keyed.groupBy("k.t", "k.b").agg(F.sum("_label").alias("block"), F.count(F.lit(1)).alias("n"), F.approx_count_distinct("_u").alias("urls")).collect()
-    total, blocked = sum(r["n"] for r in counts) / len(KEYS), sum(r["block"] for r in counts) / len(KEYS)
+    total, blocked, urls = known.agg(F.count(F.lit(1)), F.coalesce(F.sum("_label"), F.lit(0.0)), F.approx_count_distinct("_u")).first()
     out = rows.withColumns({"rule": F.col("_rule.rule"), "verdict": F.col("_rule.verdict")}).drop("_rule")
     if not 0 < blocked < total:
         return out.withColumns({"verdict": F.coalesce("verdict", F.lit(BLOCK if blocked else ALLOW)), "p_block": F.lit(None).cast("double")})
     prior = blocked / total
-    rates = {k: [prior] * BUCKETS for k in KEYS}
-    for r in counts:
-        rates[r["t"]][r["b"]] = (r["block"] + SMOOTH * prior) / (r["n"] + SMOOTH)
-    share = TRAIN_ROWS * len(KEYS) / sum(r["urls"] for r in counts)
-    rated = {f"_url_{k}": F.element_at(F.from_json(F.lit(str(rates[k])), "array<double>"), named[f"_url_{k}"] + 1) for k in KEYS}
-    features = named | rated
-    picked = known.where(F.pmod(F.xxhash64("_u"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)) + 1)).dropDuplicates(["_u"])
-    own = lexical(F.col("_u"), F.col("host"), F.col("path"))
-    train = picked.select("_label", *[own[k].alias(f"_url_{k}") for k in PLAIN], *[F.element_at(F.from_json(F.lit(str(rates[k])), "array<double>"), own[k] + 1).alias(f"_url_{k}") for k in KEYS])
+    rated = rates(known, scratch, prior)
+    picked = known.where(F.pmod(F.xxhash64("_u"), F.lit(1 << 30)) < F.lit(int(TRAIN_ROWS / urls * (1 << 30)) + 1)).dropDuplicates(["_u"])
+    train = features(picked, "_u", rated, prior).select("_label", *[f"_url_{k}" for k in PLAIN + KEYS])
     assemble = VectorAssembler(inputCols=[f"_url_{k}" for k in PLAIN + KEYS], outputCol="_url_x")
     fitted = assemble.transform(scratch.save(train, "train")).select("_url_x", "_label").coalesce(4)
     trees = GBTClassifier(featuresCol="_url_x", labelCol="_label", maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=7).fit(fitted)
     trees.setFeaturesCol("_url_x").setPredictionCol("").setRawPredictionCol("").setProbabilityCol("_url_p")
-    scored = trees.transform(assemble.transform(out.withColumns(features))).withColumn("p_block", F.when(F.col("rule").isNull(), vector_to_array("_url_p")[1]))
+    scored = trees.transform(assemble.transform(features(out, url, rated, prior))).withColumn("p_block", F.when(F.col("rule").isNull(), vector_to_array("_url_p")[1]))
     scored = scored.withColumn("verdict", F.coalesce("verdict", F.when(F.col("p_block") > 0.5, BLOCK).otherwise(ALLOW)))
     return scored.select(*pages.columns, "host", "path", "rule", "verdict", "p_block")
 
