@@ -8,7 +8,8 @@ estimated cost, from the counts of small sizes and the mean list length.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 from itertools import combinations
 from math import comb
 
@@ -54,15 +55,27 @@ def choose_boundary(counts: dict[int, int], mean_list: float) -> int:
     return min(range(LIGHT_MOST + 1), key=price)
 
 
-def node_of(s: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
+#: Bits of a set's first name.
+NAME = 64
 
 
-PROFILE = "kind int, a long, b long, n int, fp long"
+def names_of(s: np.ndarray, bits: int = NAME) -> tuple[int, int]:
+    """Two names of 64 bits; the first one has so many of them."""
+    both = xxhash.xxh3_128_intdigest(s.tobytes())
+    return (both & ((1 << bits) - 1)) - (1 << 63), (both >> 64) - (1 << 63)
 
 
-def profile(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """kind 0: (key, hash of the set, its size, hash of the text) per row. kind 1: (shingle, count) of shingles that come up often."""
+def node_of(s: np.ndarray, shared: frozenset[int], bits: int = NAME) -> int:
+    """The set's first name, or its second one if different sets share the first."""
+    first, second = names_of(s, bits)
+    return second if first in shared else first
+
+
+PROFILE = "kind int, a long, b long, n int, fp long, twin long"
+
+
+def profile(docs: DataFrame, key: str, text: str, bits: int = NAME) -> DataFrame:
+    """kind 0: (key, first name of the set, its size, hash of the text, second name) per row. kind 1: (shingle, count) of shingles that come up often."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema, held, size = arrow_schema(PROFILE), [], 0
@@ -71,18 +84,19 @@ def profile(docs: DataFrame, key: str, text: str) -> DataFrame:
             token, count = np.unique(np.concatenate(held), return_counts=True)
             token, count = token[count > 2].view(np.int64), count[count > 2]
             m = len(token)
-            return arrow_batch(schema, [np.ones(m, np.int32), token, count, np.zeros(m, np.int32), np.zeros(m, np.int64)])
+            return arrow_batch(schema, [np.ones(m, np.int32), token, count, np.zeros(m, np.int32), np.zeros(m, np.int64), np.zeros(m, np.int64)])
 
         for batch in batches:
             keys, fps = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             for i, j, buf, off in text_chunks(batch.column(1)):
                 nodes, ns = [], []
                 for s in shingle_sets(buf, off, WIDTH):
-                    nodes.append(node_of(s) if len(s) else None)
+                    nodes.append(names_of(s, bits) if len(s) else (None, None))
                     ns.append(len(s))
                     held.append(s)
                     size += len(s)
-                yield arrow_batch(schema, [np.zeros(j - i, np.int32), keys[i:j], nodes, ns, fps[i:j]])
+                first, second = zip(*nodes, strict=True)
+                yield arrow_batch(schema, [np.zeros(j - i, np.int32), keys[i:j], first, ns, fps[i:j], second])
                 if size > 1 << 20:
                     yield often()
                     held, size = [], 0
@@ -95,7 +109,7 @@ def profile(docs: DataFrame, key: str, text: str) -> DataFrame:
 LISTS = "token long, node long, n int, last long"
 
 
-def lists(docs: DataFrame, text: str, frequent: np.ndarray, rank: np.ndarray, boundary: int) -> DataFrame:
+def lists(docs: DataFrame, text: str, frequent: np.ndarray, rank: np.ndarray, boundary: int, name: Callable[[np.ndarray], int]) -> DataFrame:
     """Inverted lists of different sets: (token, node, size, place of the set's last listed token in the order)."""
     spark = docs.sparkSession
     known = spark.sparkContext.broadcast((frequent, rank))
@@ -115,7 +129,7 @@ def lists(docs: DataFrame, text: str, frequent: np.ndarray, rank: np.ndarray, bo
 
                 for s in shingle_sets(buf, off, WIDTH):
                     n = len(s)
-                    if not n or (node := node_of(s)) in seen:
+                    if not n or (node := name(s)) in seen:
                         continue
                     seen.add(node)
                     if n <= boundary:
@@ -175,7 +189,7 @@ CHECKED = "kind int, a long, b long, shared int, n int, own array<long>"
 LINK, MEMBER = 0, 1
 
 
-def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str, name: Callable[[np.ndarray], int]) -> DataFrame:
     """Rows (CHECKED) of pairs (g, node): a LINK if they are one; a MEMBER, with the shared count and the shingles that
     g doesn't have, if the node shares at least half of its shingles with the centre g.
 
@@ -195,7 +209,7 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text
             found = []
             for i, _, buf, off in text_chunks(batch.column(4)):
                 for k, s in enumerate(shingle_sets(buf, off, WIDTH), i):
-                    if not len(s) or node_of(s) != node[k]:  # another document of the same id
+                    if not len(s) or name(s) != node[k]:  # another document of the same id
                         continue
                     if not member[k]:
                         star, centre = (g[k], salt[k]), s
@@ -220,11 +234,12 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", sc
     return rows.select(F.col("key").alias(key), F.col("n").cast("long").alias("n_shingles"), "component_id")
 
 
-def jaccard_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", scratch: Scratch | None = None) -> DataFrame:
+def jaccard_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", scratch: Scratch | None = None, bits: int = NAME) -> DataFrame:
     """key, fp (hash of the text), n (set size), component_id and grp for every row; rows of one group, null keys too, bear
     the same grp, and rows with an empty set a null one.
 
-    1. One row per different set; copies hang on their set from here on.
+    1. One row per different set; copies hang on their set from here on. Sets have names of 128 bits: where different
+       sets share the first 64 (``bits``), the others name them; such names are a handful, if any.
     2. Inverted lists (and subset lists of small sets), kept where two sets meet.
     3. Stars: each set is verified against the fullest centre that it shares most tokens with. In a group of near
        copies that leaves few components, however many members it has.
@@ -232,13 +247,21 @@ def jaccard_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", scrat
        are verified. So no link between components is lost, and pairs inside a component are never formed.
 
     Null text, or a text without words, has an empty set and no links. Rows of null key link like others and are left
-    out of the minimum; alone they have a null component. Repeated rows each get a row. An empty table gives none.
+    out of the minimum; alone they have a null component. Repeated rows each get a row, very long texts count whole,
+    other columns play no part. An empty table gives none.
     """
     spark = docs.sparkSession
     bound_batches(spark)
     scratch = scratch or Scratch(spark, "jaccard")
-    prof = scratch.save(profile(docs, key, text), "profile", "kind")
-    rows = prof.where("kind = 0").select(F.col("a").alias("key"), F.col("b").alias("node"), "n", "fp")
+    prof = scratch.save(profile(docs, key, text, bits), "profile", "kind")
+    rows = prof.where("kind = 0").select(F.col("a").alias("key"), F.col("b").alias("node"), "twin", "n", "fp")
+    twice = rows.where("n > 0").groupBy("node").agg(F.min("twin").alias("x"), F.max("twin").alias("y")).where("x <> y")
+    shared = frozenset(r["node"] for r in twice.select("node").collect())
+    if shared:
+        named = twice.select(F.col("node").alias("_shared"))
+        rows = rows.join(F.broadcast(named), F.col("node") == F.col("_shared"), "left").withColumn("node", F.when(F.col("_shared").isNull(), F.col("node")).otherwise(F.col("twin"))).drop("_shared")
+    rows = rows.drop("twin")
+    name = partial(node_of, shared=shared, bits=bits)
     classes = scratch.save(rows.where("n > 0").groupBy("node").agg(F.min("key").alias("first"), F.first("n").alias("n")), "classes")
 
     often = prof.where("kind = 1").groupBy("a").agg(F.sum("b").alias("c")).orderBy(F.desc("c")).limit(FREQUENT).toPandas()
@@ -248,20 +271,20 @@ def jaccard_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", scrat
     small = {r["n"]: r["c"] for r in classes.where(F.col("n") <= LIGHT_MOST * 2).groupBy("n").agg(F.count(F.lit(1)).alias("c")).collect()}
     total = classes.agg(F.sum("n")).first()[0] or 1
     boundary = choose_boundary(small, float((count.astype(float) ** 2).sum()) / total)
-    met = scratch.save(lists(docs, text, token, rank, boundary), "lists")
+    met = scratch.save(lists(docs, text, token, rank, boundary, name), "lists")
 
     degree = met.groupBy("node").agg((F.count(F.lit(1)) / F.first("n")).alias("share"))
     rich = met.select("token", "node").join(degree, "node")
     hubs = rich.groupBy("token").agg(F.max(F.struct("share", "node"))["node"].alias("g"))
     counted = met.select("token", "node").join(hubs, "token").where("node <> g").groupBy("node", "g").agg(F.count(F.lit(1)).alias("c"))
     stars = scratch.save(counted.groupBy("node").agg(F.max(F.struct("c", "g"))["g"].alias("g")), "stars")
-    checked = scratch.save(verify(stars, classes, docs, key, text), "checked", "kind")
+    checked = scratch.save(verify(stars, classes, docs, key, text, name), "checked", "kind")
     links = checked.where(F.col("kind") == LINK).select("a", "b").distinct()
 
     comps = scratch.save(components(links, scratch, "first"), "comps")
     cross = star_pairs(checked, comps).unionByName(cross_pairs(met, comps, checked, boundary)).distinct()
     cross = scratch.save(cross, "cross")
-    more = verify(cross, classes, docs, key, text).where(F.col("kind") == LINK).select("a", "b").distinct()
+    more = verify(cross, classes, docs, key, text, name).where(F.col("kind") == LINK).select("a", "b").distinct()
     more = scratch.save(more, "more")
     final = components(links.unionByName(more), scratch, "final")
     named = final.join(classes.select("node", "first"), "node")

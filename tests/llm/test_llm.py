@@ -73,6 +73,9 @@ def test_jaccard(docs, empty):
     got = sorted((str(r["doc_id"]), r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_classes(docs).collect())
     assert got == want
     assert jaccard.jaccard_classes(empty).count() == 0
+    for bits in (0, 5, 9):  # all sets, many and some share their first name
+        again = jaccard.jaccard_rows(docs, bits=bits).select("key", F.col("n").cast("long"), "component_id").collect()
+        assert sorted((str(r["key"]), r["n"], r["component_id"]) for r in again) == want
 
 
 def test_jaccard_counts_a_pair_over_all_lists(spark):
