@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -19,6 +21,7 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(app)
     root = Path(__file__).resolve().parent
     path = Path(tempfile.mkdtemp()) / f"{root.name}.zip"
+    atexit.register(shutil.rmtree, path.parent, ignore_errors=True)  # executors fetch it from here as long as the driver lives
     with zipfile.ZipFile(path, "w") as out:
         for f in sorted(root.rglob("*.py")):
             out.write(f, f.relative_to(root.parent))
