@@ -24,21 +24,19 @@ def leaderboard(ratings: DataFrame, full: DataFrame, meta: DataFrame, key: str =
     return d.select(*ratings.columns, F.coalesce("rating_full", F.lit(0.0)).alias("rating_full"), *(F.coalesce(F.col(c).cast("string"), F.lit("N/A")).alias(c) for c in columns))
 
 
-#: The published table's columns in order, by the metadata's names.
-PUBLISHED = {
-    "mteb_overall": "MTEB Overall Avg",
-    "mteb_retrieval": "MTEB Retrieval Avg",
-    "mteb_clustering": "MTEB Clustering Avg",
-    "mteb_sts": "MTEB STS Avg",
-    "license": "License",
-    "organization": "Organization",
-    "link": "Link",
-}
-RATINGS = ("Arena Elo rating (anony)", "Arena Elo rating (full)")
-
-
-def published(ratings: DataFrame, full: DataFrame, meta: DataFrame, key: str = "model", order: str | None = None) -> DataFrame:
-    """The published table: key, Model, both ratings, then ``PUBLISHED``; other metadata is dropped.
+#: The published table's columns in order, by the metadata's names; averages bear their benchmark's name.
+AVERAGES = {"overall": "Overall Avg", "retrieval": "Retrieval Avg", "clustering": "Clustering Avg", "sts": "STS Avg"}
+ABOUT = {"license": "License", "organization": "Organization", "link": "Link"}
+
+
+def published_columns(benchmark: str = "") -> dict[str, str]:
+    """Metadata names to headers: x_overall to "X Overall Avg" for a benchmark X."""
+    before = f"{benchmark.lower()}_" if benchmark else ""
+    return {f"{before}{k}": f"{benchmark} {v}".strip() for k, v in AVERAGES.items()} | ABOUT
+
+
+def published(ratings: DataFrame, full: DataFrame, meta: DataFrame, key: str = "model", order: str | None = None, benchmark: str = "", title: str = "Elo rating") -> DataFrame:
+    """The published table: key, Model, both ratings under ``title``, then ``published_columns``; other metadata is dropped.
 
     A model without metadata has N/A in each column, one whose metadata lacks a column is empty there, one without full
     rating has 0; models without rating are left out. Columns that the metadata lacks altogether are empty.
@@ -47,8 +45,8 @@ def published(ratings: DataFrame, full: DataFrame, meta: DataFrame, key: str = "
     other = full.select(key, F.col("rating").alias("_full"))
     d = ratings.select(key, "rating").join(other, key, "left").join(meta, key, "left")
     shown = lambda c: F.when(F.col("_known").isNull(), "N/A").otherwise(F.col(c).cast("string") if c in meta.columns else F.lit(None).cast("string"))
-    scores = [F.col("rating").alias(RATINGS[0]), F.coalesce("_full", F.lit(0.0)).alias(RATINGS[1])]
-    return d.select(F.col(key).alias("key"), F.col(key).alias("Model"), *scores, *(shown(c).alias(name) for c, name in PUBLISHED.items())).orderBy(F.desc(RATINGS[0]), "key")
+    scores = [F.col("rating").alias(f"{title} (anony)"), F.coalesce("_full", F.lit(0.0)).alias(f"{title} (full)")]
+    return d.select(F.col(key).alias("key"), F.col(key).alias("Model"), *scores, *(shown(c).alias(name) for c, name in published_columns(benchmark).items())).orderBy(F.desc(f"{title} (anony)"), "key")
 
 
 def statistics(rated: DataFrame, samples: DataFrame, counts: DataFrame, most: int = 25, key: str = "model") -> DataFrame:

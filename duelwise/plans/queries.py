@@ -950,24 +950,24 @@ def rating_error_bars(spark, d):
 
 
 #: Several rows a model, some without an average; m3 and m6 have none at all.
-MANY_META = """meta AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY p_partkey) AS r FROM (SELECT p_partkey, 'm' || (p_partkey % 8) AS model, p_name AS link, p_brand AS organization, p_type AS license, CASE WHEN p_size > 9 THEN p_retailprice END AS mteb_overall FROM part) WHERE model NOT IN ('m3', 'm6'))"""
+MANY_META = """meta AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY p_partkey) AS r FROM (SELECT p_partkey, 'm' || (p_partkey % 8) AS model, p_name AS link, p_brand AS organization, p_type AS license, CASE WHEN p_size > 9 THEN p_retailprice END AS bench_overall FROM part) WHERE model NOT IN ('m3', 'm6'))"""
 
 
 def many_metadata(spark, d):
-    p = table(spark, d, "part").selectExpr("p_partkey", "concat('m', p_partkey % 8) AS model", "p_name AS link", "p_brand AS organization", "p_type AS license", "CASE WHEN p_size > 9 THEN p_retailprice END AS mteb_overall", "p_size AS starting_from")
+    p = table(spark, d, "part").selectExpr("p_partkey", "concat('m', p_partkey % 8) AS model", "p_name AS link", "p_brand AS organization", "p_type AS license", "CASE WHEN p_size > 9 THEN p_retailprice END AS bench_overall", "p_size AS starting_from")
     return p.where("model NOT IN ('m3', 'm6')")
 
 
 @query(ELO_SQL + f""", {MANY_META}, known AS (SELECT * FROM elo WHERE model <> 'm2')
-SELECT elo.model AS "key", elo.model AS "Model", elo.rating AS "Arena Elo rating (anony)", coalesce(k.rating, 0) AS "Arena Elo rating (full)", CASE WHEN m.model IS NULL THEN 'N/A' WHEN mteb_overall IS NOT NULL THEN printf('%.2f', mteb_overall) END AS "MTEB Overall Avg",
-  CASE WHEN m.model IS NULL THEN 'N/A' END AS "MTEB Retrieval Avg", CASE WHEN m.model IS NULL THEN 'N/A' END AS "MTEB Clustering Avg", CASE WHEN m.model IS NULL THEN 'N/A' END AS "MTEB STS Avg",
+SELECT elo.model AS "key", elo.model AS "Model", elo.rating AS "Duel rating (anony)", coalesce(k.rating, 0) AS "Duel rating (full)", CASE WHEN m.model IS NULL THEN 'N/A' WHEN bench_overall IS NOT NULL THEN printf('%.2f', bench_overall) END AS "Bench Overall Avg",
+  CASE WHEN m.model IS NULL THEN 'N/A' END AS "Bench Retrieval Avg", CASE WHEN m.model IS NULL THEN 'N/A' END AS "Bench Clustering Avg", CASE WHEN m.model IS NULL THEN 'N/A' END AS "Bench STS Avg",
   CASE WHEN m.model IS NULL THEN 'N/A' ELSE license END AS "License", CASE WHEN m.model IS NULL THEN 'N/A' ELSE organization END AS "Organization", CASE WHEN m.model IS NULL THEN 'N/A' ELSE link END AS "Link"
 FROM elo LEFT JOIN known k ON k.model = elo.model LEFT JOIN meta m ON m.model = elo.model AND m.r = 1""")
 def published_leaderboard(spark, d):
     """The published columns; the first of a model's metadata rows counts, the columns not asked for are dropped."""
     rated = online_elo(spark, d).select("model", "rating")
-    meta = many_metadata(spark, d).withColumn("mteb_overall", F.when(F.col("mteb_overall").isNotNull(), F.format_string("%.2f", "mteb_overall")))
-    return leaderboard.published(rated, rated.where("model <> 'm2'"), meta, order="p_partkey")
+    meta = many_metadata(spark, d).withColumn("bench_overall", F.when(F.col("bench_overall").isNotNull(), F.format_string("%.2f", "bench_overall")))
+    return leaderboard.published(rated, rated.where("model <> 'm2'"), meta, order="p_partkey", benchmark="Bench", title="Duel rating")
 
 
 @query(ELO_SQL + f", {MANY_META} SELECT elo.model, rating, rating AS rating_full, coalesce(link, 'N/A') AS link, coalesce(organization, 'N/A') AS organization FROM elo LEFT JOIN meta m ON m.model = elo.model AND m.r = 1")

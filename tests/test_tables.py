@@ -170,16 +170,17 @@ def test_draws_of_outcomes(spark):
 
 def test_boards(spark):
     rated = spark.createDataFrame([("a", 1100.456), ("b", 900.0), ("c", 1000.0)], "model string, rating double")
-    meta = spark.createDataFrame([("a", "l2", 2, 5.0, "gone"), ("a", "l1", 1, None, "gone"), ("c", None, 3, 1.5, "gone"), ("z", "l", 4, 1.0, "gone")], "model string, link string, place int, mteb_sts double, starting_from string")
+    meta = spark.createDataFrame([("a", "l2", 2, 5.0, "gone"), ("a", "l1", 1, None, "gone"), ("c", None, 3, 1.5, "gone"), ("z", "l", 4, 1.0, "gone")], "model string, link string, place int, quiz_sts double, starting_from string")
     board = {r["model"]: r for r in leaderboard.leaderboard(rated, rated.where("model = 'a'"), meta, order="place").collect()}
     assert sorted(board) == ["a", "b", "c"]
     assert (board["a"]["link"], board["a"]["rating_full"], board["c"]["rating_full"], board["b"]["link"]) == ("l1", 1100.456, 0.0, "N/A")
     assert leaderboard.leaderboard(rated, rated, meta).count() == 3
-    out = leaderboard.published(rated, rated.where("model = 'a'"), meta, order="place")
-    assert out.columns == ["key", "Model", *leaderboard.RATINGS, *leaderboard.PUBLISHED.values()]
+    out = leaderboard.published(rated, rated.where("model = 'a'"), meta, order="place", benchmark="Quiz", title="Game rating")
+    assert out.columns == ["key", "Model", "Game rating (anony)", "Game rating (full)", "Quiz Overall Avg", "Quiz Retrieval Avg", "Quiz Clustering Avg", "Quiz STS Avg", "License", "Organization", "Link"]
+    assert leaderboard.published(rated, rated, meta).columns[2:5] == ["Elo rating (anony)", "Elo rating (full)", "Overall Avg"]
     rows = {r["key"]: r.asDict() for r in out.collect()}
     assert [r["key"] for r in out.collect()] == ["a", "c", "b"]
-    assert (rows["a"]["MTEB STS Avg"], rows["c"]["MTEB STS Avg"], rows["b"]["MTEB STS Avg"]) == (None, "1.5", "N/A")
+    assert (rows["a"]["Quiz STS Avg"], rows["c"]["Quiz STS Avg"], rows["b"]["Quiz STS Avg"]) == (None, "1.5", "N/A")
     assert (rows["a"]["License"], rows["b"]["License"], rows["c"]["Link"]) == (None, "N/A", None)
     samples = spark.createDataFrame([("a", 1090.0, 1120.0)], "model string, rating_q025 double, rating_q975 double")
     bars = leaderboard.error_bars(rated, samples, 2).collect()
