@@ -3,6 +3,7 @@
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -318,6 +319,15 @@ def test_lines_within_groups_are_alike(spark):
         assert not left
 
 
+def test_lines_of_large_groups(spark, docs, monkeypatch):
+    """Groups that are dealt to several tasks lose the same lines."""
+    d = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(1000 + i, f"one line that all of them have\nown {i} {i * i}") for i in range(60)], "doc_id long, text string"))
+    want = Counter((r["doc_id"], r["text"], r["n_removed"]) for r in lines.dedup_lines(d).collect())
+    monkeypatch.setattr(lines, "HOT", 3)
+    assert Counter((r["doc_id"], r["text"], r["n_removed"]) for r in lines.dedup_lines(d).collect()) == want
+    assert sum(n for (i, _, gone), n in want.items() if (i or 0) >= 1000 and gone) == 59
+
+
 def test_lines_counters_that_overflow(spark, monkeypatch):
     """Copies vote once, and counters too narrow for a line don't keep it from its copies."""
     w = [f"word{k}" for k in range(20)]
